@@ -1,0 +1 @@
+"""Column functions: plain expressions that Catalyst sees through."""

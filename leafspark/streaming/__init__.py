@@ -1,0 +1 @@
+"""The same kernels over documents as they arrive: extensions."""
