@@ -22,12 +22,14 @@ SAMPLE = 5000
 
 
 def words(text: Column) -> Column:
-    """Lower-case words at ASCII white space; none of a null or blank text."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
+    """Words at ASCII white space, with an empty one before the first or after the last where the text begins or ends
+    with white space; of a null or blank text, empty ones alone."""
+    return F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+")
 
 
 def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    """The bucket of a word; -1 of an empty one."""
+    return F.when(word == "", -1).otherwise(F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int"))
 
 
 class Domains:
@@ -45,7 +47,7 @@ def fit_domains(labelled: DataFrame, sample: int = SAMPLE) -> Domains:
     names = sorted(sizes) or ["all"]
     total = sum(sizes.values())
     priors = [math.log(sizes[d] / total) if total else 0.0 for d in names]
-    seen = rows.select("domain", F.explode(words(F.col("text"))).alias("w")).groupBy("domain", bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
+    seen = rows.select("domain", F.explode(words(F.col("text"))).alias("w")).groupBy("domain", bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).where("b >= 0")
     counts = [[0.5] * len(names) for _ in range(BUCKETS)]
     for r in seen.collect():  # BUCKETS x domains at most
         counts[r["b"]][names.index(r["domain"])] += r["n"]
@@ -57,17 +59,18 @@ def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     """doc_id, row (a hash), n_tokens, p (array, in the order of model.names): one row for each row of docs.
 
     A text without words has the priors."""
-    table = docs.sparkSession.createDataFrame([(b, *map(float, w)) for b, w in enumerate(model.weights)], "b int, " + ", ".join(f"w{k} double" for k in range(len(model.names))))
-    each = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode_outer(words(F.col("text"))).alias("pos", "w"))
+    none = (-1, *(0.0 for _ in model.names))
+    table = docs.sparkSession.createDataFrame([none, *((b, *map(float, w)) for b, w in enumerate(model.weights))], "b int, " + ", ".join(f"w{k} double" for k in range(len(model.names))))
+    each = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(words(F.col("text"))).alias("pos", "w"))
     # Words of a row meet in its own task: what is shuffled is one row of sums for each document.
     sums = (
-        each.select("doc_id", "row", F.col("pos"), bucket(F.col("w")).alias("b"))
-        .join(F.broadcast(table), "b", "left")  # BUCKETS rows
+        each.select("doc_id", "row", "pos", bucket(F.col("w")).alias("b"))
+        .join(F.broadcast(table), "b")  # BUCKETS rows and one
         .groupBy("doc_id", "row")
         .agg(
-            F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"),
-            F.count("pos").alias("tokens"),
-            *(F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"s{k}") for k in range(len(model.names))),
+            F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies"),
+            F.sum(F.when(F.col("b") >= 0, 1).otherwise(0)).alias("tokens"),
+            *(F.sum(f"w{k}").alias(f"s{k}") for k in range(len(model.names))),
         )
     )
     logs = F.array(*(F.lit(prior) + F.col(f"s{k}") / F.col("copies") for k, prior in enumerate(model.priors)))
