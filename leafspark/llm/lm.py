@@ -103,18 +103,29 @@ class Network:
         n = len(numbers)
         return np.stack([padded[k : k + n] for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))], axis=1)
 
-    def forward(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hidden(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, hidden values, and odds of the classes in logs, up to a number for each row."""
         x = self.embed[contexts].reshape(len(contexts), -1)
-        h = np.maximum(x @ self.w1 + self.b1, 0)
-        z = h @ self.w2 + self.b2
+        h = x @ self.w1
+        h += self.b1
+        np.maximum(h, 0, out=h)
+        z = h @ self.w2
+        z += self.b2
         z -= z.max(axis=1, keepdims=True)
-        return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return x, h, z
+
+    def log_odds(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """The log odds of each row's target."""
+        z = self.hidden(contexts)[2]
+        right = z[np.arange(len(targets)), targets]
+        return right - np.log(np.exp(z, out=z).sum(axis=1))
 
     def step(self, contexts: np.ndarray, targets: np.ndarray, rate: float = RATE) -> None:
         """One AdaGrad step on the mean negative log odds of the targets."""
         n = len(targets)
-        x, h, logs = self.forward(contexts)
-        d = np.exp(logs)
+        x, h, z = self.hidden(contexts)
+        d = np.exp(z, out=z)
+        d /= d.sum(axis=1, keepdims=True)
         d[np.arange(n), targets] -= 1
         d /= n
         dh = (d @ self.w2.T) * (h > 0)
@@ -127,22 +138,33 @@ class Network:
             p -= rate * g / np.sqrt(s)
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+def numbered(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """doc_id and the numbers of a text's words, 4 bytes each: texts are cut into words once for all rounds."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # VOCABULARY words
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def rows(ids, texts):
+        return [ids, [shared.value.numbers(words_of(t)).tobytes() for t in texts]]
+
+    return keep(arrow_map(docs.select("doc_id", "text"), rows, f"doc_id {kind}, numbers binary"), "numbers")
+
+
+def train(numbers: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """The network's params after rounds over all texts. Each round is one job, whose tasks may be run again."""
-    spark = docs.sparkSession
+    spark = numbers.sparkSession
     small_batches(spark)
-    shared_words = spark.sparkContext.broadcast(words)  # VOCABULARY words
-    params = Network(classes=words.classes).params
+    classes, of = words.classes, spark.sparkContext.broadcast(words.of)
+    params = Network(classes=classes).params
     for k in range(rounds):
         start = spark.sparkContext.broadcast(params)  # of fixed size
 
         def learn(batches, start=start, rate=RATE / (k + 1)):
-            net, vocab, seen, have, pending = Network(start.value, shared_words.value.classes), shared_words.value, 0, 0, []
+            net, seen, have, pending = Network(start.value, classes), 0, 0, []
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    numbers = vocab.numbers(words_of(text))
+                for packed in batch.column(0).to_pylist():
+                    numbers = np.frombuffer(packed, np.int32)
                     if len(numbers):
-                        pending.append((net.contexts(numbers), vocab.of[numbers]))
+                        pending.append((net.contexts(numbers), of.value[numbers]))
                         have += len(numbers)
                         if have >= 8 * BATCH:
                             seen += _learn(net, pending, rate)
@@ -152,7 +174,7 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(net.params)), pa.int32()), pa.array(net.params.astype(np.float64) * seen), pa.array([seen] * len(net.params), pa.int64())], ["i", "s", "n"])
 
-        got = docs.select("text").mapInArrow(learn, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # as many rows as params
+        got = numbers.select("numbers").mapInArrow(learn, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # as many rows as params
         params = params.copy()
         for i, s, n in got:
             params[i] = s / n
@@ -169,16 +191,15 @@ def _learn(net: Network, pending: list, rate: float) -> int:
     return len(targets)
 
 
-def log_likelihood(net: Network, vocab: Vocabulary, text: str | None) -> tuple[int, float]:
-    """Words, and the sum of their log odds given both sides."""
-    numbers = vocab.numbers(words_of(text))
-    n, total = len(numbers), 0.0
-    contexts = net.contexts(numbers) if n else None
-    for at in range(0, n, 8192):
-        part = numbers[at : at + 8192]
-        logs = net.forward(contexts[at : at + 8192])[2]
-        total += float(logs[np.arange(len(part)), vocab.of[part]].sum(dtype=np.float64) + vocab.share[part].sum(dtype=np.float64))
-    return n, total
+def log_likelihood(net: Network, of: np.ndarray, share: np.ndarray, numbers: np.ndarray) -> float:
+    """The sum of the words' log odds given both sides."""
+    total = 0.0
+    contexts = net.contexts(numbers) if len(numbers) else None
+    for at in range(0, len(numbers), 2048):
+        part = numbers[at : at + 2048]
+        logs = net.log_odds(contexts[at : at + 2048], of[part])
+        total += float(logs.sum(dtype=np.float64) + share[part].sum(dtype=np.float64))
+    return total
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -189,14 +210,16 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     words = vocabulary(docs)
-    params = train(docs, words, rounds)
-    shared = spark.sparkContext.broadcast((words, params))
+    numbers = numbered(docs, words)
+    params = train(numbers, words, rounds)
+    shared = spark.sparkContext.broadcast((words.classes, words.of, words.share, params))
     kind = dict(docs.dtypes)["doc_id"]
 
-    def rows(ids, texts):
-        vocab, weights = shared.value
-        net = Network(weights, vocab.classes)
-        got = [log_likelihood(net, vocab, t) for t in texts]
-        return [ids, [n for n, _ in got], [s for _, s in got], [s / n if n else None for n, s in got]]
+    def rows(ids, packed):
+        classes, of, share, weights = shared.value
+        net = Network(weights, classes)
+        found = [np.frombuffer(p, np.int32) for p in packed]
+        sums = [log_likelihood(net, of, share, f) for f in found]
+        return [ids, [len(f) for f in found], sums, [s / len(f) if len(f) else None for s, f in zip(sums, found)]]
 
-    return arrow_map(docs.select("doc_id", "text"), rows, f"doc_id {kind}, n_tokens long, log_likelihood double, per_token double")
+    return arrow_map(numbers, rows, f"doc_id {kind}, n_tokens long, log_likelihood double, per_token double")
