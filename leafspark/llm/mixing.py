@@ -61,7 +61,9 @@ def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     A text without words has the priors."""
     none = (-1, *(0.0 for _ in model.names))
     table = docs.sparkSession.createDataFrame([none, *((b, *map(float, w)) for b, w in enumerate(model.weights))], "b int, " + ", ".join(f"w{k} double" for k in range(len(model.names))))
-    each = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(words(F.col("text"))).alias("pos", "w"))
+    # The hash has a step of its own: beside the generator it would be computed for every word.
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    each = rows.select("doc_id", "row", F.posexplode(words(F.col("text"))).alias("pos", "w"))
     # Words of a row meet in its own task: what is shuffled is one row of sums for each document.
     sums = (
         each.select("doc_id", "row", "pos", bucket(F.col("w")).alias("b"))
@@ -154,7 +156,8 @@ def remixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lea
     """docs with each row as often as its rate says, with docs' columns."""
     changed = mix(docs, labelled, targets, least).where("copies <> 1").select("doc_id", "row", "copies").distinct()
     tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("r"))
-    joined = tagged.join(changed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row")), "left")
+    # The changed rows grow with the input, so both sides are shuffled at any size.
+    joined = tagged.join(changed.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row")), "left")
     n = F.coalesce("copies", F.lit(1))
     many = joined.where(n > 0).select("d", F.explode(F.sequence(F.lit(1), n)).alias("k"))
     return many.select(*(F.col("d")[c].alias(c) for c in docs.columns))
