@@ -179,7 +179,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     which the repeats go; rows without a doc_id stay."""
     found = keep(near_duplicates(docs), "components")
     firsts = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(firsts, "doc_id", "left_semi")
+    # The ids kept grow with the input, so both sides are shuffled at any size.
+    named = docs.join(firsts.hint("merge"), "doc_id", "left_semi")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
         named = named.join(repeated, "doc_id", "left_anti").unionByName(named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
