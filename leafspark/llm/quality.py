@@ -65,7 +65,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts - score, -60, 60)))
 
 
-def train(rows: list[list[int]], grades: list[int], levels: int = GRADES, seed: int = 5) -> OrdinalModel:
+def train(rows: list, grades: list[int], levels: int = GRADES, seed: int = 5) -> OrdinalModel:
     """Fits by AdaGrad on the features that differ between lower and higher grades at some threshold (z >= _LEAST_Z)."""
     size = 1 << HASH_BITS
     y = np.array(grades)
@@ -73,7 +73,7 @@ def train(rows: list[list[int]], grades: list[int], levels: int = GRADES, seed:
     if not len(y):
         return OrdinalModel(weights, cuts)
     lens = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate([np.array(r, np.int64) for r in rows]), np.repeat(np.arange(len(rows)), lens)
+    flat, owner = np.concatenate([np.asarray(r, np.int32) for r in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), lens)
     used = np.zeros(size, bool)
     for j in range(levels - 1):
         high = y > j
@@ -130,9 +130,9 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, levels: int =
     """From docs(doc_id, text) and ratings(doc_id, grade): at most `sample` rated rows. Without any, all grades tie."""
     some = ratings.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id")).limit(sample)
     rated = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text").limit(2 * sample)
-    rows = arrow_map(rated, lambda ids, grades, texts: [ids, grades, [features(t) for t in texts]], "doc_id long, grade int, found array<int>").collect()
+    rows = arrow_map(rated, lambda ids, grades, texts: [ids, grades, [np.array(features(t), np.int32).tobytes() for t in texts]], "doc_id long, grade int, found binary").collect()
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
-    return train([r["found"] for r in rows], [r["grade"] for r in rows], levels)
+    return train([np.frombuffer(r["found"], np.int32) for r in rows], [r["grade"] for r in rows], levels)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TAIL) -> DataFrame:
