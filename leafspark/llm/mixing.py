@@ -100,39 +100,47 @@ def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], leas
     """The rate of a document, as a column over soft(n_tokens, p).
 
     The targets are shares of the tokens. Without a floor their total is that of the corpus; with one it is the least
-    that lets every domain keep what it has. Gradients are scaled by the domains' Gram matrix, or, where that helps no
-    more because rates stand at the floor, taken as they are."""
+    that lets every domain keep what it has. Gradients are scaled by the Gram matrix of the domains over the rows that
+    stand above the floor, which each step's aggregate brings along; a step that does not help is shortened."""
     k = len(names)
     p = [F.element_at("p", i + 1) for i in range(k)]
     t = F.col("n_tokens").cast("double")
-    first = soft.agg(F.sum(t), *(F.sum(t * x) for x in p), *(F.sum(t * p[i] * p[j]) for i in range(k) for j in range(k))).first()
-    total = first[0] or 0.0
+
+    def sums(rate: Column, begin: bool = False) -> tuple[list[float], list[list[float]]]:
+        """Expected tokens by domain at a rate, and the Gram matrix of the rows above the floor, as shares of all."""
+        free = F.when((rate > least) | F.lit(begin), t).otherwise(0.0)
+        got = soft.agg(*(F.sum(rate * t * x) for x in p), *(F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i + 1))).first()
+        gram, at = [[0.0] * k for _ in range(k)], k
+        for i in range(k):
+            for j in range(i + 1):
+                gram[i][j] = gram[j][i] = got[at] / total
+                at += 1
+        return [x / total for x in got[:k]], gram
+
     rate = F.lit(1.0)
+    total = float(soft.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
         return rate
     share = [max(0.0, targets.get(n, 0.0)) for n in names]
     if not sum(share):
         raise ValueError(f"no target for any of the domains {names}")
     share = [s / sum(share) for s in share]
-    have = [x / total for x in first[1 : k + 1]]
+    have, gram = sums(rate, begin=True)  # all rows may rise
     scale = max((least * h / s for h, s in zip(have, share) if s > 0), default=1.0) if least > 0 else 1.0
     wanted = [s * max(1.0, scale) for s in share]
-    gram = [[first[1 + k + i * k + j] / total + (1e-6 if i == j else 0) for j in range(k)] for i in range(k)]
-    error, scaled = [h - w for h, w in zip(have, wanted)], True
+    error, length = [h - w for h, w in zip(have, wanted)], 1.0
     for _ in range(steps):
         size = math.sqrt(sum(e * e for e in error))
-        if size < TOLERANCE:
+        if size < TOLERANCE or length < 1e-3:
             break
-        step = _solve(gram, error) if scaled else error
-        tried = F.greatest(F.lit(float(least)), rate - sum((x * F.lit(s) for x, s in zip(p, step)), F.lit(0.0)))
-        got = [x / total for x in soft.agg(*(F.sum(tried * t * x) for x in p)).first()]
+        step = _solve([[x + (1e-6 if i == j else 0.0) for j, x in enumerate(row)] for i, row in enumerate(gram)], error)
+        tried = F.greatest(F.lit(float(least)), rate - sum((x * F.lit(length * s) for x, s in zip(p, step)), F.lit(0.0)))
+        got, free = sums(tried)
         new = [g - w for g, w in zip(got, wanted)]
         if math.sqrt(sum(e * e for e in new)) < size:
-            rate, error = tried, new
-        elif scaled:
-            scaled = False
+            rate, error, gram, length = tried, new, free, 1.0
         else:
-            break
+            length /= 4
     return rate
 
 
