@@ -11,17 +11,17 @@ chunks that it owns. Payloads are moved once, compressed, to be stored; on readi
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
 
 import numpy as np
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.common import arrow_map, keep, text_bytes
+from leafspark.llm.common import arrow_map, keep, release, text_bytes
 
 FRAME, PAD = 576, b"\xff"
 LEAST, MOST, CUT_BITS = 512, 8192, 11
@@ -76,32 +76,42 @@ def _describe(ids, texts):
 
 
 def _pack(texts):
-    z, names, packed = zstandard.ZstdCompressor(3), [], []
+    names, packed = [], []
     for text in texts:
         payload, n = payload_of(text)
         names.append(digest(payload))
-        packed.append(struct.pack("<q", n) + z.compress(payload[:n]))
+        packed.append(bz2.compress(payload[:n]))
     return [names, packed]
 
 
+def _padded(raw: bytes) -> bytes:
+    return raw + PAD * (-len(raw) % FRAME or FRAME * (not raw))
+
+
 def _store(names, packed, owned, shared):
-    sizes, recipes, lengths, bodies = [], [], [], []
+    sizes, recipes, lengths, bodies, alone = [], [], [], [], []
     for z, own in zip(packed, owned):
-        n = struct.unpack_from("<q", z)[0]
-        raw = zstandard.ZstdDecompressor().decompress(z[8:], max_output_size=max(n, 1)) if n else b""
-        parts = chunks(raw + PAD * (-n % FRAME or FRAME * (not n)))
-        sizes.append(n)
+        raw = bz2.decompress(z)
+        parts = chunks(_padded(raw))
+        sizes.append(len(raw))
         recipes.append([digest(p) for p in parts])
         lengths.append([len(p) for p in parts])
-        bodies.append(b"".join(parts[k] for k in sorted(own or [])))
-    return [names, sizes, recipes, lengths, [sorted(o or []) for o in owned], [sorted(s or []) for s in shared], bodies]
+        alone.append(len(own or []) == len(parts))
+        # A payload that owns all its chunks is stored as it came, without the padding.
+        bodies.append(z if alone[-1] else bz2.compress(b"".join(parts[k] for k in sorted(own or []))))
+    return [names, sizes, recipes, lengths, [sorted(o or []) for o in owned], [sorted(s or []) for s in shared], alone, bodies]
+
+
+def _owned_bytes(body: bytes, alone: bool) -> bytes:
+    raw = bz2.decompress(body)
+    return _padded(raw) if alone else raw
 
 
-def _lend(recipes, lengths, owned, shared, bodies):
+def _lend(recipes, lengths, owned, shared, alone, bodies):
     """digest, bytes of the chunks that payloads own and others hold too."""
     names, blobs = [], []
-    for recipe, sizes, own, lent, body in zip(recipes, lengths, owned, shared, bodies):
-        at, lent = 0, set(lent)
+    for recipe, sizes, own, lent, whole, packed in zip(recipes, lengths, owned, shared, alone, bodies):
+        at, lent, body = 0, set(lent), _owned_bytes(packed, whole)
         for k in own:
             if k in lent:
                 names.append(recipe[k])
@@ -126,11 +136,11 @@ def recipe_bytes(recipe: list[bytes], lengths: list[int]) -> bytes:
     return b"LCDC" + struct.pack("<I", len(recipe)) + b"".join(d + struct.pack("<I", n) for d, n in zip(recipe, lengths))
 
 
-def _read(names, sizes, recipes, lengths, owned, bodies, borrowed):
+def _read(names, sizes, recipes, lengths, owned, alone, bodies, borrowed):
     out = [[] for _ in range(9)]
-    for name, n, recipe, sized, own, body, lent in zip(names, sizes, recipes, lengths, owned, bodies, borrowed):
+    for name, n, recipe, sized, own, whole, packed, lent in zip(names, sizes, recipes, lengths, owned, alone, bodies, borrowed):
         have = {x["name"]: zlib.decompress(x["blob"]) for x in lent or []}
-        at = 0
+        at, body = 0, _owned_bytes(packed, whole)
         for k in own:
             have[recipe[k]] = body[at : at + sized[k]]
             at += sized[k]
@@ -152,11 +162,15 @@ def build_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     holds = once.select("name", F.posexplode("recipe").alias("k", "chunk"))
     owners = holds.groupBy("chunk").agg(F.min(F.struct("name", "k")).alias("o"), F.count("*").alias("n"))
     mine = owners.groupBy(F.col("o.name").alias("name")).agg(F.collect_list("o.k").alias("owned"), F.collect_list(F.when(F.col("n") > 1, F.col("o.k"))).alias("shared"))
+    # What found the owners goes before the payloads come.
+    mine = keep(mine, "owned")
+    del once, holds, owners
+    release(docs.sparkSession)
     bodies = arrow_map(docs.select("text"), _pack, "name binary, z binary").groupBy("name").agg(F.first("z").alias("z"))
     store = arrow_map(
         bodies.join(mine.hint("merge"), "name", "left").select("name", "z", "owned", "shared"),
         _store,
-        "name binary, n_bytes long, recipe array<binary>, lengths array<int>, owned array<int>, shared array<int>, body binary",
+        "name binary, n_bytes long, recipe array<binary>, lengths array<int>, owned array<int>, shared array<int>, alone boolean, body binary",
     )
     return listed.select("doc_id", "name"), keep(store, "chunks")
 
@@ -164,11 +178,11 @@ def build_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_store(store: DataFrame) -> DataFrame:
     """Every payload of the store, reconstructed from its chunks, verified, and described."""
     foreign = F.size("owned") < F.size("recipe")
-    lent = arrow_map(store.where(F.size("shared") > 0).select("recipe", "lengths", "owned", "shared", "body"), _lend, "chunk binary, blob binary")
+    lent = arrow_map(store.where(F.size("shared") > 0).select("recipe", "lengths", "owned", "shared", "alone", "body"), _lend, "chunk binary, blob binary")
     needs = store.where(foreign).select("name", F.posexplode("recipe").alias("k", "chunk"), "owned").where(~F.array_contains("owned", F.col("k"))).select("name", "chunk").distinct()
     got = needs.join(lent, "chunk").groupBy("name").agg(F.collect_list(F.struct(F.col("chunk").alias("name"), "blob")).alias("borrowed"))
     kind = "array<struct<name: binary, blob: binary>>"
-    cols = ["name", "n_bytes", "recipe", "lengths", "owned", "body"]
+    cols = ["name", "n_bytes", "recipe", "lengths", "owned", "alone", "body"]
     whole = store.where(~foreign).select(*cols, F.lit(None).cast(kind).alias("borrowed"))
     # A payload may owe its repeats of a chunk to itself, so not all of these borrow.
     parts = store.where(foreign).select(*cols).join(got, "name", "left").select(*cols, F.col("borrowed").cast(kind).alias("borrowed"))
@@ -188,4 +202,5 @@ def media(docs: DataFrame) -> DataFrame:
     table gives an empty one; other columns are not read.
     """
     listed, store = build_store(docs)
+    release(docs.sparkSession)
     return listed.join(read_store(store), "name").drop("name").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
