@@ -18,10 +18,10 @@ from leafspark.llm.common import arrow_filter, arrow_map
 HASH_BITS = 18
 GRADES = 3
 #: Rated rows that the model is fitted on at most: those whose ids have the least hash.
-SAMPLE = 8000
-MIN_TAIL = 0.5
+SAMPLE = 12_000
+MIN_TAIL = 0.4
 LETTERS = re.compile(r"[^\W\d_]+")
-_LEAST_Z, _EPOCHS, _BATCH, _RATE, _DECAY = 4.0, 30, 128, 0.3, 1e-4
+_LEAST_Z, _EPOCHS, _BATCH, _RATE, _DECAY = 4.0, 40, 128, 0.3, 1e-6
 
 
 def _bin(x: float, steps: tuple[float, ...]) -> int:
@@ -29,13 +29,13 @@ def _bin(x: float, steps: tuple[float, ...]) -> int:
 
 
 def features(text: str | None) -> list[int]:
-    """Hashes of what a text has: words (lower case, without marks), marks at the ends of words, and grades of its
+    """Hashes of what a text has (words even, others odd): words (lower case, without marks), marks at the ends of words, and grades of its
     repetition, capitals, marks and length. Presence counts, not number: long texts weigh as short ones."""
     raw = (text or "").split()
     distinct = set(raw)
-    names = {f"w:{w}" for w in LETTERS.findall(" ".join(distinct).lower())}
+    words = {f"w:{w}" for w in LETTERS.findall(" ".join(distinct).lower())}
     marks = [w.strip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for w in distinct if not w[-1].isalnum()]
-    names |= {f"m:{w[-3:]}" for w in marks}
+    names = {f"m:{w[-3:]}" for w in marks}
     n = max(1, len(raw))
     letters = sum(map(str.isalpha, text or ""))
     capitals = sum(map(str.isupper, text or ""))
@@ -48,7 +48,8 @@ def features(text: str | None) -> list[int]:
         f"length:{_bin(chars / n, (2.5, 3.5, 4.5, 6, 8, 11))}",
     }
     mask = (1 << HASH_BITS) - 1
-    return sorted({xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass"), 3) & mask for x in names})
+    key = lambda x: xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass"), 3) & mask
+    return sorted({key(x) & ~1 for x in words} | {key(x) | 1 for x in names})
 
 
 class OrdinalModel:
@@ -92,7 +93,8 @@ def train(rows: list, grades: list[int], levels: int = GRADES, seed: int = 5) ->
         cuts[j] = np.log(share / (1 - share))
     cuts += np.arange(levels - 1) * 1e-3
     pushes, cut_pushes, rng = np.full(size, 1e-8), np.full(levels - 1, 1e-8), np.random.default_rng(seed)
-    for _ in range(_EPOCHS):
+    total, total_cuts, taken = np.zeros(size), np.zeros(levels - 1), 0
+    for epoch in range(_EPOCHS):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), _BATCH):
             pick = order[at : at + _BATCH]
@@ -110,28 +112,35 @@ def train(rows: list, grades: list[int], levels: int = GRADES, seed: int = 5) ->
             grad = np.bincount(cols, to_score[where], minlength=size) + _DECAY * weights
             pushes += grad * grad
             weights -= _RATE * grad / np.sqrt(pushes)
+            np.minimum(weights[::2], 0, out=weights[::2])  # no number of usual words makes up for a bad one
             to_cut = np.zeros(levels + 1)
             np.add.at(to_cut, g + 1, -d_hi / prob / len(pick))
             np.add.at(to_cut, g, d_lo / prob / len(pick))
             cut_grad = to_cut[1:levels]
             cut_pushes += cut_grad * cut_grad
             cuts = np.maximum.accumulate(cuts - _RATE * cut_grad / np.sqrt(cut_pushes))
+        if 2 * epoch >= _EPOCHS:  # the mean of the later epochs stands for where they waver about
+            total, total_cuts, taken = total + weights, total_cuts + cuts, taken + 1
+    weights, cuts = total / taken, total_cuts / taken
     weights[~used] = 0
     return OrdinalModel(weights, cuts)
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """doc_id, grade of labels(doc_id, quality, toxic): 0 poor text, 1 good text that is toxic, 2 good text."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    """doc_id, grade of labels(doc_id, quality, toxic): 0 toxic text, 1 poor text, 2 good text. The end of the scale has
+    no lower bound, so each bad word may count in full."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     return labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", grade.alias("grade"))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, levels: int = GRADES) -> OrdinalModel:
     """From docs(doc_id, text) and ratings(doc_id, grade): at most `sample` rated rows. Without any, all grades tie."""
     some = ratings.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id")).limit(sample)
-    rated = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text").limit(2 * sample)
-    rows = arrow_map(rated, lambda ids, grades, texts: [ids, grades, [np.array(features(t), np.int32).tobytes() for t in texts]], "doc_id long, grade int, found binary").collect()
-    rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
+    rated = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text")
+    found = arrow_map(rated, lambda ids, grades, texts: [ids, grades, [np.array(features(t), np.int32).tobytes() for t in texts]], "doc_id long, grade int, found binary")
+    # One row for each rated id, and one for each set of features: copies would count as evidence of their own.
+    found = found.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("found").alias("found")).groupBy("found").agg(F.min("doc_id").alias("doc_id"), F.min("grade").alias("grade"))
+    rows = sorted(found.select("doc_id", "grade", "found").collect(), key=lambda r: r["doc_id"])
     return train([np.frombuffer(r["found"], np.int32) for r in rows], [r["grade"] for r in rows], levels)
 
 
