@@ -90,6 +90,18 @@ def arrow_filter(df: DataFrame, column: str, keeps) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def least_hashed(rows: DataFrame, by: Column, most: int) -> DataFrame:
+    """The `most` rows of least hash `by`; all rows where there are no more. Where there are many more, a quantile of
+    the hash leaves out those far above first: else every task would send the one that merges as many."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    if n > 4 * most:
+        bound = rows.agg(F.percentile_approx(by, 2 * most / n, max(10_000, 4 * n // most))).first()[0]
+        rows = rows.where(by <= bound)
+    return rows.orderBy(by).limit(most)
+
+
 def text_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.common import keep
+from leafspark.llm.common import keep, least_hashed
 
 BUCKETS = 4096
 STEPS, TOLERANCE = 30, 1e-4
@@ -42,7 +42,7 @@ class Domains:
 def fit_domains(labelled: DataFrame, sample: int = SAMPLE) -> Domains:
     """From labelled(text, domain). Rows without a domain are not used; without any row there is one domain, "all"."""
     rows = labelled.where("domain is not null").select("text", F.col("domain").cast("string").alias("domain"))
-    rows = keep(rows.orderBy(F.xxhash64("text", "domain")).limit(sample), "labelled")
+    rows = keep(least_hashed(rows, F.xxhash64("text", "domain"), sample), "labelled")
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes) or ["all"]
     total = sum(sizes.values())

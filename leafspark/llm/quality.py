@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.common import arrow_filter, arrow_map
+from leafspark.llm.common import arrow_filter, arrow_map, least_hashed
 
 HASH_BITS = 18
 GRADES = 3
@@ -135,7 +135,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, levels: int = GRADES) -> OrdinalModel:
     """From docs(doc_id, text) and ratings(doc_id, grade): at most `sample` rated rows. Without any, all grades tie."""
-    some = ratings.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id")).limit(sample)
+    some = least_hashed(ratings.groupBy("doc_id").agg(F.min("grade").alias("grade")), F.xxhash64("doc_id"), sample)
     rated = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text")
     found = arrow_map(rated, lambda ids, grades, texts: [ids, grades, [np.array(features(t), np.int32).tobytes() for t in texts]], "doc_id long, grade int, found binary")
     # One row for each rated id, and one for each set of features: copies would count as evidence of their own.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspark.llm import decontaminate, html_text, lm, media, mixing, pii, quality, sharding, simhash, substring_dedup
-from leafspark.llm.common import table
+from leafspark.llm.common import least_hashed, table
 
 #: Shares of tokens by language, for mixing.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
@@ -17,7 +17,7 @@ TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents of the labelled table with their language as the domain: at most mixing.SAMPLE, by least hash of
     the id."""
-    some = labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(mixing.SAMPLE)
+    some = least_hashed(labels.select("doc_id").where("doc_id is not null").distinct(), F.xxhash64("doc_id"), mixing.SAMPLE)
     return docs.join(F.broadcast(some), "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
 
 
