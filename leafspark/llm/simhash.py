@@ -184,4 +184,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
         named = named.join(repeated, "doc_id", "left_anti").unionByName(named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return named.select(*(f"`{c}`" for c in docs.columns)).unionByName(docs.where("doc_id is null"))

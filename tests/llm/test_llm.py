@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from leafspark.llm import decontaminate, html_text, lm, media, mixing, pii, quality, sharding, simhash, substring_dedup
-from leafspark.llm.common import components
+from leafspark.llm.common import components, least_hashed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, component_id string"
 
@@ -412,6 +412,30 @@ def test_word_counts_are_exact(docs):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [1, 5, 60, 1000])
+def test_most_frequent_is_a_sort(spark, size):
+    r = random.Random(3)
+    rows = [(b"%d" % i, r.choice([1, 1, 2, 3, 50, r.randrange(1, 10**6)])) for i in range(300)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    assert lm.most_frequent(counts, size) == sorted(rows, key=lambda x: (-x[1], x[0]))[:size]
+    assert lm.most_frequent(counts.limit(0), size) == []
+
+
+@pytest.mark.parametrize("most", [3, 40, 999, 1000, 5000])
+def test_least_hashed_is_a_sort(spark, most):
+    ids = spark.range(1000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"))
+    want = sorted((x["h"], x["doc_id"]) for x in ids.collect())[:most]
+    assert sorted((x["h"], x["doc_id"]) for x in least_hashed(ids, F.col("h"), most).collect()) == want
+    same = spark.range(1000).select(F.lit(7).alias("h"))
+    assert least_hashed(same, F.col("h"), most).count() == min(most, 1000)
+
+
+def test_one_of_each_passes_odd_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "p"), (2, "a b c d", "q"), (None, "a b c d", "r"), (3, "other words of it", "s")], "doc_id long, text string, `a.b` string")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(x["a.b"] for x in got.collect()) == ["p", "r", "s"]
+
+
 def test_network_gradient():
     net = lm.Network(classes=5, seed=1)
     contexts, targets = net.contexts(np.array([1, 2, 3, 4, 5, 2000])), np.array([0, 1, 2, 3, 4, 4])
