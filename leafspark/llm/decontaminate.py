@@ -108,7 +108,8 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, spans (array of hit words' first, end) and items (ids as strings) of every row.
 
     Each text is scanned once per block of items. Null and empty texts have no words and no hits; items without words
-    have no windows; an item shorter than a window is one window."""
+    have no windows; an item shorter than a window is one window. Windows of an item without an id hit words, but it is
+    not among the items that are named and counted."""
     getters = [_matcher(block) for block in item_blocks(items)]
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -119,7 +120,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
             got = [h for get in getters for h in get().find(words)]
             n_words.append(len(words))
             spans.append([{"first": a, "end": b} for a, b in covered([h[:2] for h in got])])
-            found.append(sorted({str(i) for h in got for i in h[2]}))
+            found.append(sorted({str(i) for h in got for i in h[2] if i is not None}))
         return [ids, n_words, spans, found]
 
     return arrow_map(docs.select("doc_id", "text"), scan, f"doc_id {kind}, n_words long, spans array<struct<first: int, end: int>>, items array<string>")

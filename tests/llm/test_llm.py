@@ -154,12 +154,12 @@ def brute_contamination(text, items):
         for k in range(len(w) - n + 1):
             if v and tuple(w[k : k + n]) in wins:
                 hit |= set(range(k, k + n))
-                who.add(str(i))
+                who |= {str(i)} if i is not None else set()
     ids = hashlib.sha256(",".join(sorted(who)).encode()).hexdigest()
     return len(w), len(hit), len(who), ids, bool(hit) and 20 * len(hit) >= len(w)
 
 
-ITEMS = [(1, " ".join(words(40, 2))), (10, "One, TWO"), (2, None), (3, ""), (4, "?!"), (5, " ".join(words(13, 3))), (6, " ".join(words(14, 3))), (7, "日本")]
+ITEMS = [(1, " ".join(words(40, 2))), (10, "One, TWO"), (2, None), (3, ""), (4, "?!"), (5, " ".join(words(13, 3))), (6, " ".join(words(14, 3))), (7, "日本"), (None, " ".join(words(13, 4)))]
 
 
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 20])
