@@ -10,7 +10,7 @@ earlier batches on (mh, ctx): an entry found there, or in a smaller document of
 Other entries form a new sorted run; runs are compacted when there are more than FANOUT of them.
 
 An anchor whose windows occur with different ctx may share some windows and not others. These are verified: the windows
-of such entries (one entry of each ctx) are hashed one by one from the texts, and each goes to the least doc_id.
+of such entries (of each ctx, all places in its least document) are hashed one by one from the texts, and each goes to the least doc_id.
 Hashes are 64 bits of mh and 64 bits of ctx or window, together.
 """
 
@@ -120,7 +120,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of entries (mh, ctx, doc_id, first, last), one for each (mh, ctx), sorted by it and never changed."""
+    """Runs of entries (mh, ctx, doc_id, first, last), sorted by (mh, ctx) and never changed: of each (mh, ctx), every
+    place in the least document that holds it."""
 
     def __init__(self, fanout: int = FANOUT):
         self.runs: list[DataFrame] = []
@@ -141,13 +142,13 @@ class FingerprintIndex:
         if past is None:
             met = met.withColumn("past", F.lit(None).cast("long"))
         else:
-            met = met.join(past.select("mh", "ctx", F.col("doc_id").alias("past")).hint("merge"), ["mh", "ctx"], "left")
+            known = past.groupBy("mh", "ctx").agg(F.first("doc_id").alias("past"))
+            met = met.join(known.hint("merge"), ["mh", "ctx"], "left")
         met = met.withColumn("repeats", F.col("past").isNotNull() | (F.col("own") < F.col("doc_id"))).drop("own", "past")
         met = keep(met.sortWithinPartitions("mh", "ctx"), "batch")
-        # The least document may hold an entry at several places: one of them goes into the run, all have its windows.
-        run = met.where("not repeats").groupBy("mh", "ctx").agg(F.min("doc_id").alias("doc_id"), F.min("first").alias("first"))
-        run = run.join(met.where("not repeats"), ["mh", "ctx", "doc_id", "first"]).select("mh", "ctx", "doc_id", "first", "last")
-        self.runs.append(keep(run.dropDuplicates(["mh", "ctx"]).sortWithinPartitions("mh", "ctx"), "run"))
+        # What does not repeat is in the least document, maybe at several places: any of them may have to go.
+        run = met.where("not repeats").select("mh", "ctx", "doc_id", "first", "last")
+        self.runs.append(keep(run.sortWithinPartitions("mh", "ctx"), "run"))
         if len(self.runs) > self.fanout:
             self.compact()
         return met.where("repeats").select("doc_id", "first", "last")
@@ -165,7 +166,7 @@ class FingerprintIndex:
         past = self.history()
         if past is None:
             return None
-        several = past.groupBy("mh").count().where("count > 1").select("mh")
+        several = past.groupBy("mh").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("low < high").select("mh")
         return past.join(several, "mh", "left_semi")
 
 
@@ -252,7 +253,7 @@ def repeated_passages(docs: DataFrame, batches: int = BATCHES, fanout: int = FAN
         found = repeats if found is None else found.union(repeats)
     index.compact()
     sure = keep(_ranges(found), "ranges")
-    doubtful = keep(index.doubtful().groupBy("doc_id").agg(F.collect_list(F.struct("mh", "first", "last")).alias("entries")), "doubtful")
+    doubtful = keep(index.doubtful().groupBy("doc_id").agg(F.collect_set(F.struct("mh", "first", "last")).alias("entries")), "doubtful")
     lengths = sketch.where("doc_id is not null").select("doc_id", "n_words")
     whole = sure.join(lengths, "doc_id").where("n_removed >= n_words").select("doc_id").distinct()
     # Texts are moved once: of documents that lose some words, but not all, or have windows to verify.

@@ -299,6 +299,19 @@ def test_repeated_passages_of_random_edits(spark):
     assert {x[0]: tuple(x[1:]) for x in got.collect()} == brute_passages(rows)
 
 
+def test_repeated_passages_at_several_places(spark):
+    """Documents that hold a passage twice, of which a smaller one holds a part."""
+    rows = []
+    for seed in range(6):
+        a, b, y = (words(100, 100 * seed + k, 10**6) for k in (1, 2, 3))
+        x, z = (words(60, 100 * seed + k, 10**6) for k in (4, 5))
+        rows += [(2 * seed, " ".join(a + b)), (2 * seed + 1, " ".join(a + x + y + a + x + z))]
+    want = brute_passages(rows)
+    assert [want[2 * k + 1][1] for k in range(6)] == [200] * 6
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {x[0]: tuple(x[1:]) for x in got.collect()} == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy the best of the things now</div>
 <article><h1>Head &amp; line</h1><p><b>First  para&shy;graph<br>goes on.<p>On.</p><p>x | y | z</p><aside>See the related story</aside>
