@@ -255,7 +255,8 @@ def repeated_passages(docs: DataFrame, batches: int = BATCHES, fanout: int = FAN
     sure = keep(_ranges(found), "ranges")
     doubtful = keep(index.doubtful().groupBy("doc_id").agg(F.collect_set(F.struct("mh", "first", "last")).alias("entries")), "doubtful")
     lengths = sketch.where("doc_id is not null").select("doc_id", "n_words")
-    whole = sure.join(lengths, "doc_id").where("n_removed >= n_words").select("doc_id").distinct()
+    # Documents that go as a whole need no text, unless a window to verify may first be in them.
+    whole = sure.join(lengths, "doc_id").where("n_removed >= n_words").select("doc_id").distinct().join(doubtful, "doc_id", "left_anti")
     # Texts are moved once: of documents that lose some words, but not all, or have windows to verify.
     wanted = sure.select("doc_id").union(doubtful.select("doc_id")).distinct().join(whole, "doc_id", "left_anti")
     texts = arrow_map(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _pack, "doc_id long, z binary")

@@ -312,6 +312,20 @@ def test_repeated_passages_at_several_places(spark):
     assert {x[0]: tuple(x[1:]) for x in got.collect()} == want
 
 
+def test_windows_first_seen_in_wholly_removed_documents(spark):
+    """Overlapping excerpts of T cover T, yet windows across their ends are first in T, and repeat after it."""
+    rows = []
+    for seed in range(6):
+        t = words(240, 100 * seed + 1, 10**6)
+        o1, o2, o3, o4 = (words(n, 100 * seed + k, 10**6) for k, n in ((2, 30), (3, 30), (4, 60), (5, 60)))
+        texts = [t[:140] + o1, o2 + t[100:], t, o3 + t[91:149] + o4]
+        rows += [(4 * seed + k, " ".join(x)) for k, x in enumerate(texts)]
+    want = brute_passages(rows)
+    assert [want[4 * k + 2][1] for k in range(6)] == [240] * 6 and [want[4 * k + 3][1] for k in range(6)] == [58] * 6
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {x[0]: tuple(x[1:]) for x in got.collect()} == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy the best of the things now</div>
 <article><h1>Head &amp; line</h1><p><b>First  para&shy;graph<br>goes on.<p>On.</p><p>x | y | z</p><aside>See the related story</aside>
