@@ -4,8 +4,12 @@ Words are numbered by their count in the whole corpus and cut into classes of ab
 embeddings of the SIDE words on either side of a place, not the word there, and gives the odds of each class; a word's
 odds within its class follow from the corpus counts. The sum of the log odds of all words scores a document.
 
+The VOCABULARY most frequent words are looked up in memory. All others are in the last class, where each has the share
+of its own count: the shares are joined to the texts by the words' hashes, never gathered in one place. Each word of the
+vocabulary has an embedding; other words have hashed ones, whose number grows in proportion to the distinct words.
+
 The network is trained on all texts: every task trains a copy on its own rows, the copies are averaged by the words that
-they saw, weight by weight in a shuffled sum, and the average begins the next round.
+they saw (an embedding by how often they saw its words), in a shuffled sum, and the average begins the next round.
 """
 
 from __future__ import annotations
@@ -15,15 +19,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspark.llm.common import arrow_map, keep, small_batches, text_bytes
 
 VOCABULARY, CLASSES, NEAR = 20_000, 48, 1024
+#: Hashed embeddings: the power of two that gives one to KINDS_A_ROW distinct words beyond VOCABULARY, NEAR at least.
+KINDS_A_ROW, _SEED = 32, 42
 SIDE, WIDTH, HIDDEN = 2, 8, 24
 ROUNDS, BATCH, RATE = 2, 512, 0.05
-_EDGE = NEAR  # the embedding of what lies beyond either end
 _FLUSH = 200_000
 
 
@@ -51,12 +57,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Words by rank with their class and the log of their share in it. The last class is of all other words."""
+    """Words by rank with their class and the log of their share in it. The last class is of all other words: the log of
+    what one count is of their sum; the log of a word's count comes on top, from the table of counts."""
 
     def __init__(self, ranked: list[tuple[bytes, int]], total: int, kinds: int, classes: int = CLASSES):
         self.number = {bytes(w): i for i, (w, _) in enumerate(ranked)}
         inside = sum(n for _, n in ranked)
         self.classes = classes
+        self.hashed = max(NEAR, 1 << max(0, math.ceil((kinds - len(ranked)) / KINDS_A_ROW) - 1).bit_length())
         self.of = np.full(len(ranked) + 1, classes - 1, np.int32)
         self.share = np.zeros(len(ranked) + 1, np.float32)
         mass = np.zeros(classes)
@@ -67,13 +75,21 @@ class Vocabulary:
             mass[self.of[i]] += n
         for i, (_, n) in enumerate(ranked):
             self.share[i] = math.log(n / mass[self.of[i]])
-        # All kinds of other words are alike.
-        self.share[-1] = -math.log(max(1, kinds - len(ranked)))
+        self.share[-1] = -math.log(max(1, total - inside))
+
+    @property
+    def rows(self) -> int:
+        """Embeddings: of each word by rank, hashed ones, and one of what lies beyond either end."""
+        return len(self.number) + self.hashed + 1
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        other = len(self.of) - 1
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's embedding: by rank, or hashed for all other words; and the hashes of those."""
         get = self.number.get
-        return np.fromiter([get(w, other) for w in words], np.int32, len(words))
+        out = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
+        other = np.flatnonzero(out < 0)
+        hashes = np.fromiter([xxhash.xxh64_intdigest(words[k], _SEED) for k in other.tolist()], np.uint64, len(other))
+        out[other] = len(self.number) + (hashes & np.uint64(self.hashed - 1)).astype(np.int32)
+        return out, hashes.view(np.int64)
 
 
 def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
@@ -89,30 +105,33 @@ def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
     return [(bytes(r["word"]), r["n"]) for r in counts.where(level >= least).orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = CLASSES) -> Vocabulary:
+def vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = CLASSES) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary, and the table of all words' counts."""
     counts = keep(word_counts(docs), "words")
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     ranked = most_frequent(counts, size)
-    return Vocabulary(ranked, total or 0, kinds, classes)
+    return Vocabulary(ranked, total or 0, kinds, classes), counts
 
 
 class Network:
     """Embeddings, one hidden layer, class odds; params is one flat float32 vector."""
 
-    def __init__(self, params: np.ndarray | None = None, classes: int = CLASSES, seed: int = 9):
-        self.shapes = [(NEAR + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,)]
+    def __init__(self, params: np.ndarray | None = None, classes: int = CLASSES, seed: int = 9, rows: int = VOCABULARY + NEAR + 1):
+        self.shapes = [(rows, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,)]
         sizes = [math.prod(s) for s in self.shapes]
         if params is None:
             rng = np.random.default_rng(seed)
-            params = np.concatenate([(rng.standard_normal(n) * (0 if len(s) == 1 else 0.3 if s[0] == NEAR + 1 else s[0] ** -0.5)).ravel() for n, s in zip(sizes, self.shapes)])
+            scales = [0.3, (2 * SIDE * WIDTH) ** -0.5, 0, HIDDEN**-0.5, 0]
+            params = np.concatenate([rng.standard_normal(n, np.float32) * np.float32(x) for n, x in zip(sizes, scales)])
         self.params = np.array(params, np.float32)
         self.embed, self.w1, self.b1, self.w2, self.b2 = (p.reshape(s) for p, s in zip(np.split(self.params, np.cumsum(sizes)[:-1]), self.shapes))
         self.pushes = [np.full(s, 1e-3, np.float32) for s in self.shapes]
+        self.seen = np.zeros(rows, np.int64)
 
     def contexts(self, numbers: np.ndarray) -> np.ndarray:
-        """The 2 x SIDE neighbours of every place of one text, as rows of embedding indexes."""
-        padded = np.full(len(numbers) + 2 * SIDE, _EDGE, np.int64)
-        padded[SIDE : SIDE + len(numbers)] = np.minimum(numbers, NEAR - 1)
+        """The 2 x SIDE neighbours of every place of one text, as rows of embedding indexes; the last is beyond the ends."""
+        padded = np.full(len(numbers) + 2 * SIDE, len(self.embed) - 1, np.int64)
+        padded[SIDE : SIDE + len(numbers)] = numbers
         n = len(numbers)
         return np.stack([padded[k : k + n] for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))], axis=1)
 
@@ -144,7 +163,7 @@ class Network:
         dh = (d @ self.w2.T) * (h > 0)
         dx = (dh @ self.w1.T).reshape(-1, WIDTH)
         flat = contexts.ravel()
-        de = np.stack([np.bincount(flat, dx[:, k], minlength=NEAR + 1) for k in range(WIDTH)], axis=1).astype(np.float32)
+        de = np.stack([np.bincount(flat, dx[:, k], minlength=len(self.embed)) for k in range(WIDTH)], axis=1).astype(np.float32)
         grads = [de, x.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
         for p, g, s in zip((self.embed, self.w1, self.b1, self.w2, self.b2), grads, self.pushes):
             s += g * g
@@ -152,64 +171,97 @@ class Network:
 
 
 def numbered(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """doc_id and the numbers of a text's words, 4 bytes each: texts are cut into words once for all rounds."""
+    """row, doc_id, the numbers of a text's words, 4 bytes each, and the hashes of those beyond the vocabulary: texts are
+    cut into words once for all rounds."""
     shared = docs.sparkSession.sparkContext.broadcast(words)  # VOCABULARY words
     kind = dict(docs.dtypes)["doc_id"]
 
     def rows(ids, texts):
-        return [ids, [shared.value.numbers(words_of(t)).tobytes() for t in texts]]
+        found = [shared.value.numbers(words_of(t)) for t in texts]
+        return [ids, [n.tobytes() for n, _ in found], [h for _, h in found]]
+
+    out = arrow_map(docs.select("doc_id", "text"), rows, f"doc_id {kind}, numbers binary, others array<long>")
+    return keep(out.select(F.monotonically_increasing_id().alias("row"), "*"), "numbers")
 
-    return keep(arrow_map(docs.select("doc_id", "text"), rows, f"doc_id {kind}, numbers binary"), "numbers")
+
+def other_logs(numbers: DataFrame, counts: DataFrame) -> DataFrame:
+    """row and the sum of the log counts of its words beyond the vocabulary; no row where that is 0."""
+    key = F.xxhash64("word")  # XXH64 with seed 42, as in numbers()
+    logs = counts.where("n > 1").groupBy(key.alias("h")).agg(F.log(F.sum("n")).alias("log_n"))
+    places = numbers.select("row", F.explode("others").alias("h"))
+    return places.join(logs.hint("merge"), "h").groupBy("row").agg(F.sum("log_n").alias("logs"))
 
 
 def train(numbers: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """The network's params after rounds over all texts. Each round is one job, whose tasks may be run again."""
     spark = numbers.sparkSession
     small_batches(spark)
-    classes, of = words.classes, spark.sparkContext.broadcast(words.of)
-    params = Network(classes=classes).params
+    classes, size, of = words.classes, words.rows, spark.sparkContext.broadcast(words.of)
+    params = Network(classes=classes, rows=size).params
+    values = [f"v{k}" for k in range(WIDTH)]
     for k in range(rounds):
-        start = spark.sparkContext.broadcast(params)  # of fixed size
+        start = spark.sparkContext.broadcast(params)  # grows with the distinct words, KINDS_A_ROW to one embedding
 
         def learn(batches, start=start, rate=RATE / (k + 1)):
-            net, seen, have, pending = Network(start.value, classes), 0, 0, []
+            net, seen, have, pending = Network(start.value, classes, rows=size), 0, 0, []
             for batch in batches:
                 for packed in batch.column(0).to_pylist():
                     numbers = np.frombuffer(packed, np.int32)
                     if len(numbers):
-                        pending.append((net.contexts(numbers), of.value[numbers]))
+                        pending.append(numbers)
                         have += len(numbers)
                         if have >= 8 * BATCH:
-                            seen += _learn(net, pending, rate)
+                            seen += _learn(net, pending, of.value, rate)
                             pending, have = [], 0
             if pending:
-                seen += _learn(net, pending, rate)
+                seen += _learn(net, pending, of.value, rate)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(net.params)), pa.int32()), pa.array(net.params.astype(np.float64) * seen), pa.array([seen] * len(net.params), pa.int64())], ["i", "s", "n"])
-
-        got = numbers.select("numbers").mapInArrow(learn, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # as many rows as params
-        params = params.copy()
-        for i, s, n in got:
-            params[i] = s / n
+                # Embeddings that the task saw, and all other weights in rows of as many.
+                used = np.flatnonzero(net.seen)
+                rest = net.params[size * WIDTH :]
+                rest = np.pad(rest, (0, -len(rest) % WIDTH)).reshape(-1, WIDTH)
+                i = np.concatenate([used, size + np.arange(len(rest))])
+                n = np.concatenate([net.seen[used], np.full(len(rest), seen)])
+                sums = np.concatenate([net.embed[used], rest]).astype(np.float64) * n[:, None]
+                for at in range(0, len(i), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(i[part].astype(np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in sums[part].T), pa.array(n[part])], ["i", *values, "n"])
+
+        sums = numbers.select("numbers").mapInArrow(learn, f"i int, {', '.join(f'{v} double' for v in values)}, n long").groupBy("i").agg(*(F.sum(v).alias(v) for v in values), F.sum("n").alias("n"))
+        # As many rows as embeddings, and the other weights.
+        got = sums.select("i", *((F.col(v) / F.col("n")).cast("float").alias(v) for v in values)).toArrow()
+        padded = np.pad(params, (0, -len(params) % WIDTH)).reshape(-1, WIDTH)
+        padded[got.column("i").to_numpy()] = np.stack([got.column(v).to_numpy() for v in values], axis=1)
+        params = padded.ravel()[: len(params)]
     return params
 
 
-def _learn(net: Network, pending: list, rate: float) -> int:
-    """Trains on the places of some texts in mixed order."""
-    contexts, targets = np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending])
+def _learn(net: Network, pending: list[np.ndarray], of: np.ndarray, rate: float) -> int:
+    """Trains on the places of some texts in mixed order, on a copy of just the embeddings that are in them."""
+    numbers = np.concatenate(pending)
+    targets = of[np.minimum(numbers, len(of) - 1)]
+    used, local, n = np.unique(numbers, return_inverse=True, return_counts=True)
+    used = np.append(used, len(net.embed) - 1)
+    net.seen[used] += np.append(n, len(pending))
+    whole = net.embed, net.pushes[0]
+    net.embed, net.pushes[0] = whole[0][used], whole[1][used]
+    contexts = np.concatenate([net.contexts(x) for x in np.split(local, np.cumsum([len(p) for p in pending])[:-1])])
     order = np.random.default_rng(len(targets)).permutation(len(targets))
     for at in range(0, len(order), BATCH):
         pick = order[at : at + BATCH]
         net.step(contexts[pick], targets[pick], rate)
+    whole[0][used], whole[1][used] = net.embed, net.pushes[0]
+    net.embed, net.pushes[0] = whole
     return len(targets)
 
 
 def log_likelihood(net: Network, of: np.ndarray, share: np.ndarray, numbers: np.ndarray) -> float:
-    """The sum of the words' log odds given both sides."""
+    """The sum of the words' log odds given both sides, without the log counts of words beyond the vocabulary."""
     total = 0.0
+    ranks = np.minimum(numbers, len(of) - 1)
     contexts = net.contexts(numbers) if len(numbers) else None
     for at in range(0, len(numbers), 2048):
-        part = numbers[at : at + 2048]
+        part = ranks[at : at + 2048]
         logs = net.log_odds(contexts[at : at + 2048], of[part])
         total += float(logs.sum(dtype=np.float64) + share[part].sum(dtype=np.float64))
     return total
@@ -222,17 +274,20 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     equal values; rows without a doc_id keep that null. An empty table gives an empty one; other columns are not read.
     """
     spark: SparkSession = docs.sparkSession
-    words = vocabulary(docs)
+    words, counts = vocabulary(docs)
     numbers = numbered(docs, words)
     params = train(numbers, words, rounds)
-    shared = spark.sparkContext.broadcast((words.classes, words.of, words.share, params))
+    shared = spark.sparkContext.broadcast((words.classes, words.rows, words.of, words.share, params))
     kind = dict(docs.dtypes)["doc_id"]
 
-    def rows(ids, packed):
-        classes, of, share, weights = shared.value
-        net = Network(weights, classes)
+    def rows(keys, ids, packed):
+        classes, size, of, share, weights = shared.value
+        net = Network(weights, classes, rows=size)
         found = [np.frombuffer(p, np.int32) for p in packed]
-        sums = [log_likelihood(net, of, share, f) for f in found]
-        return [ids, [len(f) for f in found], sums, [s / len(f) if len(f) else None for s, f in zip(sums, found)]]
+        return [keys, ids, [len(f) for f in found], [log_likelihood(net, of, share, f) for f in found]]
 
-    return arrow_map(numbers, rows, f"doc_id {kind}, n_tokens long, log_likelihood double, per_token double")
+    scored = arrow_map(numbers.select("row", "doc_id", "numbers"), rows, f"row long, doc_id {kind}, n_tokens long, part double")
+    total = F.col("part") + F.coalesce("logs", F.lit(0.0))
+    return scored.join(other_logs(numbers, counts).hint("merge"), "row", "left").select(
+        "doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token")
+    )

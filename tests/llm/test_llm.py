@@ -494,6 +494,39 @@ def test_scores_tell_order_from_disorder(spark):
     assert got[901]["log_likelihood"] == 0 and got[901]["per_token"] is None and got[902]["n_tokens"] == 0
 
 
+def test_every_word_counts_in_scores(spark, monkeypatch):
+    """Words beyond the vocabulary: each has the share of its own count, and its own hashed embedding."""
+    monkeypatch.setattr(lm, "VOCABULARY", 5)
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{int(40 * r.random() ** 2)}" for _ in range(r.randrange(60)))) for i in range(40)] + [(None, "w39 w38 rare"), (50, None), (50, "ünïcode rare")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    voc, counts = lm.vocabulary(frame, 5)
+    n = {bytes(x["word"]): x["n"] for x in counts.collect()}
+    assert len(voc.number) == 5 and len(n) > 30
+    others = sum(k for w, k in n.items() if w not in voc.number)
+    odds = [math.exp(float(voc.share[-1])) * k for w, k in n.items() if w not in voc.number]
+    assert others and abs(sum(odds) - 1) < 1e-5  # the shares in the last class are all of it
+    numbers = lm.numbered(frame, voc)
+    logs = {x["row"]: x["logs"] for x in lm.other_logs(numbers, counts).collect()}
+    kinds = {}
+    for x in numbers.collect():
+        got = np.frombuffer(x["numbers"], np.int32)
+        assert len(x["others"]) == int((got >= 5).sum()) and (got < voc.rows - 1).all()
+        kinds.update((int(h), int(k)) for h, k in zip(x["others"], got[got >= 5]))
+    assert len(kinds) == len(n) - 5 and len(set(kinds.values())) > 0.9 * len(kinds)
+    texts = sorted((sum(math.log(n[w]) for w in lm.words_of(t) if w not in voc.number) for _, t in rows), reverse=True)
+    assert np.allclose(texts, sorted((logs.get(x["row"], 0.0) for x in numbers.collect()), reverse=True))
+
+
+def test_embeddings_grow_with_the_distinct_words():
+    ranked = [(b"%d" % i, 5) for i in range(100)]
+    sizes = [lm.Vocabulary(ranked, 10**9, kinds).hashed for kinds in (100, 10**5, 10**6, 10**7)]
+    assert sizes == [1024, 4096, 32768, 524288]
+    net = lm.Network(classes=5, rows=3000)
+    assert len({tuple(net.embed[k]) for k in (1022, 1023, 1500, 2998)}) == 4
+    assert net.contexts(np.array([1500, 2998]))[0].tolist() == [2999, 2999, 2998, 2999]
+
+
 def test_quality_held_out():
     r = random.Random(6)
     bad = ["awful", "rotten", "vile"]
