@@ -174,14 +174,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marks.join(answer, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows that have a smaller doc_id in their component. Rows of one doc_id are one document, of
-    which the repeats go; rows without a doc_id stay."""
-    found = keep(near_duplicates(docs), "components")
-    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
+def only(docs: DataFrame, firsts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in firsts, one for each doc_id, and those without a doc_id. ids has the doc_id
+    of every row."""
     # The ids kept grow with the input, so both sides are shuffled at any size.
     named = docs.join(firsts.hint("merge"), "doc_id", "left_semi")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
         named = named.join(repeated, "doc_id", "left_anti").unionByName(named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return named.select(*(f"`{c}`" for c in docs.columns)).unionByName(docs.where("doc_id is null"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without the rows that have a smaller doc_id in their component. Rows of one doc_id are one document, of
+    which the repeats go; rows without a doc_id stay."""
+    found = keep(near_duplicates(docs), "components")
+    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
+    return only(docs, firsts, found.select("doc_id"))
