@@ -147,13 +147,12 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with docs' columns."""
+    """The rows of docs that hold no window of any item, with docs' columns. A long document goes for one passage too:
+    its share of the words does not matter. Null and empty texts stay, as do all where no item has words."""
     getters = [_matcher(block) for block in item_blocks(items)]
 
     def keeps(text: str | None) -> bool:
         words = normal_words(text)
-        spans = covered([h[:2] for get in getters for h in get().find(words)])
-        n_hit = sum(b - a for a, b in spans)
-        return not (n_hit > 0 and 20 * n_hit >= len(words))
+        return not any(get().find(words) for get in getters)
 
     return arrow_filter(docs, "text", lambda texts: [keeps(t) for t in texts])
