@@ -45,15 +45,12 @@ def text_string(data: Column) -> Column:
     return F.when(mark == "FEFF", F.decode(rest, "UTF-16BE")).when(mark == "FFFE", F.decode(rest, "UTF-16LE")).otherwise(F.decode(data, "ISO-8859-1"))
 
 
-def _bytes(data: Column) -> Column:
-    n = F.octet_length(data)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-
 def encoded_text(data: Column, encoding: str = "WinAnsiEncoding") -> Column:
     """Bytes in a named encoding as text; codes that it lacks are dropped."""
-    chars = F.array(*(F.lit(chr(c) if c else "") for c in ENCODINGS[encoding]))
-    return F.array_join(F.transform(_bytes(data), lambda b: F.element_at(chars, b + 1)), "")
+    # As Latin-1 every byte is the character of its number; then the codes that differ are changed, the others dropped.
+    codes = [(code, point) for code, point in enumerate(ENCODINGS[encoding]) if code != point or not code]
+    changed, dropped = [(code, point) for code, point in codes if point], [code for code, point in codes if not point]
+    return F.translate(F.decode(data, "ISO-8859-1"), "".join(chr(c) for c in (*(c for c, _ in changed), *dropped)), "".join(chr(p) for _, p in changed))
 
 
 def glyph_code(glyph: Column) -> Column:

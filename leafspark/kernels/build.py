@@ -53,6 +53,33 @@ def compressed(objects: dict[int, bytes], packed: dict[int, bytes], root: int =
     return bytes(out)
 
 
+def hybrid(objects: dict[int, bytes], hidden: dict[int, bytes], trailer: str = "/Root 1 0 R") -> bytes:
+    """A file with a cross-reference table whose trailer names a stream of the objects that the table has not."""
+    out, offsets = bytearray(b"%PDF-1.5\n"), {}
+    for num, body in {**objects, **hidden}.items():
+        offsets[num] = len(out)
+        out += f"{num} 0 obj\n".encode() + body + b"\nendobj\n"
+    size, more = max([*objects, *hidden]) + 2, len(out)
+    rows = b"".join(b"\x01" + offsets[n].to_bytes(4, "big") + b"\0\0" for n in sorted(hidden))
+    index = " ".join(f"{n} 1" for n in sorted(hidden))
+    out += f"{size - 1} 0 obj\n".encode() + stream(rows, f" /Type /XRef /Size {size} /W [1 4 2] /Index [{index}]") + b"\nendobj\n"
+    start = len(out)
+    table = "".join(f"{n} 1\n{offsets[n]:010d} 00000 n \n" for n in sorted(objects))
+    return bytes(out) + f"xref\n{table}trailer\n<< /Size {size} {trailer} /XRefStm {more} >>\nstartxref\n{start}\n%%EOF\n".encode()
+
+
+def many_entries(count: int) -> bytes:
+    """A file whose cross-reference stream has so many entries, all but two of them free."""
+    out = bytearray(b"%PDF-1.5\n")
+    root = len(out)
+    out += b"1 0 obj\n<< /Type /Catalog >>\nendobj\n"
+    start = len(out)
+    entry = lambda kind, at: bytes([kind]) + at.to_bytes(4, "big") + b"\0\0"
+    rows = entry(0, 0) + entry(1, root) + entry(1, start) + entry(0, 0) * (count - 3)
+    out += b"2 0 obj\n" + stream(zlib.compress(rows), f" /Type /XRef /Size {count} /W [1 4 2] /Root 1 0 R /Filter /FlateDecode") + f"\nendobj\nstartxref\n{start}\n%%EOF\n".encode()
+    return bytes(out)
+
+
 def png_up(data: bytes, row: int) -> bytes:
     """Rows tagged and filtered against the row above."""
     above, out = bytes(row), bytearray()

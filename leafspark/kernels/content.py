@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ctypes import c_float
+
 from leafspark.kernels.fonts import Font, Fonts
 from leafspark.kernels.objects import BLANK, Lexer, PdfError, number
 
@@ -9,7 +11,8 @@ LINE_STEP, SPACE_KERN = 5.0, -100.0
 
 
 def operations(data: bytes):
-    """(operator, operands) in order. Dictionaries are skipped, stray closing marks ignored, arrays may nest."""
+    """(operator, operands) in order. Dictionaries are skipped, but in an array their marks alone are; stray closing
+    marks are ignored, and arrays may nest."""
     lexer, operands = Lexer(data), []
     stack: list[list] = []
     while True:
@@ -26,7 +29,7 @@ def operations(data: bytes):
             if stack:
                 done = stack.pop()
                 (stack[-1] if stack else operands).append(done)
-        elif kind == "<<":
+        elif kind == "<<" and not stack:
             _skip(lexer)
         elif kind == "word" and not stack:
             yield token.value, operands
@@ -42,8 +45,14 @@ def _skip(lexer: Lexer) -> None:
         depth += (token.kind == "<<") - (token.kind == ">>")
 
 
+def _f32(value: float) -> float:
+    """Rounded to 32 bits: where lines break depends on it."""
+    return c_float(value).value
+
+
 class Interpreter:
-    """The state that text operators change. Positions serve to tell lines apart; text stays in stream order."""
+    """The state that text operators change. Positions (32-bit floats) serve to tell lines apart; text stays in stream
+    order."""
 
     def __init__(self, font_of):
         self.font_of = font_of
@@ -63,13 +72,13 @@ class Interpreter:
             self._put("\n")
 
     def _moved(self) -> None:
-        if self.line is not None and abs(self.line - self.y) > LINE_STEP:
+        if self.line is not None and abs(_f32(self.line - self.y)) > LINE_STEP:
             self._break()
             self.line, self.gap = self.y, False
 
     def _feed(self) -> None:
         self.x = 0.0
-        self.y -= self.leading or self.size
+        self.y = _f32(self.y - (self.leading or self.size))
         self._moved()
 
     def _show(self, data: bytes) -> None:
@@ -86,7 +95,7 @@ class Interpreter:
     def run(self, operator: str, operands: list) -> None:
         def pop(default: float = 0.0) -> float:
             got = number(operands.pop()) if operands else None
-            return default if got is None else float(got)
+            return default if got is None else _f32(got)
 
         if operator == "Tj":
             if operands and isinstance(operands[-1], bytes):
@@ -101,8 +110,7 @@ class Interpreter:
             ty, tx = pop(), pop()
             if operator == "TD":
                 self.leading = -ty
-            self.x += tx
-            self.y += ty
+            self.x, self.y = _f32(self.x + tx), _f32(self.y + ty)
             self._moved()
         elif operator == "Tm":
             self.y = pop()

@@ -6,12 +6,11 @@ import re
 from dataclasses import dataclass, field
 
 from leafspark.kernels import filters
-from leafspark.kernels.objects import SPACE, Lexer, Name, PdfError, Ref, integer, name, parse_object
+from leafspark.kernels.objects import MAX_INT, SPACE, Lexer, Name, PdfError, Ref, integer, name, parse_object, whole_number
 
 TAIL = 1 << 20
 MAX_STREAM = 64 << 20
 MAX_ENTRIES = MAX_OBJECTS = 100_000
-MAX_INT = (1 << 31) - 1
 _MARK = re.compile(rb"startxref[\x00\t\n\x0c\r ]+([0-9]+)")
 _LINE = re.compile(rb"[^\r\n]*")
 
@@ -47,6 +46,11 @@ class Page:
     resources: dict | None
 
 
+def _int32(value: int) -> int:
+    """The low 32 bits, with sign: what numbers of objects and generations are kept in."""
+    return (value + (1 << 31) & (1 << 32) - 1) - (1 << 31)
+
+
 class _Reader:
     """Reads the chain of cross-reference sections from an offset."""
 
@@ -90,12 +94,13 @@ class _Reader:
                     break
                 if len(words) != 2:
                     raise PdfError("no subsection header")
-                first, count = int(words[0]), int(words[1])
+                first, count = whole_number(words[0], 32), whole_number(words[1], 32)
                 for k in range(count):
                     a, gen, flag = next(lines)[1].split()[:3]
                     if flag not in (b"n", b"f"):
                         raise PdfError("no entry flag")
-                    entries[first + k, int(gen)] = Entry("in_use" if flag == b"n" else "free", int(a), 0, rank)
+                    offset_or_next = whole_number(a)
+                    entries[first + k, whole_number(gen, 32)] = Entry("in_use", offset_or_next, 0, rank) if flag == b"n" else Entry("free", _int32(offset_or_next), 0, rank)
         except (StopIteration, ValueError) as e:
             raise e if isinstance(e, PdfError) else PdfError("bad cross-reference table") from None
         start = self.data.find(b"<<", after)
@@ -143,15 +148,15 @@ class _Reader:
             for num in range(first, first + count):
                 fields = []
                 for w in widths:
-                    fields.append(int.from_bytes(table[at : at + w], "big"))
+                    fields.append(int.from_bytes(table[at : at + w], "big", signed=w == 8))
                     at += w
                 kind = fields[0] if widths[0] else 1
                 if kind == 0:
-                    out.entries[num, fields[2]] = Entry("free", fields[1], 0, rank)
+                    out.entries[num, _int32(fields[2])] = Entry("free", _int32(fields[1]), 0, rank)
                 elif kind == 1:
-                    out.entries[num, fields[2]] = Entry("in_use", fields[1], 0, rank)
+                    out.entries[num, _int32(fields[2])] = Entry("in_use", fields[1], 0, rank)
                 elif kind == 2:
-                    out.packed[num, 0] = Entry("compressed", fields[1], fields[2], rank)
+                    out.packed[num, 0] = Entry("compressed", _int32(fields[1]), _int32(fields[2]), rank)
         out.entries[ref] = Entry("in_use", offset, 0, rank)
         return self._older(out, trailer) if follow else out
 
@@ -312,7 +317,8 @@ class Document:
 
 def start_of(data: bytes) -> tuple[int, Section | None]:
     """The greatest offset in a startxref marker of the file's tail at which cross-references can be read."""
-    offsets = {int(m[1]) for m in _MARK.finditer(data, max(0, len(data) - TAIL))}
+    marks = (m[1].lstrip(b"0") for m in _MARK.finditer(data, max(0, len(data) - TAIL)))
+    offsets = {int(digits or b"0") for digits in marks if len(digits) <= 19}
     for offset in sorted((o for o in offsets if o < len(data)), reverse=True):
         try:
             section = _Reader(data).section(offset)

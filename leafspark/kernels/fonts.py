@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 
 from leafspark.kernels.objects import NULL, Name, Ref, name
 
-#: Codes of one range of a map; more are cut off, for the range's width is unbounded.
-MAX_RANGE = 65_536
+#: Ranges of more codes are kept as ranges and looked up in; shorter ones are spelled out.
+SPELLED = 256
 
 
 def _codec(codec: str, high: range) -> list[int]:
@@ -33,28 +33,34 @@ ENCODINGS = {
 ENCODINGS["PDFDocEncoding"][0x18:0x20] = [0x02D8, 0x02C7, 0x02C6, 0x02D9, 0x02DD, 0x02DB, 0x02DA, 0x02DC]
 
 # Glyph names and their code points that no rule below gives.
-_NAMED = """
-space 20 exclam 21 quotedbl 22 numbersign 23 dollar 24 percent 25 ampersand 26 quoteright 2019 parenleft 28 parenright 29
-asterisk 2A plus 2B comma 2C hyphen 2D period 2E slash 2F colon 3A semicolon 3B less 3C equal 3D greater 3E question 3F at 40
-bracketleft 5B backslash 5C bracketright 5D asciicircum 5E underscore 5F quoteleft 2018 braceleft 7B bar 7C braceright 7D
-asciitilde 7E exclamdown A1 cent A2 sterling A3 currency A4 yen A5 brokenbar A6 section A7 dieresis A8 copyright A9
-ordfeminine AA guillemotleft AB logicalnot AC registered AE macron AF degree B0 plusminus B1 twosuperior B2 threesuperior B3
-acute B4 mu B5 paragraph B6 periodcentered B7 cedilla B8 onesuperior B9 ordmasculine BA guillemotright BB onequarter BC
-onehalf BD threequarters BE questiondown BF AE C6 Eth D0 multiply D7 Thorn DE germandbls DF ae E6 eth F0 divide F7 thorn FE
-endash 2013 emdash 2014 quotedblleft 201C quotedblright 201D quotesinglbase 201A quotedblbase 201E ellipsis 2026 bullet 2022
-dagger 2020 daggerdbl 2021 perthousand 2030 trademark 2122 Euro 20AC fi FB01 fl FB02 ffi FB03 ffl FB04 OE 152 oe 153 florin 192
-circumflex 2C6 caron 2C7 tilde 2DC breve 2D8 dotaccent 2D9 ring 2DA hungarumlaut 2DD ogonek 2DB guilsinglleft 2039
-guilsinglright 203A fraction 2044 minus 2212 infinity 221E integral 222B approxequal 2248 notequal 2260 lessequal 2264
-greaterequal 2265 lozenge 25CA nobreakspace A0 softhyphen AD Omega 3A9 pi 3C0 Pi 220F partialdiff 2202 summation 2211
-radical 221A Delta 2206
-"""
+_NAMED = {
+    "space": 0x0020, "exclam": 0x0021, "quotedbl": 0x0022, "numbersign": 0x0023, "dollar": 0x0024, "percent": 0x0025,
+    "ampersand": 0x0026, "parenleft": 0x0028, "parenright": 0x0029, "asterisk": 0x002A, "plus": 0x002B, "comma": 0x002C,
+    "hyphen": 0x002D, "period": 0x002E, "slash": 0x002F, "colon": 0x003A, "semicolon": 0x003B, "less": 0x003C, "equal": 0x003D,
+    "greater": 0x003E, "question": 0x003F, "at": 0x0040, "bracketleft": 0x005B, "backslash": 0x005C, "bracketright": 0x005D,
+    "asciicircum": 0x005E, "underscore": 0x005F, "braceleft": 0x007B, "bar": 0x007C, "braceright": 0x007D,
+    "asciitilde": 0x007E, "nobreakspace": 0x00A0, "exclamdown": 0x00A1, "cent": 0x00A2, "sterling": 0x00A3, "currency": 0x00A4,
+    "yen": 0x00A5, "brokenbar": 0x00A6, "section": 0x00A7, "dieresis": 0x00A8, "copyright": 0x00A9, "ordfeminine": 0x00AA,
+    "guillemotleft": 0x00AB, "logicalnot": 0x00AC, "softhyphen": 0x00AD, "registered": 0x00AE, "macron": 0x00AF,
+    "degree": 0x00B0, "plusminus": 0x00B1, "twosuperior": 0x00B2, "threesuperior": 0x00B3, "acute": 0x00B4, "mu": 0x00B5,
+    "paragraph": 0x00B6, "periodcentered": 0x00B7, "cedilla": 0x00B8, "onesuperior": 0x00B9, "ordmasculine": 0x00BA,
+    "guillemotright": 0x00BB, "onequarter": 0x00BC, "onehalf": 0x00BD, "threequarters": 0x00BE, "questiondown": 0x00BF,
+    "AE": 0x00C6, "Eth": 0x00D0, "multiply": 0x00D7, "Thorn": 0x00DE, "germandbls": 0x00DF, "ae": 0x00E6, "eth": 0x00F0,
+    "divide": 0x00F7, "thorn": 0x00FE, "OE": 0x0152, "oe": 0x0153, "florin": 0x0192, "circumflex": 0x02C6, "caron": 0x02C7,
+    "breve": 0x02D8, "dotaccent": 0x02D9, "ring": 0x02DA, "ogonek": 0x02DB, "tilde": 0x02DC, "hungarumlaut": 0x02DD,
+    "Omega": 0x03A9, "pi": 0x03C0, "endash": 0x2013, "emdash": 0x2014, "quoteleft": 0x2018, "quoteright": 0x2019,
+    "quotesinglbase": 0x201A, "quotedblleft": 0x201C, "quotedblright": 0x201D, "quotedblbase": 0x201E, "dagger": 0x2020,
+    "daggerdbl": 0x2021, "bullet": 0x2022, "ellipsis": 0x2026, "perthousand": 0x2030, "guilsinglleft": 0x2039,
+    "guilsinglright": 0x203A, "fraction": 0x2044, "Euro": 0x20AC, "trademark": 0x2122, "partialdiff": 0x2202, "Delta": 0x2206,
+    "Pi": 0x220F, "summation": 0x2211, "minus": 0x2212, "radical": 0x221A, "infinity": 0x221E, "integral": 0x222B,
+    "approxequal": 0x2248, "notequal": 0x2260, "lessequal": 0x2264, "greaterequal": 0x2265, "lozenge": 0x25CA, "fi": 0xFB01,
+    "fl": 0xFB02, "ffi": 0xFB03, "ffl": 0xFB04,
+}
 _ACCENTS = {"GRAVE": "grave", "ACUTE": "acute", "CIRCUMFLEX": "circumflex", "TILDE": "tilde", "DIAERESIS": "dieresis", "RING ABOVE": "ring", "CEDILLA": "cedilla", "STROKE": "slash", "CARON": "caron"}
 
 
 def _glyphs() -> dict[str, int]:
-    words = _NAMED.split()
-    out = {words[k]: int(words[k + 1], 16) for k in range(0, len(words), 2)}
-    out |= {chr(c): c for c in range(128) if chr(c).isalnum()}
+    out = _NAMED | {chr(c): c for c in range(128) if chr(c).isalnum()}
     for c in (*range(0xC0, 0x100), 0x160, 0x161, 0x178, 0x17D, 0x17E):  # accented letters by their Unicode names
         m = re.fullmatch(r"LATIN (CAPITAL|SMALL) LETTER ([A-Z]) WITH (.+)", unicodedata.name(chr(c)))
         if m and m[3] in _ACCENTS:
@@ -84,8 +90,8 @@ def glyph_code(glyph: str) -> int | None:
 class CMap:
     """Targets of one-byte and of longer codes, and the width of the code space."""
 
-    single: dict[int, str] = field(default_factory=dict)
-    double: dict[int, str] = field(default_factory=dict)
+    single: Targets = field(default_factory=lambda: Targets())
+    double: Targets = field(default_factory=lambda: Targets())
     width: int = 1
 
     def get(self, code: int, width: int) -> str | None:
@@ -94,6 +100,43 @@ class CMap:
         return second.get(code) if got is None else got
 
 
+class Targets:
+    """The targets of codes. What is set later hides what is set earlier."""
+
+    def __init__(self):
+        self._codes: dict[int, tuple[int, str]] = {}
+        self._ranges: list[tuple[int, int, int, int]] = []
+
+    def set(self, code: int, target: str) -> None:
+        self._codes[code] = (len(self._ranges), target)
+
+    def set_range(self, first: int, last: int, start: int) -> None:
+        """Codes first to last, for code points from start on. Raises ValueError for a range that runs beyond Unicode."""
+        if first > last:
+            return
+        if start + last - first > 0x10FFFF:
+            raise ValueError("beyond Unicode")
+        if last - first < SPELLED:
+            for code in range(first, last + 1):
+                self.set(code, _point(start + code - first))
+        else:
+            self._ranges.append((first, last, start, len(self._ranges) + 1))
+
+    def get(self, code: int) -> str | None:
+        after, target = self._codes.get(code, (0, None))
+        for first, last, start, k in reversed(self._ranges):
+            if k <= after:
+                break
+            if first <= code <= last:
+                return _point(start + code - first)
+        return target
+
+    def items(self) -> dict[int, str]:
+        """All codes with their targets."""
+        codes = dict.fromkeys(c for first, last, _, _ in self._ranges for c in range(first, last + 1))
+        return {c: self.get(c) for c in (codes | dict.fromkeys(self._codes))}
+
+
 _SPACES = re.compile(r"begincodespacerange(.*?)endcodespacerange", re.S)
 _CHARS = re.compile(r"beginbfchar(.*?)endbfchar", re.S)
 _RANGES = re.compile(r"beginbfrange(.*?)endbfrange", re.S)
@@ -110,8 +153,6 @@ def target_text(digits: str) -> str:
 
 
 def _point(code: int) -> str:
-    if code > 0x10FFFF:
-        raise ValueError("beyond Unicode")
     return chr(code) if code > 0 else ""
 
 
@@ -127,7 +168,7 @@ def parse_cmap(data: bytes) -> CMap:
             at = _hex(code) if code else None
             if at is None:
                 break
-            (out.single if max(1, len(code) // 2) == 1 else out.double)[at] = target_text(target)
+            (out.single if max(1, len(code) // 2) == 1 else out.double).set(at, target_text(target))
     for section in _RANGES.findall(text):
         tokens = [("[", m[2]) if m[2] is not None else ("<", m[1]) for m in _RANGE_TOKEN.finditer(section)]
         at = 0
@@ -138,15 +179,13 @@ def parse_cmap(data: bytes) -> CMap:
                 at += 1
                 continue
             into = out.single if max(1, len(low) // 2) == 1 else out.double
-            last = min(last, first + MAX_RANGE - 1)
             if k3 == "<":
                 start = _hex(target) if target else None
                 if start is not None:
-                    for code in range(first, last + 1):
-                        into[code] = _point(start + code - first)
+                    into.set_range(first, last, start)
             else:
                 for code, each in zip(range(first, last + 1), _LITERAL.findall(target)):
-                    into[code] = target_text(each)
+                    into.set(code, target_text(each))
             at += 3
     return out
 

@@ -5,7 +5,9 @@ Names are Name, strings bytes, references Ref, null NULL; numbers, booleans, arr
 
 from __future__ import annotations
 
+import math
 import re
+from decimal import ROUND_HALF_UP, Decimal
 from typing import NamedTuple
 
 
@@ -29,14 +31,35 @@ class _Null:
 
 NULL = _Null()
 SPACE = b"\x00\t\n\x0c\r "
-_SKIP = re.compile(rb"(?:[\x00\t\n\x0c\r ]++|%[^\r\n]*+)*+")
-_REGULAR = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]+")
-_INTEGER = re.compile(rb"[+-]?[0-9]+\Z")
-_REAL = re.compile(rb"[+-]?(?:[0-9]+\.[0-9]*|\.[0-9]+)\Z")
+_REGULAR = rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]"
+#: White space and comments, then a token: integer, real, word, name, plain string, mark, hexadecimal string.
+_TOKEN = re.compile(
+    rb"(?:[\x00\t\n\x0c\r ]++|%[^\r\n]*+)*+(?:([+-]?[0-9]++)(?!REG)|([+-]?(?:[0-9]++\.[0-9]*+|\.[0-9]++))(?!REG)|(REG++)|/(REG*+)"
+    rb"|\(([^()\\\r]*+)\)|(<<|>>|[\[\]{}])|<([0-9A-Fa-f\x00\t\n\x0c\r ]*+)>)?".replace(b"REG", _REGULAR)
+)
+_WHOLE = re.compile(rb"[+-]?[0-9]+\Z")
 _HEX_ESCAPE = re.compile(rb"#([0-9A-Fa-f]{2})")
 _STRING_PART = re.compile(rb"[^()\\\r]+")
 _ESCAPES = {0x6E: b"\n", 0x72: b"\r", 0x74: b"\t", 0x62: b"\b", 0x66: b"\f"}
 MAX_DEPTH = 200
+MAX_INT = (1 << 31) - 1
+
+
+def whole_number(raw: bytes, bits: int = 64) -> int:
+    """Digits with a sign or none as a number of so many bits; PdfError for anything else."""
+    digits = raw.lstrip(b"+-").lstrip(b"0")
+    if len(digits) <= 20 and _WHOLE.match(raw):
+        value = int(digits or b"0") * (-1 if raw[0] == 0x2D else 1)
+        if -(1 << bits - 1) <= value < 1 << bits - 1:
+            return value
+    raise PdfError("a number out of range")
+
+
+def _real(raw: bytes) -> float:
+    value = float(raw)
+    if math.isinf(value):
+        raise PdfError("a number out of range")
+    return value
 
 
 class Token(NamedTuple):
@@ -54,53 +77,36 @@ class Lexer:
         self.data, self.at = data, position
 
     def next(self) -> Token | None:
-        data = self.data
-        at = _SKIP.match(data, self.at).end() if self.at <= len(data) else len(data)
-        if at >= len(data):
-            self.at = at
-            return None
-        c = data[at]
-        if c == 0x2F:  # /
-            m = _REGULAR.match(data, at + 1)
-            raw = m[0] if m else b""
-            self.at = at + 1 + len(raw)
+        m = _TOKEN.match(self.data, self.at)
+        found = m.lastindex
+        if found is None:
+            return self._other(m.end())
+        raw, self.at = m[found], m.end()
+        if found == 1:
+            return Token("int", whole_number(raw), m.start(1))
+        if found == 2:
+            return Token("real", _real(raw), m.start(2))
+        if found == 3:
+            return Token("word", raw.decode("latin-1"), m.start(3))
+        if found == 4:
             if b"#" in raw:
                 raw = _HEX_ESCAPE.sub(lambda h: bytes([int(h[1], 16)]), raw)
-            return Token("name", Name(raw.decode("latin-1")), at)
-        if c == 0x28:  # (
+            return Token("name", Name(raw.decode("latin-1")), m.start(4) - 1)
+        if found == 5:
+            return Token("string", raw, m.start(5) - 1)
+        if found == 6:
+            return Token(raw.decode("ascii"), None, m.start(6))
+        digits = raw.translate(None, SPACE)
+        return Token("hex", bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode("ascii")), m.start(7) - 1)
+
+    def _other(self, at: int) -> Token | None:
+        """At the end, a string with nesting or escapes, or bad syntax."""
+        if at >= len(self.data):
+            self.at = at
+            return None
+        if self.data[at] == 0x28:
             return self._string(at)
-        if c == 0x3C:  # <
-            if data.startswith(b"<<", at):
-                self.at = at + 2
-                return Token("<<", None, at)
-            end = data.find(b">", at)
-            if end < 0:
-                raise PdfError("open hexadecimal string")
-            digits = bytes(b for b in data[at + 1 : end] if b not in SPACE)
-            try:
-                value = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode("ascii"))
-            except ValueError:
-                raise PdfError("bad hexadecimal string") from None
-            self.at = end + 1
-            return Token("hex", value, at)
-        if c == 0x3E:  # >
-            if data.startswith(b">>", at):
-                self.at = at + 2
-                return Token(">>", None, at)
-            raise PdfError("stray >")
-        if c in b"[]{}":
-            self.at = at + 1
-            return Token(chr(c), None, at)
-        if c == 0x29:
-            raise PdfError("stray )")
-        m = _REGULAR.match(data, at)
-        self.at = m.end()
-        raw = m[0]
-        if _INTEGER.match(raw):
-            return Token("int", int(raw), at)
-        if _REAL.match(raw):
-            return Token("real", float(raw), at)
-        return Token("word", raw.decode("latin-1"), at)
+        raise PdfError("bad hexadecimal string" if self.data[at] == 0x3C else f"stray {chr(self.data[at])}")
 
     def _string(self, start: int) -> Token:
         data, at, depth, out = self.data, start + 1, 1, []
@@ -157,7 +163,7 @@ def parse_object(lexer: Lexer, token: Token | None = None, depth: int = 0):
                 if gen and gen.kind == "int" and gen.value >= 0:
                     word = lexer.next()
                     if word and word.kind == "word" and word.value == "R":
-                        return Ref(value, gen.value)
+                        return Ref(value if value <= MAX_INT else 0, gen.value if gen.value <= MAX_INT else 0)
             except PdfError:
                 pass
         lexer.at = back
@@ -224,12 +230,18 @@ BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \xa0            
 
 
 def format_number(value: float) -> str:
-    """Four decimals at most, without trailing zeros; next to nothing is 0."""
+    """Four decimals at most, ties away from zero, without trailing zeros; next to nothing is 0."""
+    if not math.isfinite(value):
+        return "NaN" if math.isnan(value) else "Infinity" if value > 0 else "-Infinity"
     if abs(value) < 0.0001:
         return "0"
-    if value == int(value):
+    if value == int(value) and abs(value) < 1 << 63:
         return str(int(value))
-    return f"{value:.4f}".rstrip("0").rstrip(".")
+    shortest = Decimal(repr(float(value)))
+    if shortest.as_tuple().exponent < -4:
+        shortest = shortest.quantize(Decimal("0.0001"), ROUND_HALF_UP)
+    text = f"{shortest:f}"
+    return text.rstrip("0").rstrip(".") if "." in text else text
 
 
 def escape_literal(text: str) -> str:

@@ -1,10 +1,11 @@
-"""Documents to tables. A document that cannot be read gives no rows but one in statuses(); it never fails a job."""
+"""Documents to tables. A document that cannot be read gives no rows but one in statuses(); whatever goes wrong in one, the
+others are read."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,29 +27,43 @@ NOTE = (
 def opened(data: bytes | None) -> Document | None:
     try:
         return open_document(data) if data else None
-    except (PdfError, RecursionError):
+    except Exception:  # noqa: BLE001 - one file's bytes must not end the job of all
         return None
 
 
 def _soft(kernel):
     """What kernel(document) gives for a document that opens; nothing where reading on fails."""
 
-    def run(doc_id, data):
+    def run(doc_id, data, *more):
         document = opened(data)
         if document is None:
             return []
         try:
-            return [(doc_id, *row) for row in kernel(document)]
-        except (PdfError, RecursionError):
+            return [(doc_id, *row) for row in kernel(document, *more)]
+        except Exception:  # noqa: BLE001
             return []
 
     return run
 
 
-def _of(docs: DataFrame, kernel, columns: str) -> DataFrame:
+def _of(docs: DataFrame, kernel, columns: str, *more: Column) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     # What has no header is turned away before its bytes go to Python.
-    return per_row(docs.where(looks_like_pdf(F.col("content"))).select("doc_id", "content"), _soft(kernel), f"doc_id {kind}, {columns}")
+    return per_row(docs.where(looks_like_pdf(F.col("content"))).select("doc_id", "content", *more), _soft(kernel), f"doc_id {kind}, {columns}")
+
+
+def _page_by_page(docs: DataFrame, read, columns: str, page: int | Column | None) -> DataFrame:
+    """read(document, page, index) for all pages, or for the one of an index (a number, or a column of docs) alone."""
+
+    every = page is None  # a column cannot go to the executors
+
+    def run(document, only=None):
+        found = document.pages()
+        for k in range(len(found)) if every else [only] if only is not None and 0 <= only < len(found) else []:
+            yield from read(document, found[k], k)
+
+    asked = [] if page is None else [(page if isinstance(page, Column) else F.lit(page)).cast("long").alias("_page")]
+    return _of(docs, run, columns, *asked)
 
 
 def statuses(docs: DataFrame) -> DataFrame:
@@ -59,8 +74,8 @@ def statuses(docs: DataFrame) -> DataFrame:
         try:
             document = open_document(data or b"")
             return [(doc_id, "ok", len(document.pages()), document.start, document.next_number(1))]
-        except (PdfError, RecursionError) as e:
-            return [(doc_id, str(e)[:200], None, None, None)]
+        except Exception as e:  # noqa: BLE001
+            return [(doc_id, (str(e) if isinstance(e, PdfError) else f"{type(e).__name__}: {e}")[:200], None, None, None)]
 
     return per_row(docs.select("doc_id", "content"), run, f"doc_id {kind}, status string, n_pages int, start_xref long, next_object long")
 
@@ -88,6 +103,26 @@ def next_object(entries: DataFrame, group: str, num: str, count: int = 1) -> Dat
     return entries.groupBy(group).agg(first.alias("_n")).select(group, F.when(F.col("_n") + count <= 2**31 - 1, F.col("_n")).alias("next_object"))
 
 
+def page_tree(nodes: DataFrame) -> DataFrame:
+    """Pages of page trees given as rows: nodes(doc_id, id, parent, ord, name, own, leaf), where roots have no parent.
+    doc_id, page_index, name, resources of the leaves in pre-order; resources are those (own) of the nearest node that
+    has some. A node below itself is not walked again. Documents are numbered side by side."""
+    walked = nodes.sparkSession.sql(
+        """
+        WITH RECURSIVE walk(doc_id, id, name, leaf, resources, path, seen) AS (
+          SELECT doc_id, id, name, leaf, own, array(ord), array(id) FROM {nodes} WHERE parent IS NULL
+          UNION ALL
+          SELECT t.doc_id, t.id, t.name, t.leaf, coalesce(t.own, w.resources), concat(w.path, array(t.ord)), concat(w.seen, array(t.id))
+          FROM walk AS w JOIN {nodes} AS t ON t.doc_id = w.doc_id AND t.parent = w.id WHERE NOT array_contains(w.seen, t.id)
+        )
+        SELECT doc_id, name, resources, path FROM walk WHERE leaf
+        """,
+        nodes=nodes,
+    )
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1
+    return walked.select("doc_id", index.cast("int").alias("page_index"), "name", "resources")
+
+
 def sections(entries: DataFrame, group: list[str], num: str, gen: str) -> DataFrame:
     """Runs of neighbouring object numbers of one generation: first number and count."""
     island = F.col(num) - F.row_number().over(Window.partitionBy(*group, gen).orderBy(num))
@@ -168,7 +203,7 @@ def fonts(docs: DataFrame) -> DataFrame:
             for key in listed.listed:
                 f = listed.get(key)
                 if f:
-                    yield k, key, f.width, f.cmap is not None, len(f.cmap.single) + len(f.cmap.double) if f.cmap else 0, len(f.differences)
+                    yield k, key, f.width, f.cmap is not None, len(f.cmap.single.items()) + len(f.cmap.double.items()) if f.cmap else 0, len(f.differences)
 
     return _of(docs, run, "page_index int, name string, code_width int, to_unicode boolean, n_mapped int, n_differences int")
 
@@ -204,10 +239,11 @@ def text_ops(docs: DataFrame) -> DataFrame:
     return _of(docs, run, "page_index int, seq int, operator string, operands array<string>")
 
 
-def page_text(docs: DataFrame, order: str = "stream") -> DataFrame:
-    """doc_id, page_index, text of every page: in stream order, or (an extension) in order "sorted" by place."""
+def page_text(docs: DataFrame, order: str = "stream", page: int | Column | None = None) -> DataFrame:
+    """doc_id, page_index, text of every page: in stream order, or (an extension) in order "sorted" by place. With page, a
+    number or a column of docs, only that page is decoded; documents without it give no row."""
     reader = {"stream": content.page_text, "sorted": content.sorted_text}[order]
-    return _of(docs, lambda d: ((k, reader(d, p)) for k, p in enumerate(d.pages())), "page_index int, text string")
+    return _page_by_page(docs, lambda d, p, k: [(k, reader(d, p))], "page_index int, text string", page)
 
 
 def toc(docs: DataFrame) -> DataFrame:
@@ -235,9 +271,9 @@ def named_destinations(docs: DataFrame) -> DataFrame:
     return _of(docs, run, "name string, ord int, page_index int")
 
 
-def private_blocks(docs: DataFrame) -> DataFrame:
-    """Illustrator's private blocks of all pages, by number."""
-    return _of(docs, lambda d: ((k, i, n, b) for k, p in enumerate(d.pages()) for i, (n, b) in enumerate(private.page_blocks(d, p))), "page_index int, ord int, number long, bytes binary")
+def private_blocks(docs: DataFrame, page: int | Column | None = None) -> DataFrame:
+    """Illustrator's private blocks of all pages, or of one, by number."""
+    return _page_by_page(docs, lambda d, p, k: [(k, i, n, b) for i, (n, b) in enumerate(private.page_blocks(d, p))], "page_index int, ord int, number long, bytes binary", page)
 
 
 def first_private_blocks(docs: DataFrame) -> DataFrame:
@@ -256,7 +292,14 @@ def annotate(docs: DataFrame, notes: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     fields = [f.split(":")[0].strip() for f in ("seq", "kind", "page_index", "rects", "x", "y", "red", "green", "blue", "contents")]
     lists = notes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(f"array<{NOTE}>").alias("notes"))
-    return per_row(docs.select("doc_id", "content").join(lists, "doc_id", "left"), lambda i, data, own: [(i, annotation.append(data, own) if data and own else data)], f"doc_id {kind}, content binary")
+    return per_row(docs.select("doc_id", "content").join(lists, "doc_id", "left"), lambda i, data, own: [(i, _noted(data, own))], f"doc_id {kind}, content binary")
+
+
+def _noted(data, notes):
+    try:
+        return annotation.append(data, notes) if data and notes else data
+    except Exception:  # noqa: BLE001
+        return data
 
 
 def annotations(docs: DataFrame) -> DataFrame:

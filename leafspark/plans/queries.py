@@ -16,6 +16,7 @@ from leafspark.operators import pdf, selection
 from leafspark.operators.kernel import per_row
 from leafspark.plans import fixtures
 from leafspark.plans.fixtures import pdfs, table
+from leafspark.sources.pdf import slice_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,27 +135,21 @@ def page_order(spark, sf_dir):
 @query("SELECT o_custkey, o_orderkey::VARCHAR AS text FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders) WHERE k = 2")
 def page_lookup(spark, sf_dir):
     """One page of each document, where there is one."""
-    return pdf.page_text(_orders_by_customer(spark, sf_dir)).where("page_index = 2").select(F.col("doc_id").alias("o_custkey"), "text")
+    return pdf.page_text(_orders_by_customer(spark, sf_dir), page=2).select(F.col("doc_id").alias("o_custkey"), "text")
 
 
-@query("SELECT n_name AS name, (row_number() OVER (ORDER BY r_name, n_name) - 1)::INTEGER AS page_index, r_name AS resources FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT n_regionkey AS doc_id, s_name AS name, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name, s_suppkey) - 1)::INTEGER AS page_index, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE r_name END AS resources FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def pages_pretree(spark, sf_dir):
-    """P1 P2 as a recursive query over tree rows: leaves in pre-order, resources of the nearest node that has some."""
+    """P1 P2 as a recursive query over tree rows: leaves in pre-order, resources of the nearest node that has some. A
+    document for each region, a node for each nation, a page for each supplier."""
     regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    rows = regions.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("root").alias("parent"), F.col("r_name").alias("name"), F.col("r_name").alias("own"), F.lit(False).alias("leaf"))
-    rows = rows.union(nations.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name", F.lit(None).cast("string"), F.lit(True)))
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(id, name, leaf, resources, path, seen) AS (
-          SELECT id, name, leaf, own, array(name), array(id) FROM {rows} WHERE parent = 'root'
-          UNION ALL
-          SELECT t.id, t.name, t.leaf, coalesce(t.own, w.resources), concat(w.path, array(t.name)), concat(w.seen, array(t.id))
-          FROM walk AS w JOIN {rows} AS t ON t.parent = w.id WHERE NOT array_contains(w.seen, t.id)
-        )
-        SELECT name, CAST(row_number() OVER (ORDER BY path) - 1 AS INT) AS page_index, resources FROM walk WHERE leaf
-        """,
-        rows=rows,
-    )
+    suppliers = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    node = lambda doc, id, parent, ord, name, own, leaf: [F.col(doc).alias("doc_id"), id.alias("id"), parent.cast("string").alias("parent"), ord.cast("string").alias("ord"), F.col(name).alias("name"), own.cast("string").alias("own"), F.lit(leaf).alias("leaf")]
+    none, number = F.lit(None), lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    rows = regions.select(*node("r_regionkey", F.lit("root"), none, F.lit("0"), "r_name", F.col("r_name"), False))
+    rows = rows.union(nations.select(*node("n_regionkey", F.concat(F.lit("n"), "n_nationkey"), F.lit("root"), F.col("n_name"), "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")), False)))
+    rows = rows.union(suppliers.select(*node("n_regionkey", F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), number("s_suppkey"), "s_name", none, True)))
+    return pdf.page_tree(rows).select("doc_id", "name", "page_index", "resources")
 
 
 @query("SELECT s_suppkey, 5 + (s_suppkey % 3) AS n_objects, 6 + (s_suppkey % 3) AS next_object FROM supplier")
@@ -173,6 +168,36 @@ def xref_streams(spark, sf_dir):
     return pdf.xref(made).groupBy(F.col("doc_id").alias("page_id"), "kind").agg(F.count("*").cast("int").alias("n"))
 
 
+def _hybrid(shown: str, older: str) -> bytes:
+    """The table has the page, the stream that the trailer names its contents, and an older catalog that does not count."""
+    page = b"<< /Type /Page /Contents 4 0 R >>"
+    seen = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: page}
+    return build.hybrid(seen, {4: build.flate_stream(build.lines_content(shown)), 5: build.flate_stream(build.lines_content(older))})
+
+
+@query("SELECT s_suppkey, s_name AS text, 0.5::DOUBLE AS rev_rank FROM supplier")
+def xref_hybrid(spark, sf_dir):
+    """Contents that only the stream of a hybrid file has, which ranks below the table."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), "s_name", F.reverse("s_name").alias("older"))
+    made = pdfs(rows, _hybrid)
+    ranks = pdf.xref(made).where("obj_num = 4").select("doc_id", "rev_rank")
+    return pdf.page_text(made).join(ranks, "doc_id").select(F.col("doc_id").alias("s_suppkey"), "text", "rev_rank")
+
+
+@query("SELECT r_regionkey, CASE WHEN r_regionkey <= 2 THEN 'ok' ELSE 'no cross-references' END AS status FROM region")
+def xref_budget(spark, sf_dir):
+    """As many entries as a stream may have, and more."""
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), (F.col("r_regionkey") + 99_998).alias("n"))
+    return pdf.statuses(pdfs(rows, build.many_entries)).select(F.col("doc_id").alias("r_regionkey"), "status")
+
+
+@query("SELECT doc_id, substr(hex(encode(text)), 2 * (doc_id % 7) + 1, 2 * (doc_id % 90)) AS bytes FROM documents")
+def byte_slices(spark, sf_dir):
+    """Bytes from an offset on, fewer at the end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return docs.select("doc_id", F.hex(slice_bytes(F.col("content"), (F.col("doc_id") % 7).cast("int"), (F.col("doc_id") % 90).cast("int"))).alias("bytes"))
+
+
 @query(f"SELECT doc_id, 0 AS page_index, {_shown('lang || chr(10) || text')} AS text FROM documents")
 def xref_revisions(spark, sf_dir):
     """An update that replaces the contents of a page hides the older object."""
@@ -204,11 +229,11 @@ def xref_next_object(spark, sf_dir):
     return pdf.next_object(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 3)
 
 
-@query("SELECT gen, min(o_orderkey) AS first, count(*) AS n FROM (SELECT o_orderkey, (o_custkey % 3)::INTEGER AS gen, o_orderkey - row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) AS island FROM orders) GROUP BY gen, island")
+@query("SELECT doc_id, gen, min(o_orderkey) AS first, count(*) AS n FROM (SELECT (o_orderkey // 50)::BIGINT AS doc_id, o_orderkey, (o_custkey % 3)::INTEGER AS gen, o_orderkey - row_number() OVER (PARTITION BY o_orderkey // 50, o_custkey % 3 ORDER BY o_orderkey) AS island FROM orders) GROUP BY doc_id, gen, island")
 def xref_sections(spark, sf_dir):
-    """A8 as a relation: runs of numbers of one generation."""
-    keys = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).cast("int").alias("gen"))
-    return pdf.sections(keys, [], "o_orderkey", "gen").select("gen", "first", "n")
+    """A8 as a relation: runs of numbers of one generation, document by document."""
+    keys = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 50).alias("doc_id"), "o_orderkey", (F.col("o_custkey") % 3).cast("int").alias("gen"))
+    return pdf.sections(keys, ["doc_id"], "o_orderkey", "gen").select("doc_id", "gen", "first", "n")
 
 
 @query("SELECT s_suppkey, num::BIGINT AS obj_num, kind, type_name, serialized FROM supplier, LATERAL (VALUES (1, 'dictionary', 'Catalog', '<</Type /Catalog /Names [<' || hex(s_name) || '>]>>'), (2, 'array', NULL, '[' || s_suppkey || ' 0.25 true null 1 0 R]')) AS t(num, kind, type_name, serialized)")
@@ -643,6 +668,13 @@ def ai_first_blocks(spark, sf_dir):
     return pdf.first_private_blocks(_brands(spark, sf_dir)).select(F.col("doc_id").alias("p_brand"), "page_index", "ord", F.decode("bytes", "UTF-8").alias("block"))
 
 
+@query("SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS ord, p_name AS block FROM part")
+def ai_blocks_of_page(spark, sf_dir):
+    """The blocks of one page of each document, by a column of it; the other page is not read."""
+    made = _brands(spark, sf_dir).withColumn("wanted", F.lit(1))
+    return pdf.private_blocks(made, F.col("wanted")).select(F.col("doc_id").alias("p_brand"), "ord", F.decode("bytes", "UTF-8").alias("block"))
+
+
 @query("SELECT s_suppkey, 3::BIGINT AS n_operators, 1::BIGINT AS n_shown FROM supplier")
 def text_ops(spark, sf_dir):
     """Operators of contents, as a table."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,6 @@ def record_telemetry(events: DataFrame, table: str | None) -> None:
         events.write.mode("append").parquet(table)
 
 
-def slice_bytes(content, start: int, count: int):
+def slice_bytes(content: Column, start: int | Column, count: int | Column) -> Column:
     """A column of count bytes from an offset (from 0); fewer at the end."""
     return F.substring(content, start + 1, count)

@@ -44,11 +44,35 @@ def test_text_forms():
     assert [text_string(b) for b in (b"\xfe\xff\x00A\xd8\x3d\xde\x00", b"\xff\xfeA\x00", b"\xe9")] == ["A\U0001f600", "A", "é"]
 
 
+def test_numbers_out_of_range_are_bad_syntax():
+    assert parse_bytes(b"[9223372036854775807 -9223372036854775808 000000000000000000000000000007]") == [2**63 - 1, -(2**63), 7]
+    for bad in (b"9223372036854775808", b"-" + b"9" * 5000, b"1" + b"0" * 400 + b".", b"7" * 5000):
+        with pytest.raises(PdfError):
+            parse_bytes(bad)
+    assert parse_bytes(b"[3000000000 0 R 1 3000000000 R]") == [Ref(0, 0), Ref(1, 0)]
+
+
+def test_ties_of_numbers_go_up():
+    assert [format_number(x) for x in (0.03125, -0.03125, 2.00005, 1e30, float("inf"), float("nan"))] == ["0.0313", "-0.0313", "2.0001", "1" + "0" * 30, "Infinity", "NaN"]
+
+
 def test_lexer_offsets():
     lexer = Lexer(b"  12 /a%c\n(b)")
     assert [(t.kind, t.offset) for t in iter(lexer.next, None)] == [("int", 2), ("name", 5), ("string", 10)]
 
 
+# -- contents
+
+
+def test_heights_are_32_bits():
+    line = lambda y1, y2: shown(f"BT /F1 9 Tf 1 0 0 1 0 {y1} Tm (a) Tj 1 0 0 1 0 {y2} Tm (b) Tj ET".encode())
+    assert line(128.3, 123.3) == "ab" and line(128.3, 123.2) == "a\nb" and line(5, 0) == "ab"
+
+
+def test_dictionaries_in_arrays_keep_their_values():
+    assert shown(b"BT /F1 9 Tf [(a) << /k (b) >> (c)] TJ << /k (x) >> (d) Tj ET") == "abcd"
+
+
 # -- filters
 
 
@@ -212,16 +236,23 @@ def test_fonts():
 
 def test_cmaps():
     m = fonts.parse_cmap(b"begincodespacerange <0000> <ffff> endcodespacerange beginbfchar <01> <0041> <0002> <D83DDE00> <03> <004> endbfchar beginbfrange <10> <12> <0061> <0020> <0021> [<0078> <0079007A> <00>] <30> <31> <D83DDE00> endbfrange")
-    assert m.width == 2 and m.single == {1: "A", 3: "", 16: "a", 17: "b", 18: "c"} and m.double == {2: "\U0001f600", 32: "x", 33: "yz"}
+    assert m.width == 2 and m.single.items() == {1: "A", 3: "", 16: "a", 17: "b", 18: "c"} and m.double.items() == {2: "\U0001f600", 32: "x", 33: "yz"}
     assert m.get(2, 1) == "\U0001f600" and m.get(1, 2) == "A" and m.get(9, 1) is None
-    with pytest.raises(ValueError):
-        fonts.parse_cmap(b"beginbfrange <01> <02> <00660066> endbfrange")
-    big = fonts.parse_cmap(b"beginbfrange <0000> <7fffff> <0041> endbfrange")
-    assert len(big.double) == fonts.MAX_RANGE
+    for beyond in (b"<01> <02> <00660066>", b"<0000> <7fffff> <0041>", b"<0000> <FFFFFF> <0041>"):
+        with pytest.raises(ValueError):
+            fonts.parse_cmap(b"beginbfrange " + beyond + b" endbfrange")
+
+
+def test_wide_ranges_hide_and_are_hidden():
+    m = fonts.parse_cmap(b"beginbfchar <0005> <0078> endbfchar beginbfrange <000000> <0FFFFF> <0041> <0007> <0008> <0030> <0100> <0300> <0061> endbfrange")
+    plain = {5: "x"} | {c: chr(0x41 + c) for c in range(1 << 20)} | {7: "0", 8: "1"} | {c: chr(0x61 + c - 0x100) for c in range(0x100, 0x301)}
+    assert m.double.items() == plain and m.get(1 << 20, 2) is None and m.single.items() == {}
 
 
 def test_two_byte_text_with_an_odd_byte():
-    font = fonts.Font(2, fonts.CMap({0x41: "s"}, {0x4142: "d"}, 2))
+    font = fonts.Font(2, fonts.CMap(width=2))
+    font.cmap.single.set(0x41, "s")
+    font.cmap.double.set(0x4142, "d")
     assert font.decode(b"AB" b"A") == "ds" and font.decode(b"\x00\x99") == ""
     assert texts(build.unicode_pdf("Ελ \U0001f600\nж")) == ["Ελ \U0001f600\nж"]
 

@@ -1,5 +1,6 @@
 """Tables from corpora: what cannot be read costs no job, files come and go, and streams see what batches see."""
 
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -35,6 +36,64 @@ def test_bad_documents_give_a_status_and_no_rows(corpus):
         assert {r["doc_id"] for r in f(corpus).collect()} <= {0, 1, 8, 9}
 
 
+READERS = (pdf.statuses, pdf.xref, pdf.objects, pdf.dict_entries, pdf.pages, pdf.page_streams, pdf.fonts, pdf.cmaps, pdf.text_ops, pdf.page_text, pdf.toc, pdf.toc_json, pdf.named_destinations, pdf.private_blocks, pdf.first_private_blocks, pdf.annotations)
+
+
+def _hostile() -> list[bytes]:
+    good, digits = fixtures.text_pdf("one\ntwo"), b"7" * 5000
+    widths = build.compressed({3: b"null"}, {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Kids [] >>"}, flate=False)
+    rows = widths.index(b"stream\n", widths.index(b"/XRef")) + 7
+    wide = widths[:rows] + b"\x01" + b"\xff" * 8 + widths[rows + 9 :]
+    return [
+        good + b"\nstartxref\n" + digits + b"\n%%EOF",
+        good.replace(b"/Kids", b"/Big " + digits + b" /Kids"),
+        good.replace(b"00000 n", b"99999999999 n"),
+        good.replace(b"0000000000 65535 f", b"99999999999999999999 65535 f"),
+        build.text_pdf([b"BT /F1 9 Tf (a) Tj " + digits + b" 0 Td (b) Tj ET"]),
+        build.text_pdf([b"BT /F1 9 Tf (a) Tj 1" + b"0" * 400 + b" 0 Td (b) Tj 1" + b"0" * 400 + b".0 TL ET"]),
+        build.text_pdf([b"[" * 100000 + b"<<" * 100000]),
+        build.text_pdf([b"x"], extra={100: b"<< /Type /Page /Contents 101 0 R /PieceInfo << /Illustrator << /Private << /AIPrivateData" + digits + b" (x) >> >> >> >>"}),
+        wide.replace(b"/W [1 4 2]", b"/W [1 8 0]").replace(b"/W [1 4 2]", b"/W [1 8 0]"),
+        build.text_pdf([b"x"], extra={1: b"<< /Type /Catalog /Pages 2 0 R /Outlines 1 0 R /First 1 0 R /Names 1 0 R /Dests 1 0 R >>"}),
+        build.text_pdf([b"x"], extra={2: b"<< /Type /Pages /Kids [2 0 R [1 2] null 3 0 R (x)] /MediaBox [1 2] >>"}),
+    ]
+
+
+def test_no_file_ends_the_job(spark):
+    """Hostile files and random damage, beside one good document that every operator must still read."""
+    r = random.Random(4)
+    bases = [fixtures.text_pdf("one\ntwo"), fixtures.packed_pdf("packed"), fixtures.outline_pdf([("a", ["b", "c"])], "named"), fixtures.blocks_pdf(["x", "y"]), build.unicode_pdf("aé")]
+    files = _hostile()
+    for _ in range(400):
+        data = bytearray(r.choice(bases))
+        for _ in range(r.randrange(1, 6)):
+            at = r.randrange(len(data))
+            data[at : at + r.randrange(4)] = r.choice([b"", b"<<", b">>", b"9" * 30, b"[", b"(", bytes([r.randrange(256)]), b" 0 R", b"-1", b"/"])
+        files.append(bytes(data))
+    good = 10**6
+    docs = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate([*files])] + [(good, bytearray(fixtures.outline_pdf([("a", ["b"])], "named")))], "doc_id long, content binary").repartition(4)
+    assert pdf.statuses(docs).count() == len(files) + 1
+    for f in READERS:
+        got = {row["doc_id"] for row in f(docs).select("doc_id").collect()}
+        assert good in got or f in (pdf.cmaps, pdf.private_blocks, pdf.first_private_blocks, pdf.annotations), f
+    notes = docs.select("doc_id", F.lit(1).alias("seq"), F.lit("note").alias("kind"), F.lit(0).alias("page_index"), F.lit(None).cast("array<struct<left: float, top: float, right: float, bottom: float>>").alias("rects"), *(F.lit(float(k)).cast("float").alias(c) for k, c in enumerate(("x", "y", "red", "green", "blue"))), F.lit("hi").alias("contents"))
+    assert pdf.annotate(docs, notes).count() == len(files) + 1
+
+
+def test_one_page_of_each(spark, corpus):
+    made = build.text_pdf([build.lines_content(f"page {k}") for k in range(4)])
+    docs = spark.createDataFrame([(1, bytearray(made), 2), (2, bytearray(made), 9), (3, bytearray(made), None), (4, bytearray(made), -1)], "doc_id long, content binary, at int")
+    assert [tuple(r) for r in pdf.page_text(docs, page=F.col("at")).collect()] == [(1, 2, "page 2")]
+    assert {tuple(r) for r in pdf.page_text(docs, page=1).collect()} == {(k, 1, "page 1") for k in (1, 2, 3, 4)}
+    assert pdf.page_text(docs, page=4).isEmpty()
+
+
+def test_page_trees_with_cycles(spark):
+    rows = [(1, "r", None, "0", "r", "R", False), (1, "a", "r", "1", "a", None, False), (1, "x", "a", "0", "x", None, True), (1, "r", "a", "1", "r", None, False), (1, "y", "r", "0", "y", "Y", True), (2, "r", None, "0", "r", None, False), (2, "z", "r", "0", "z", None, True)]
+    nodes = spark.createDataFrame(rows, "doc_id long, id string, parent string, ord string, name string, own string, leaf boolean")
+    assert sorted(map(tuple, pdf.page_tree(nodes).collect())) == [(1, 0, "y", "Y"), (1, 1, "x", "R"), (2, 0, "z", None)]
+
+
 def test_tables_of_one_document(corpus):
     one = corpus.where("doc_id = 0")
     assert [(r["operator"], r["operands"]) for r in pdf.text_ops(one).collect()][:3] == [("BT", []), ("Tf", ["/F1", "12"]), ("Td", ["72", "720"])]
