@@ -3,6 +3,9 @@
 First pass: a page is cut into blocks, each with its zone (inside an article, inside boilerplate by element, role or
 class, or neither), stop-word density, length and link density, which decide most blocks. Second pass: short blocks and
 those near the limits take the label of their nearest decided neighbours.
+
+A page is read in time linear in its length, however broken: a tag ends at the first ">" outside quotes, or at the first
+one of all if quotes do not close; quotes from which no end was found are not followed again.
 """
 
 from __future__ import annotations
@@ -24,19 +27,23 @@ STOP_WORDS = frozenset(
     "de la le et les des en un du une que est pour qui dans par pas sur au ne se ce il sont plus avec son "
     "el los las una del que por con para su al lo como más o pero sus le ha me si sin sobre este ya cuando".split()
 )
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option button canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title svg select option button annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i iframe img ins kbd label mark math menclose merror mfrac mi mn mo mover "
+    "mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover object picture q rp rt ruby s samp semantics "
+    "small source span strike strong sub sup time track tt u var video wbr".split()
+)
 BOILER_TAGS = frozenset("nav footer aside form head menu dialog".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widgets?|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widgets?|"
     r"footer|comments?|commentlist|respond|disqus|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|popup|modal|login|search|pagination|pager|toolbar|masthead|skip)(?:$|[\s_-])"
 )
 HEADERS = re.compile(r"(?:^|[\s_-])(?:header|topbar|top-bar)(?:$|[\s_-])")
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+MARK = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 
 SHORT, LONG = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.15, 0.30
@@ -81,6 +88,34 @@ def _zone(tag: str, attributes: str, zone: str) -> str:
     return "article" if tag in ("article", "main") else zone
 
 
+class _Ends:
+    """Where the tags of a page end."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()  # quotes that open where no end follows
+
+    def of(self, at: int) -> int:
+        """The place after the ">" that ends a tag whose name ends at a place; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        tried, here = [], at
+        while here <= self.last[">"]:
+            m = MARK.search(self.page, here)
+            if m[0] == ">":
+                return m.end()
+            opens = m.start()
+            if opens in self.dead:
+                break
+            tried.append(opens)
+            if self.last[m[0]] == opens:
+                break
+            here = self.page.find(m[0], opens + 1) + 1
+        self.dead.update(tried)
+        return self.page.find(">", at) + 1
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in order. Unclosed comments and scripts run to the end of the page."""
     found: list[Block] = []
@@ -104,7 +139,7 @@ def blocks(page: str) -> list[Block]:
         if anchors:
             linked += len(" ".join(text.split()))
 
-    at, n, lower = 0, len(page), None
+    at, n, lower, ends = 0, len(page), None, _Ends(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -120,19 +155,23 @@ def blocks(page: str) -> list[Block]:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = TAG.match(page, lt) or LOOSE.match(page, lt)
+        m = NAME.match(page, lt)
         if not m:
             add("<")
             at = lt + 1
             continue
-        at, closes, tag = m.end(), bool(m[1]), m[2].lower()
+        at = ends.of(m.end())
+        if at < 0:  # no tag ends from here on
+            add(page[lt:])
+            break
+        closes, tag, attributes = bool(m[1]), m[2].lower(), page[m.end() : at - 1]
         if tag in RAW:
-            if not closes and not m[3].endswith("/"):
+            if not closes and not attributes.endswith("/"):
                 lower = lower if lower is not None else page.lower()
                 end = lower.find(f"</{tag}", at) if len(lower) == n else page.find(f"</{m[2]}", at)
                 close = page.find(">", end) if end >= 0 else -1
                 at = n if close < 0 else close + 1
-            piece.append(" ")
+            piece.append("" if tag.startswith("annotation") else " ")
             continue
         if tag == "a":
             anchors = max(0, anchors - 1) if closes else 1
@@ -148,10 +187,10 @@ def blocks(page: str) -> list[Block]:
                 while stack and (stack[-1][0] in ("p", "head") if tag == "body" else stack[-1][0] == "p"):
                     open_tags[stack[-1][0]] -= 1
                     zone = stack.pop()[1]
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 stack.append((tag, zone))
                 open_tags[tag] += 1
-                zone = _zone(tag, m[3], zone)
+                zone = _zone(tag, attributes, zone)
                 heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
             anchors = 0
         else:
@@ -224,7 +263,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html, ...).
 
     A null or empty page, or one without main text, has an empty text and n_chars 0. Nulls in page_id and url stay;
-    repeated rows each get a row; other columns are not read; an empty table gives an empty one.
+    repeated rows each get a row; other columns are not read; an empty table gives an empty one. Very long and broken
+    pages take time in proportion to their length.
     """
     kinds = dict(pages.dtypes)
 

@@ -5,7 +5,9 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from leafspark.llm import decontaminate, html_text, lm, media, mixing, pii, quality, sharding, simhash, substring_dedup
-from leafspark.llm.common import components, least_hashed
+from leafspark.llm.common import components, least_hashed, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, component_id string"
 
@@ -342,6 +344,151 @@ def test_main_text_by_density_alone():
     assert html_text.main_text(page) == f"{long.strip()}\nAnd so on.\n{long.strip()}"
 
 
+class PlainReader(HTMLParser):
+    """Blocks of well-formed pages by the standard library's parser: (text, zone, heading, linked characters)."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.linked, self.stack, self.raw, self.anchor = [], "", "", [("", "none")], [], False
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.blocks.append((text, self.stack[-1][1], bool(re.fullmatch("h[0-9]", self.stack[-1][0])), min(len(text), self.linked)))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if self.raw or tag in html_text.RAW:
+            self.raw.append(tag)
+            self.text += " "
+            return
+        if tag == "a":
+            self.anchor = True
+        if tag in html_text.INLINE:
+            self.text += " " if tag == "br" else ""
+            return
+        self.end()
+        self.anchor = False
+        if tag in html_text.VOID:
+            return
+        if tag == "p" and self.stack[-1][0] == "p":
+            self.stack.pop()
+        self.stack.append((tag, html_text._zone(tag, " ".join(f'{k}="{v}"' for k, v in attrs), self.stack[-1][1])))
+
+    def handle_endtag(self, tag):
+        if self.raw:
+            if tag in self.raw:
+                while self.raw.pop() != tag:
+                    pass
+            return
+        if tag == "a":
+            self.anchor = False
+        if tag in html_text.INLINE or tag in html_text.VOID:
+            return
+        self.end()
+        self.anchor = False
+        if tag in [t for t, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.text += data
+            self.linked += len(" ".join(data.split())) if self.anchor else 0
+
+
+def brute_main_text(page):
+    found = PlainReader(page or "").blocks
+    links = [n / len(t) for t, _, _, n in found]
+    stops = [sum(w.strip(".,;:!?()\"'") in html_text.STOP_WORDS for w in t.lower().split()) / len(t.split()) for t, *_ in found]
+    article = any(z == "article" and links[i] <= 0.5 for i, (_, z, _, _) in enumerate(found))
+    first = []
+    for i, (text, zone, _, _) in enumerate(found):
+        if zone == "boiler" or (article and (zone != "article" or links[i] > 0.5)):
+            first.append("bad")
+        elif article:
+            first.append("good" if len(text) >= 70 and stops[i] >= 0.15 else "short")
+        elif links[i] > 0.2 or "\xa9" in text or (len(text) >= 70 and stops[i] < 0.15):
+            first.append("bad")
+        elif len(text) < 70:
+            first.append("short")
+        else:
+            first.append("good" if stops[i] >= 0.3 and len(text) >= 200 else "near")
+    out = []
+    for i, label in enumerate(first):
+        if label in ("short", "near"):
+            decided = [k for k in range(len(found)) if first[k] in ("good", "bad") and (not article or found[k][1] == "article")]
+            before, after = [k for k in decided if k < i][-1:], [k for k in decided if k > i][:1]
+            near = after if found[i][2] and not article else before + after
+            kinds = {first[k] for k in near}
+            if not kinds:
+                label = "good" if article or label == "near" else "bad"
+            elif len(kinds) == 1:
+                label = kinds.pop()
+            elif article or label == "near":
+                label = "good"
+            else:
+                least = min(abs(k - i) for k in near)
+                label = "bad" if "bad" in [first[k] for k in near if abs(k - i) == least] else "good"
+        if label == "good":
+            out.append(found[i][0])
+    return "\n".join(out)
+
+
+def random_page(r):
+    stops, others = sorted(html_text.STOP_WORDS), [f"wort{k}" for k in range(200)]
+    words = lambda n, p: " ".join(r.choice(stops) if r.random() < p else r.choice(others) for _ in range(n))
+
+    def piece(depth):
+        kind = r.choice(["p", "p", "p", "h2", "li", "div", "section", "link", "nav", "mixed"])
+        if kind == "link":
+            return f"<p><a href='/x'>{words(r.randrange(1, 20), 0.2)}</a> {words(r.randrange(10), 0.3)}</p>"
+        if kind == "mixed":
+            return f"<p>{words(5, 0.4)} <b>{words(3, 0.5)}</b><br>{words(r.randrange(60), 0.4)} &amp; &eacute;&#66; <script>if (a < b) x('</p>')</script></p>"
+        inside = "".join(piece(depth + 1) for _ in range(r.randrange(4))) if kind in ("div", "section", "nav") and depth < 3 else words(r.randrange(70), r.choice([0.05, 0.2, 0.35, 0.5]))
+        named = r.choice(["", "", "", " class='sidebar'", ' id="comments"', " role=main", " style='display: none'", " class=text"]) if kind in ("div", "section") else ""
+        return f"<{kind}{named}>{inside}</{kind}>"
+
+    body = "".join(piece(0) for _ in range(r.randrange(14)))
+    return f"<html><head><title>t</title></head><body>{f'<article>{body}</article><footer>{words(30, 0.4)}</footer>' if r.random() < 0.4 else body}</body></html>"
+
+
+def test_main_text_is_brute_force(spark):
+    r = random.Random(6)
+    pages = [random_page(r) for _ in range(400)]
+    assert [html_text.main_text(p) for p in pages] == [brute_main_text(p) for p in pages]
+    real = table(spark, "/root/testdata/sf0.01", "pages")
+    html = {x["page_id"]: x["html"] for x in real.collect()}
+    got = {x["page_id"]: x["text"] for x in html_text.extract(real).collect()}
+    assert got == {k: brute_main_text(v) for k, v in html.items()}
+
+
+@pytest.mark.parametrize("unit", ["<a", "<a ", "<p x='", '<a " > "', "<a '\"> \"'", "a=", "<b>", "</p>", "<div class=a-b_"])
+def test_broken_pages_take_linear_time(unit):
+    began = time.process_time()
+    for page in (unit * (1_000_000 // len(unit)), f"<div class='{unit * (1_000_000 // len(unit))}'>"):
+        html_text.main_text(page)
+        html_text.main_text(page + "'>")
+    assert time.process_time() - began < 12
+
+
+def test_main_text_keeps_formulas_and_media_texts():
+    line = "and it was that of the others in the year that they had been with us"
+    page = f"<article><p>The <math><mi>x</mi><mo>=</mo><annotation>x=3</annotation><mn>3</mn></math> {line}</p><p class='side'>{line}</p><p><video>told {line}</video></p></article>"
+    assert html_text.main_text(page) == f"The x=3 {line}\n{line}\ntold {line}"
+
+
+def test_pages_repeat_and_may_be_none(spark):
+    rows = [(1, "u", "<p>" + "the of and to in is that " * 12), (1, "u", "<p>" + "the of and to in is that " * 12), (None, None, None), (2, "v", "")]
+    kinds = "page_id long, url string, html string, text string, n_chars int"
+    got = html_text.extract(spark.createDataFrame([(*x, "clash", 3) for x in rows], kinds).repartition(2))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted(map(tuple, got.select("page_id", "n_chars").collect()), key=str) == [(1, 299), (1, 299), (2, 0), (None, 0)]
+    assert html_text.extract(spark.createDataFrame([], kinds)).isEmpty()
+
+
 def test_main_text_of_odd_pages(spark):
     odd = [None, "", "<", "<!-- open", "<script>open", "<p", "a < b", "</p></div>", "<article></article>", "<div " * 500, "<p>" * 2000 + "x"]
     frame = spark.createDataFrame([(i, None, p, "t") for i, p in enumerate(odd)], "page_id long, url string, html string, text string")
