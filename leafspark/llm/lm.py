@@ -1,36 +1,40 @@
 """Masked pseudo-likelihood by a bidirectional window network in numpy.
 
-Words are numbered by their count in the whole corpus and cut into classes of about equal mass. The network sees the
-embeddings of the SIDE words on either side of a place, not the word there, and gives the odds of each class; a word's
-odds within its class follow from the corpus counts. The sum of the log odds of all words scores a document.
+The network sees the embeddings of the SIDE words on either side of a place, not the word there, and gives the odds of
+every word in three steps: of a class, of a bucket in that class, both by layers that see the context, and of the word
+in the bucket by its exact count in the corpus. So the odds of all words of the corpus sum to one at every place. The
+sum of the log odds of all words scores a document.
 
-The VOCABULARY most frequent words are looked up in memory. All others are in the last class, where each has the share
-of its own count: the shares are joined to the texts by the words' hashes, never gathered in one place. Each word of the
-vocabulary has an embedding; other words have hashed ones, whose number grows in proportion to the distinct words.
+The VOCABULARY most frequent words are looked up in memory: each has its embedding, and the most frequent ones a bucket
+of their own. All other words have hashed embeddings, more of them the more distinct words there are (up to HASHED), and
+buckets by the same hash. Their counts, a table as large as the corpus makes it, are joined to the texts by the words'
+hashes and never gathered in one place.
 
 The network is trained on all texts: every task trains a copy on its own rows, the copies are averaged by the words that
-they saw (an embedding by how often they saw its words), in a shuffled sum, and the average begins the next round.
+they saw (an embedding by how often they saw its words), in a shuffled sum, and the average begins the next round. A
+round masks one fold of the places; with as many rounds as folds every place of every text is predicted once.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspark.llm.common import arrow_map, keep, small_batches, text_bytes
 
-VOCABULARY, CLASSES, NEAR = 20_000, 48, 1024
-#: Hashed embeddings: the power of two that gives one to KINDS_A_ROW distinct words beyond VOCABULARY, NEAR at least.
-KINDS_A_ROW, _SEED = 32, 42
+VOCABULARY, CLASSES, BUCKETS = 50_000, 16, 64
+#: Hashed embeddings: a power of two, one to KINDS_A_ROW distinct words beyond the vocabulary; least and greatest number.
+KINDS_A_ROW, NEAR, HASHED, _SEED = 16, 1 << 10, 1 << 18, 42
 SIDE, WIDTH, HIDDEN = 2, 8, 24
-ROUNDS, BATCH, RATE = 2, 512, 0.05
-_FLUSH = 200_000
+ROUNDS, FOLDS, BATCH, RATE = 2, 2, 1024, 0.05
+_FLUSH, _NEVER = 200_000, np.float32(-1e9)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,39 +61,57 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Words by rank with their class and the log of their share in it. The last class is of all other words: the log of
-    what one count is of their sum; the log of a word's count comes on top, from the table of counts."""
+    """Every word's place in the model: its embedding (by rank, or hashed), its cell (class and bucket), and the log of
+    its share in the cell; of a word beyond the ranked ones, that of one count, to which the log of its count adds."""
 
-    def __init__(self, ranked: list[tuple[bytes, int]], total: int, kinds: int, classes: int = CLASSES):
+    def __init__(self, ranked: list[tuple[bytes, int]], total: int, kinds: int, classes: int = CLASSES, buckets: int = BUCKETS):
         self.number = {bytes(w): i for i, (w, _) in enumerate(ranked)}
-        inside = sum(n for _, n in ranked)
-        self.classes = classes
-        self.hashed = max(NEAR, 1 << max(0, math.ceil((kinds - len(ranked)) / KINDS_A_ROW) - 1).bit_length())
-        self.of = np.full(len(ranked) + 1, classes - 1, np.int32)
-        self.share = np.zeros(len(ranked) + 1, np.float32)
-        mass = np.zeros(classes)
-        run = 0
+        self.counts = np.array([n for _, n in ranked], np.int64)
+        inside = int(self.counts.sum())
+        self.hashed = min(HASHED, max(NEAR, 1 << max(0, math.ceil((kinds - len(ranked)) / KINDS_A_ROW) - 1).bit_length()))
+        outside = max(0, total - inside)
+        self.outer = min(classes - 1, max(1, round(classes * outside / total))) if outside else 0
+        self.outer_cells = self.outer * buckets
+        inner = classes - self.outer
+        self.mass = np.zeros((classes, buckets))
+        self.cell = np.zeros(len(ranked) + self.hashed, np.int32)
+        run, filled = 0, [0] * classes
         for i, (_, n) in enumerate(ranked):
-            self.of[i] = min(classes - 2, (classes - 1) * run // max(1, inside))
+            c = min(inner - 1, inner * run // max(1, inside))
+            self.cell[i] = c * buckets + filled[c] % buckets
+            filled[c] += 1
             run += n
-            mass[self.of[i]] += n
-        for i, (_, n) in enumerate(ranked):
-            self.share[i] = math.log(n / mass[self.of[i]])
-        self.share[-1] = -math.log(max(1, total - inside))
+            self.mass.flat[self.cell[i]] += n
+        self.share = np.zeros(len(self.cell), np.float32)
+        self.share[: len(ranked)] = np.log(self.counts / self.mass.ravel()[self.cell[: len(ranked)]])
+        if self.outer:
+            self.cell[len(ranked) :] = inner * buckets + np.arange(self.hashed) % self.outer_cells
+
+    def fill(self, sums: dict[int, int]) -> None:
+        """Takes the counts of all other words, summed by their cell among the last ones."""
+        first, n = self.mass.size - self.outer_cells, len(self.number)
+        for k, s in sums.items():
+            self.mass.flat[first + k] = s
+        self.share[n:] = -np.log(np.maximum(1, self.mass.ravel()[self.cell[n:]]))
+
+    def outer_cell(self, h: Column) -> Column:
+        """The cell among the last ones of a word by its hash."""
+        return F.pmod(h.bitwiseAND(F.lit(self.hashed - 1)), F.lit(self.outer_cells)).cast("int")
 
     @property
     def rows(self) -> int:
         """Embeddings: of each word by rank, hashed ones, and one of what lies beyond either end."""
-        return len(self.number) + self.hashed + 1
+        return len(self.cell) + 1
 
-    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's embedding: by rank, or hashed for all other words; and the hashes of those."""
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's embedding; and of the words beyond the ranked ones the distinct hashes and how often they occur."""
         get = self.number.get
         out = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
         other = np.flatnonzero(out < 0)
         hashes = np.fromiter([xxhash.xxh64_intdigest(words[k], _SEED) for k in other.tolist()], np.uint64, len(other))
         out[other] = len(self.number) + (hashes & np.uint64(self.hashed - 1)).astype(np.int32)
-        return out, hashes.view(np.int64)
+        kinds, times = np.unique(hashes.view(np.int64), return_counts=True)
+        return out, kinds, times.astype(np.int32)
 
 
 def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
@@ -105,26 +127,40 @@ def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
     return [(bytes(r["word"]), r["n"]) for r in counts.where(level >= least).orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = CLASSES) -> tuple[Vocabulary, DataFrame]:
+def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary, and the table of all words' counts."""
     counts = keep(word_counts(docs), "words")
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     ranked = most_frequent(counts, size)
-    return Vocabulary(ranked, total or 0, kinds, classes), counts
+    words = Vocabulary(ranked, total or 0, kinds)
+    if words.outer:
+        last, least = ranked[-1]
+        others = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(bytearray(last)))))
+        cell = words.outer_cell(F.xxhash64("word"))  # XXH64 with seed 42, as in numbers()
+        words.fill({r["cell"]: r["n"] for r in others.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).collect()})  # as many rows as cells
+    return words, counts
 
 
 class Network:
-    """Embeddings, one hidden layer, class odds; params is one flat float32 vector."""
+    """Embeddings, one hidden layer, odds of classes, odds of buckets by class; params is one flat float32 vector. mass
+    has the counts of each class's buckets: the network starts from them, and those without any are never given odds."""
 
-    def __init__(self, params: np.ndarray | None = None, classes: int = CLASSES, seed: int = 9, rows: int = VOCABULARY + NEAR + 1):
-        self.shapes = [(rows, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,)]
+    def __init__(self, mass: np.ndarray, rows: int, params: np.ndarray | None = None, seed: int = 9):
+        classes, buckets = mass.shape
+        self.shapes = [(rows, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,), (classes, HIDDEN, buckets), (classes, buckets)]
         sizes = [math.prod(s) for s in self.shapes]
         if params is None:
             rng = np.random.default_rng(seed)
-            scales = [0.3, (2 * SIDE * WIDTH) ** -0.5, 0, HIDDEN**-0.5, 0]
+            scales = [0.3, (2 * SIDE * WIDTH) ** -0.5, 0, HIDDEN**-0.5 / 4, 0, HIDDEN**-0.5 / 4, 0]
             params = np.concatenate([rng.standard_normal(n, np.float32) * np.float32(x) for n, x in zip(sizes, scales)])
+            starts = np.cumsum([0, *sizes])
+            of_class = mass.sum(axis=1)
+            params[starts[4] : starts[5]] = np.log(np.maximum(of_class, 1) / max(1, mass.sum()))
+            params[starts[6] : starts[7]] = np.log(np.maximum(mass, 1) / np.maximum(of_class, 1)[:, None]).ravel()
         self.params = np.array(params, np.float32)
-        self.embed, self.w1, self.b1, self.w2, self.b2 = (p.reshape(s) for p, s in zip(np.split(self.params, np.cumsum(sizes)[:-1]), self.shapes))
+        self.parts = [p.reshape(s) for p, s in zip(np.split(self.params, np.cumsum(sizes)[:-1]), self.shapes)]
+        self.embed, self.w1, self.b1, self.w2, self.b2, self.w3, self.b3 = self.parts
+        self.no_class, self.no_bucket = np.where(mass.sum(axis=1) > 0, np.float32(0), _NEVER), np.where(mass > 0, np.float32(0), _NEVER)
         self.pushes = [np.full(s, 1e-3, np.float32) for s in self.shapes]
         self.seen = np.zeros(rows, np.int64)
 
@@ -135,86 +171,124 @@ class Network:
         n = len(numbers)
         return np.stack([padded[k : k + n] for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))], axis=1)
 
-    def hidden(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs, hidden values, and odds of the classes in logs, up to a number for each row."""
+    def forward(self, contexts: np.ndarray, classes: np.ndarray) -> tuple:
+        """Inputs, hidden values, odds of all classes and of the buckets of each row's own class (in logs, up to a number
+        for each row), and where each class begins. classes are in order."""
         x = self.embed[contexts].reshape(len(contexts), -1)
         h = x @ self.w1
         h += self.b1
         np.maximum(h, 0, out=h)
         z = h @ self.w2
-        z += self.b2
+        z += self.b2 + self.no_class
         z -= z.max(axis=1, keepdims=True)
-        return x, h, z
-
-    def log_odds(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """The log odds of each row's target."""
-        z = self.hidden(contexts)[2]
-        right = z[np.arange(len(targets)), targets]
-        return right - np.log(np.exp(z, out=z).sum(axis=1))
-
-    def step(self, contexts: np.ndarray, targets: np.ndarray, rate: float = RATE) -> None:
-        """One AdaGrad step on the mean negative log odds of the targets."""
-        n = len(targets)
-        x, h, z = self.hidden(contexts)
-        d = np.exp(z, out=z)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(n), targets] -= 1
-        d /= n
-        dh = (d @ self.w2.T) * (h > 0)
+        starts = np.searchsorted(classes, np.arange(len(self.w3) + 1))
+        y = np.empty((len(h), self.b3.shape[1]), np.float32)
+        for c, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+            if a < b:
+                np.matmul(h[a:b], self.w3[c], out=y[a:b])
+                y[a:b] += self.b3[c] + self.no_bucket[c]
+        y -= y.max(axis=1, keepdims=True)
+        return x, h, z, y, starts
+
+    def log_odds(self, contexts: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The log odds of each row's cell."""
+        order, rows = np.argsort(cells, kind="stable"), np.arange(len(cells))
+        classes, buckets = np.divmod(cells[order], self.b3.shape[1])
+        _, _, z, y, _ = self.forward(contexts[order], classes)
+        got = z[rows, classes] + y[rows, buckets]
+        got -= np.log(np.exp(z, out=z).sum(axis=1))
+        got -= np.log(np.exp(y, out=y).sum(axis=1))
+        out = np.empty_like(got)
+        out[order] = got
+        return out
+
+    def gradient(self, contexts: np.ndarray, cells: np.ndarray) -> list[np.ndarray]:
+        """Of the mean negative log odds of the cells, for each of the params."""
+        order, n = np.argsort(cells, kind="stable"), len(cells)
+        contexts, rows = contexts[order], np.arange(n)
+        classes, buckets = np.divmod(cells[order], self.b3.shape[1])
+        x, h, d, e, starts = self.forward(contexts, classes)
+        for odds, right in ((d, classes), (e, buckets)):
+            np.exp(odds, out=odds)
+            odds /= odds.sum(axis=1, keepdims=True)
+            odds[rows, right] -= 1
+            odds /= n
+        dh = d @ self.w2.T
+        g3, gb3 = np.zeros_like(self.w3), np.zeros_like(self.b3)
+        for c, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+            if a < b:
+                dh[a:b] += e[a:b] @ self.w3[c].T
+                np.matmul(h[a:b].T, e[a:b], out=g3[c])
+                gb3[c] = e[a:b].sum(axis=0)
+        dh *= h > 0
         dx = (dh @ self.w1.T).reshape(-1, WIDTH)
         flat = contexts.ravel()
         de = np.stack([np.bincount(flat, dx[:, k], minlength=len(self.embed)) for k in range(WIDTH)], axis=1).astype(np.float32)
-        grads = [de, x.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
-        for p, g, s in zip((self.embed, self.w1, self.b1, self.w2, self.b2), grads, self.pushes):
+        return [de, x.T @ dh, dh.sum(0), h.T @ d, d.sum(0), g3, gb3]
+
+    def step(self, contexts: np.ndarray, cells: np.ndarray, rate: float = RATE) -> None:
+        """One AdaGrad step on the mean negative log odds of the cells."""
+        parts = (self.embed, *self.parts[1:])
+        for p, g, s in zip(parts, self.gradient(contexts, cells), self.pushes):
             s += g * g
             p -= rate * g / np.sqrt(s)
 
 
 def numbered(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """row, doc_id, the numbers of a text's words, 4 bytes each, and the hashes of those beyond the vocabulary: texts are
-    cut into words once for all rounds."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # VOCABULARY words
+    """row, doc_id, the numbers of a text's words, 4 bytes each, and others: the hashes of those beyond the ranked ones,
+    with how often each occurs. Texts are cut into words once for all rounds."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(words)  # VOCABULARY words, and a number for each hashed embedding
     kind = dict(docs.dtypes)["doc_id"]
+    entry = [pa.field("h", pa.int64()), pa.field("k", pa.int32())]
 
-    def rows(ids, texts):
-        found = [shared.value.numbers(words_of(t)) for t in texts]
-        return [ids, [n.tobytes() for n, _ in found], [h for _, h in found]]
+    def rows(batches):
+        for batch in batches:
+            found = [shared.value.numbers(words_of(t)) for t in batch.column(1).to_pylist()]
+            offsets = np.cumsum([0, *(len(h) for _, h, _ in found)]).astype(np.int32)
+            flat = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in ((1, np.int64), (2, np.int32))]
+            others = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=entry))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n.tobytes() for n, _, _ in found], pa.binary()), others], ["doc_id", "numbers", "others"])
 
-    out = arrow_map(docs.select("doc_id", "text"), rows, f"doc_id {kind}, numbers binary, others array<long>")
+    out = docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, numbers binary, others array<struct<h: long, k: int>>")
     return keep(out.select(F.monotonically_increasing_id().alias("row"), "*"), "numbers")
 
 
 def other_logs(numbers: DataFrame, counts: DataFrame) -> DataFrame:
-    """row and the sum of the log counts of its words beyond the vocabulary; no row where that is 0."""
-    key = F.xxhash64("word")  # XXH64 with seed 42, as in numbers()
-    logs = counts.where("n > 1").groupBy(key.alias("h")).agg(F.log(F.sum("n")).alias("log_n"))
-    places = numbers.select("row", F.explode("others").alias("h"))
-    return places.join(logs.hint("merge"), "h").groupBy("row").agg(F.sum("log_n").alias("logs"))
+    """row, logs, n_novel of rows with words beyond the ranked ones: the sum of the logs of their counts, and how many of
+    them no other row has."""
+    several = counts.where("n > 1").groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n"))
+    places = numbers.select("row", F.explode("others").alias("o")).select("row", "o.h", "o.k")
+    novel = F.when(F.col("n").isNull() | (F.col("n") == F.col("k")), F.col("k")).otherwise(0)
+    each = places.join(several, "h", "left").select("row", (F.col("k") * F.log(F.coalesce("n", F.lit(1)))).alias("log_n"), novel.alias("novel"))
+    return each.groupBy("row").agg(F.sum("log_n").alias("logs"), F.sum("novel").alias("n_novel"))
 
 
-def train(numbers: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+def train(numbers: DataFrame, words: Vocabulary, rounds: int = ROUNDS, folds: int = FOLDS, batch: int = BATCH) -> np.ndarray:
     """The network's params after rounds over all texts. Each round is one job, whose tasks may be run again."""
     spark = numbers.sparkSession
     small_batches(spark)
-    classes, size, of = words.classes, words.rows, spark.sparkContext.broadcast(words.of)
-    params = Network(classes=classes, rows=size).params
+    size, shared = words.rows, spark.sparkContext.broadcast((words.mass, words.cell))
+    params = Network(words.mass, size).params
     values = [f"v{k}" for k in range(WIDTH)]
     for k in range(rounds):
-        start = spark.sparkContext.broadcast(params)  # grows with the distinct words, KINDS_A_ROW to one embedding
-
-        def learn(batches, start=start, rate=RATE / (k + 1)):
-            net, seen, have, pending = Network(start.value, classes, rows=size), 0, 0, []
-            for batch in batches:
-                for packed in batch.column(0).to_pylist():
-                    numbers = np.frombuffer(packed, np.int32)
-                    if len(numbers):
-                        pending.append(numbers)
-                        have += len(numbers)
-                        if have >= 8 * BATCH:
-                            seen += _learn(net, pending, of.value, rate)
+        start = spark.sparkContext.broadcast(params)  # VOCABULARY + HASHED embeddings at most
+
+        def learn(batches, start=start, fold=k % folds, rate=RATE / (k + 1)):
+            mass, cell = shared.value
+            net, seen, have, pending = Network(mass, size, start.value), 0, 0, []
+            for rows in batches:
+                for packed in rows.column(0).to_pylist():
+                    if packed:
+                        masked = np.random.default_rng(zlib.crc32(packed)).integers(0, folds, len(packed) // 4) == fold
+                        pending.append((np.frombuffer(packed, np.int32), masked))
+                        have += len(masked)
+                        if have >= 8 * batch:
+                            seen += _learn(net, pending, cell, rate, batch)
                             pending, have = [], 0
             if pending:
-                seen += _learn(net, pending, of.value, rate)
+                seen += _learn(net, pending, cell, rate, batch)
             if seen:
                 # Embeddings that the task saw, and all other weights in rows of as many.
                 used = np.flatnonzero(net.seen)
@@ -222,72 +296,101 @@ def train(numbers: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.nda
                 rest = np.pad(rest, (0, -len(rest) % WIDTH)).reshape(-1, WIDTH)
                 i = np.concatenate([used, size + np.arange(len(rest))])
                 n = np.concatenate([net.seen[used], np.full(len(rest), seen)])
-                sums = np.concatenate([net.embed[used], rest]).astype(np.float64) * n[:, None]
+                sums = (np.concatenate([net.embed[used], rest]) * n[:, None]).astype(np.float32)
                 for at in range(0, len(i), 1 << 16):
                     part = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(i[part].astype(np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in sums[part].T), pa.array(n[part])], ["i", *values, "n"])
 
-        sums = numbers.select("numbers").mapInArrow(learn, f"i int, {', '.join(f'{v} double' for v in values)}, n long").groupBy("i").agg(*(F.sum(v).alias(v) for v in values), F.sum("n").alias("n"))
+        sums = numbers.select("numbers").mapInArrow(learn, f"i int, {', '.join(f'{v} float' for v in values)}, n long").groupBy("i").agg(*(F.sum(v).alias(v) for v in values), F.sum("n").alias("n"))
         # As many rows as embeddings, and the other weights.
         got = sums.select("i", *((F.col(v) / F.col("n")).cast("float").alias(v) for v in values)).toArrow()
         padded = np.pad(params, (0, -len(params) % WIDTH)).reshape(-1, WIDTH)
         padded[got.column("i").to_numpy()] = np.stack([got.column(v).to_numpy() for v in values], axis=1)
         params = padded.ravel()[: len(params)]
+        start.unpersist()
     return params
 
 
-def _learn(net: Network, pending: list[np.ndarray], of: np.ndarray, rate: float) -> int:
-    """Trains on the places of some texts in mixed order, on a copy of just the embeddings that are in them."""
-    numbers = np.concatenate(pending)
-    targets = of[np.minimum(numbers, len(of) - 1)]
+def _learn(net: Network, pending: list[tuple[np.ndarray, np.ndarray]], cell: np.ndarray, rate: float, batch: int) -> int:
+    """Trains on the masked places of some texts in mixed order, on a copy of just the embeddings that are in them."""
+    numbers = np.concatenate([n for n, _ in pending])
+    masked = np.concatenate([m for _, m in pending])
     used, local, n = np.unique(numbers, return_inverse=True, return_counts=True)
     used = np.append(used, len(net.embed) - 1)
     net.seen[used] += np.append(n, len(pending))
     whole = net.embed, net.pushes[0]
     net.embed, net.pushes[0] = whole[0][used], whole[1][used]
-    contexts = np.concatenate([net.contexts(x) for x in np.split(local, np.cumsum([len(p) for p in pending])[:-1])])
-    order = np.random.default_rng(len(targets)).permutation(len(targets))
-    for at in range(0, len(order), BATCH):
-        pick = order[at : at + BATCH]
-        net.step(contexts[pick], targets[pick], rate)
+    ends = np.cumsum([len(p) for p, _ in pending])
+    contexts = np.concatenate([net.contexts(x) for x in np.split(local, ends[:-1])])[masked]
+    cells = cell[numbers[masked]]
+    order = np.random.default_rng(len(cells)).permutation(len(cells))
+    for at in range(0, len(order), batch):
+        pick = order[at : at + batch]
+        net.step(contexts[pick], cells[pick], rate)
     whole[0][used], whole[1][used] = net.embed, net.pushes[0]
     net.embed, net.pushes[0] = whole
-    return len(targets)
+    return len(cells)
 
 
-def log_likelihood(net: Network, of: np.ndarray, share: np.ndarray, numbers: np.ndarray) -> float:
-    """The sum of the words' log odds given both sides, without the log counts of words beyond the vocabulary."""
-    total = 0.0
-    ranks = np.minimum(numbers, len(of) - 1)
+def log_likelihood(net: Network, cell: np.ndarray, share: np.ndarray, numbers: np.ndarray) -> float:
+    """The sum of the words' log odds given both sides, without the log counts of words beyond the ranked ones."""
+    total = float(share[numbers].sum(dtype=np.float64))
     contexts = net.contexts(numbers) if len(numbers) else None
-    for at in range(0, len(numbers), 2048):
-        part = ranks[at : at + 2048]
-        logs = net.log_odds(contexts[at : at + 2048], of[part])
-        total += float(logs.sum(dtype=np.float64) + share[part].sum(dtype=np.float64))
+    for at in range(0, len(numbers), 4096):
+        total += float(net.log_odds(contexts[at : at + 4096], cell[numbers[at : at + 4096]]).sum(dtype=np.float64))
     return total
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, per_token for every row of docs(doc_id, text, ...).
-
-    Null and empty texts have no words, a log likelihood of 0 and a null per_token. Repeated rows each get a row with
-    equal values; rows without a doc_id keep that null. An empty table gives an empty one; other columns are not read.
+def log_likelihoods(net: Network, cell: np.ndarray, share: np.ndarray, texts: list[np.ndarray]) -> list[float]:
+    """log_likelihood() of many texts; short ones go through the network together."""
+    out, group, have = [0.0] * len(texts), [], 0
+
+    def flush() -> None:
+        if group:
+            numbers = np.concatenate([texts[k] for k in group])
+            odds = net.log_odds(np.concatenate([net.contexts(texts[k]) for k in group]), cell[numbers]) + share[numbers]
+            for k, part in zip(group, np.split(odds, np.cumsum([len(texts[k]) for k in group])[:-1])):
+                out[k] = float(part.sum(dtype=np.float64))
+
+    for k, text in enumerate(texts):
+        if len(text) >= 2048:
+            out[k] = log_likelihood(net, cell, share, text)
+        elif len(text):
+            group.append(k)
+            have += len(text)
+            if have >= 4096:
+                flush()
+                group, have = [], 0
+    flush()
+    return out
+
+
+def score(docs: DataFrame, rounds: int = ROUNDS, folds: int = FOLDS, batch: int = BATCH) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood, per_token, n_novel for every row of docs(doc_id, text, ...).
+
+    n_novel counts the words of a row, beyond the most frequent, that no other row has. Null and empty texts have no
+    words, a log likelihood of 0, a null per_token and no novel words; very long ones are read and scored whole. Repeated
+    rows each get a row with equal values; rows without a doc_id keep that null. An empty table gives an empty one;
+    other columns are not read.
     """
     spark: SparkSession = docs.sparkSession
     words, counts = vocabulary(docs)
     numbers = numbered(docs, words)
-    params = train(numbers, words, rounds)
-    shared = spark.sparkContext.broadcast((words.classes, words.rows, words.of, words.share, params))
+    params = train(numbers, words, rounds, folds, batch)
+    shared = spark.sparkContext.broadcast((words.mass, words.rows, words.cell, words.share, params))
     kind = dict(docs.dtypes)["doc_id"]
 
+    made: list[Network] = []
+
     def rows(keys, ids, packed):
-        classes, size, of, share, weights = shared.value
-        net = Network(weights, classes, rows=size)
-        found = [np.frombuffer(p, np.int32) for p in packed]
-        return [keys, ids, [len(f) for f in found], [log_likelihood(net, of, share, f) for f in found]]
+        mass, size, cell, share, weights = shared.value
+        if not made:
+            made.append(Network(mass, size, weights))
+        texts = [np.frombuffer(p, np.int32) for p in packed]
+        return [keys, ids, [len(t) for t in texts], log_likelihoods(made[0], cell, share, texts)]
 
     scored = arrow_map(numbers.select("row", "doc_id", "numbers"), rows, f"row long, doc_id {kind}, n_tokens long, part double")
     total = F.col("part") + F.coalesce("logs", F.lit(0.0))
     return scored.join(other_logs(numbers, counts).hint("merge"), "row", "left").select(
-        "doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token")
+        "doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"), F.coalesce("n_novel", F.lit(0).cast("long")).alias("n_novel")
     )
