@@ -4,18 +4,20 @@ Texts and items are normalised alike: A-Z in lower case, words of letters, digit
 automaton's alphabet is words (by number), so each text is scanned once, word by word, whatever the windows. Word k of
 a text keeps its place in the original, so hits map back to offsets there.
 
-Items are gathered in blocks of a bounded size; as many automata are made as there are blocks, and every text passes
-through each of them. Test sets of usual size are one block.
+Items are gathered in blocks of a bounded size. Test sets of usual size are one block; of more, each is a pass of its
+own, so that one automaton is alive at a time. A worker builds it once, however many tasks it runs.
 """
 
 from __future__ import annotations
 
+import uuid
 
 import ahocorasick
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.common import arrow_filter, arrow_map, text_bytes
+from leafspark.llm.common import arrow_filter, arrow_map, keep, text_bytes
 
 WINDOW = 13
 #: Words of the items in one automaton; about 0.5 KB each.
@@ -80,17 +82,22 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFr
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _matcher(items: DataFrame):
-    rows = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()]  # one bounded block
-    shared = items.sparkSession.sparkContext.broadcast(rows)
-    made: list[Automaton] = []
+#: The automaton of this worker process, after the name of its block.
+_alive: dict[str, Automaton] = {}
 
-    def get() -> Automaton:
-        if not made:
-            made.append(Automaton(shared.value))
-        return made[0]
 
-    return get
+def _automaton(block: str, rows) -> Automaton:
+    if block not in _alive:
+        _alive.clear()
+        _alive[block] = Automaton(rows.value)
+    return _alive[block]
+
+
+def _matcher(items: DataFrame):
+    """get() gives the automaton of a block of items, on an executor; and the broadcast that it is built from."""
+    rows = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()]  # one bounded block
+    block, shared = uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast(rows)
+    return lambda: _automaton(block, shared), shared
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -104,26 +111,69 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, spans (array of hit words' first, end) and items (ids as strings) of every row.
+_FOUND = "spans array<struct<first: int, end: int>>, items array<string>"
 
-    Each text is scanned once per block of items. Null and empty texts have no words and no hits; items without words
-    have no windows; an item shorter than a window is one window. Windows of an item without an id hit words, but it is
-    not among the items that are named and counted."""
-    getters = [_matcher(block) for block in item_blocks(items)]
-    kind = dict(docs.dtypes)["doc_id"]
 
-    def scan(ids, texts):
-        n_words, spans, found = [], [], []
-        for text in texts:
-            words = normal_words(text)
-            got = [h for get in getters for h in get().find(words)]
-            n_words.append(len(words))
-            spans.append([{"first": a, "end": b} for a, b in covered([h[:2] for h in got])])
-            found.append(sorted({str(i) for h in got for i in h[2] if i is not None}))
-        return [ids, n_words, spans, found]
+def _scan(words: list[bytes], found: Automaton) -> tuple[list[dict], list[str]]:
+    got = found.find(words)
+    return [{"first": a, "end": b} for a, b in covered([h[:2] for h in got])], sorted({str(i) for h in got for i in h[2] if i is not None})
+
 
-    return arrow_map(docs.select("doc_id", "text"), scan, f"doc_id {kind}, n_words long, spans array<struct<first: int, end: int>>, items array<string>")
+def _offsets(text: str | None, spans: list[tuple[int, int]]) -> str:
+    return ",".join(f"{a}:{b}" for a, b in original_spans(text, spans)) if spans else ""
+
+
+def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, n_words, spans (array of hit words' first, end), items (ids as strings) and hit_spans (the spans in code
+    points of the original, "first:end", comma-joined) of every row.
+
+    Each text is scanned once per block of items, whole, however long it is. Null and empty texts have no words and no
+    hits; an item shorter than a window is one window, one without words has none. Windows of an item without an id hit
+    words, but it is not among the items that are named and counted."""
+    blocks, kind = item_blocks(items), dict(docs.dtypes)["doc_id"]
+    if len(blocks) == 1:
+        get = _matcher(items)[0]
+
+        def scan(ids, texts):
+            n_words, spans, found, offsets = [], [], [], []
+            for text in texts:
+                words = normal_words(text)
+                own, who = _scan(words, get())
+                n_words.append(len(words))
+                spans.append(own)
+                found.append(who)
+                offsets.append(_offsets(text, [(s["first"], s["end"]) for s in own]))
+            return [ids, n_words, spans, found, offsets]
+
+        return arrow_map(docs.select("doc_id", "text"), scan, f"doc_id {kind}, n_words long, {_FOUND}, hit_spans string")
+
+    def key(i, text):  # rows alike in both have the same hits
+        return xxhash.xxh3_128_digest(f"{i}|".encode() + text_bytes(text))
+
+    found = None
+    for block in blocks:
+        get, rows = _matcher(block)
+
+        def scan(ids, texts, get=get):
+            out = [(key(i, t), *_scan(normal_words(t), get())) for i, t in zip(ids, texts)]
+            out = [x for x in out if x[1]]
+            return [[x[k] for x in out] for k in range(3)]
+
+        part = keep(arrow_map(docs.select("doc_id", "text"), scan, f"row binary, {_FOUND}"), "hits")
+        rows.unpersist()
+        found = part if found is None else found.union(part)
+    # Of a row, as many as there are blocks, and as many spans as it has words.
+    found = found.groupBy("row").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+    def count(ids, texts):
+        return [ids, [key(i, t) for i, t in zip(ids, texts)], [len(normal_words(t)) for t in texts], texts]
+
+    def whole(ids, n_words, texts, spans, who):
+        merged = [covered([(s["first"], s["end"]) for s in own or []]) for own in spans]
+        return [ids, n_words, [[{"first": a, "end": b} for a, b in m] for m in merged], [w or [] for w in who], [_offsets(t, m) for t, m in zip(texts, merged)]]
+
+    rows = arrow_map(docs.select("doc_id", "text"), count, f"doc_id {kind}, row binary, n_words long, text string")
+    return arrow_map(rows.join(found.hint("merge"), "row", "left").select("doc_id", "n_words", F.when(F.col("spans").isNotNull(), F.col("text")).alias("text"), "spans", "items"), whole, f"doc_id {kind}, n_words long, {_FOUND}, hit_spans string")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -135,9 +185,10 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs. Repeated rows each get a row;
-    item ids repeat as one; an empty items table makes nothing contaminated."""
-    return judged(hits(docs, items)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans for every row of docs, as hits() says.
+    Repeated rows each get a row; item ids repeat as one; an empty items table makes nothing contaminated, and an empty
+    docs table gives an empty one; other columns are not read."""
+    return judged(hits(docs, items)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
 
 
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -148,11 +199,13 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of any item, with docs' columns. A long document goes for one passage too:
-    its share of the words does not matter. Null and empty texts stay, as do all where no item has words."""
-    getters = [_matcher(block) for block in item_blocks(items)]
-
-    def keeps(text: str | None) -> bool:
-        words = normal_words(text)
-        return not any(get().find(words) for get in getters)
-
-    return arrow_filter(docs, "text", lambda texts: [keeps(t) for t in texts])
+    its share of the words does not matter. Null and empty texts stay, as do all where no item has words. Repeated rows
+    stay or go together."""
+    blocks = item_blocks(items)
+    for k, block in enumerate(blocks):
+        get, rows = _matcher(block)
+        docs = arrow_filter(docs, "text", lambda texts, get=get: [not get().find(normal_words(t)) for t in texts])
+        if k + 1 < len(blocks):
+            docs = keep(docs, "clean")
+            rows.unpersist()
+    return docs

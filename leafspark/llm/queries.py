@@ -71,7 +71,11 @@ _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+    regexp_extract_all(coalesce(text, ''), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS p
+  FROM documents
+),
 b AS (SELECT item_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (
   SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
@@ -82,11 +86,17 @@ dw AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)
 ),
 m AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw USING (n, g)),
-h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY doc_id),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM m),
+h AS (SELECT doc_id, count(*) AS n_hit FROM x GROUP BY doc_id),
+r AS (SELECT doc_id, min(k) AS a, max(k) AS z FROM (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM x) GROUP BY doc_id, run),
+o AS (
+  SELECT doc_id, string_agg(s || ':' || e, ',' ORDER BY s) AS hit_spans
+  FROM (SELECT doc_id, length(array_to_string(p[1:a], '')) - length(w[a]) AS s, length(array_to_string(p[1:z], '')) AS e FROM r JOIN d USING (doc_id)) GROUP BY doc_id
+),
 t AS (SELECT doc_id, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(hit_spans, '') AS hit_spans
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN o USING (doc_id)
 """,
     "op5_substring": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
