@@ -13,15 +13,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.common import arrow_filter, arrow_map, least_hashed
+from leafspark.llm.common import arrow_filter, arrow_map, keep, least_hashed
 
 HASH_BITS = 18
 GRADES = 3
 #: Rated rows that the model is fitted on at most: those whose ids have the least hash.
 SAMPLE = 12_000
-MIN_TAIL = 0.4
+MIN_TAIL = 0.5
+#: Features that the model has at most.
+FEATURES = 8192
 LETTERS = re.compile(r"[^\W\d_]+")
-_LEAST_Z, _EPOCHS, _BATCH, _RATE, _DECAY = 4.0, 40, 128, 0.3, 1e-6
+_LEAST_Z, _EPOCHS, _BATCH, _RATE, _DECAY = 4.0, 40, 128, 0.3, 1e-4
 
 
 def _bin(x: float, steps: tuple[float, ...]) -> int:
@@ -66,28 +68,31 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts - score, -60, 60)))
 
 
-def train(rows: list, grades: list[int], levels: int = GRADES, seed: int = 5) -> OrdinalModel:
-    """Fits by AdaGrad on the features that differ between lower and higher grades at some threshold (z >= _LEAST_Z)."""
-    size = 1 << HASH_BITS
-    y = np.array(grades)
+def likelihood(weights: np.ndarray, cuts: np.ndarray, cols: np.ndarray, where: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log odds of the grades of some rows, and its gradient by weights and by cuts. Entry k says that
+    row where[k] has feature cols[k]."""
+    n, levels = len(grades), len(cuts) + 1
+    scores = np.bincount(where, weights[cols], minlength=n)
+    below = 1 / (1 + np.exp(-np.clip(np.concatenate([[-60.0], cuts, [60.0]])[None, :] - scores[:, None], -60, 60)))
+    at = np.arange(n)
+    low, high = below[at, grades], below[at, grades + 1]
+    odds = np.clip(high - low, 1e-9, None)
+    d_low, d_high = low * (1 - low) / odds / n, high * (1 - high) / odds / n
+    by_cut = np.zeros(levels + 1)
+    np.add.at(by_cut, grades + 1, -d_high)
+    np.add.at(by_cut, grades, d_low)
+    by_score = d_high - d_low
+    return float(-np.log(odds).mean()), np.bincount(cols, by_score[where], minlength=len(weights)), by_cut[1:levels]
+
+
+def train(rows: list, grades: list[int], size: int, levels: int = GRADES, seed: int = 5) -> OrdinalModel:
+    """Fits by AdaGrad. rows are the features of each document, numbers below size."""
+    y = np.array(grades, np.int64)
     weights, cuts = np.zeros(size), np.linspace(-1, 1, levels - 1)
     if not len(y):
         return OrdinalModel(weights, cuts)
     lens = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate([np.asarray(r, np.int32) for r in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), lens)
-    used = np.zeros(size, bool)
-    for j in range(levels - 1):
-        high = y > j
-        n1, n0 = high.sum(), (~high).sum()
-        if not n1 or not n0:
-            continue
-        c1, c0 = np.bincount(flat[high[owner]], minlength=size), np.bincount(flat[~high[owner]], minlength=size)
-        p = (c1 + c0) / len(y)
-        z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.clip(p * (1 - p), 1e-12, None) * (1 / n1 + 1 / n0))
-        used |= (z >= _LEAST_Z) & (c1 + c0 >= 5)
-    keep = used[flat]
-    flat, owner = flat[keep], owner[keep]
-    starts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    flat, starts = np.concatenate([np.asarray(r, np.int64) for r in rows]), np.concatenate([[0], np.cumsum(lens)])
     for j in range(levels - 1):  # start at the grades' own odds
         share = np.clip((y <= j).mean(), 0.01, 0.99)
         cuts[j] = np.log(share / (1 - share))
@@ -101,29 +106,15 @@ def train(rows: list, grades: list[int], levels: int = GRADES, seed: int = 5) ->
             lengths = starts[pick + 1] - starts[pick]
             where = np.repeat(np.arange(len(pick)), lengths)
             cols = flat[np.repeat(starts[pick] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())]
-            s = np.bincount(where, weights[cols], minlength=len(pick))
-            below = 1 / (1 + np.exp(-np.clip(np.concatenate([[-60.0], cuts, [60.0]])[None, :] - s[:, None], -60, 60)))
-            g = y[pick]
-            rows_at = np.arange(len(pick))
-            lo, hi = below[rows_at, g], below[rows_at, g + 1]
-            prob = np.clip(hi - lo, 1e-9, None)
-            d_lo, d_hi = lo * (1 - lo), hi * (1 - hi)
-            to_score = (d_hi - d_lo) / prob / len(pick)  # of the loss
-            grad = np.bincount(cols, to_score[where], minlength=size) + _DECAY * weights
+            _, grad, cut_grad = likelihood(weights, cuts, cols, where, y[pick])
+            grad = grad + _DECAY * weights
             pushes += grad * grad
             weights -= _RATE * grad / np.sqrt(pushes)
-            np.minimum(weights[::2], 0, out=weights[::2])  # no number of usual words makes up for a bad one
-            to_cut = np.zeros(levels + 1)
-            np.add.at(to_cut, g + 1, -d_hi / prob / len(pick))
-            np.add.at(to_cut, g, d_lo / prob / len(pick))
-            cut_grad = to_cut[1:levels]
             cut_pushes += cut_grad * cut_grad
             cuts = np.maximum.accumulate(cuts - _RATE * cut_grad / np.sqrt(cut_pushes))
         if 2 * epoch >= _EPOCHS:  # the mean of the later epochs stands for where they waver about
             total, total_cuts, taken = total + weights, total_cuts + cuts, taken + 1
-    weights, cuts = total / taken, total_cuts / taken
-    weights[~used] = 0
-    return OrdinalModel(weights, cuts)
+    return OrdinalModel(total / taken, total_cuts / taken)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -133,15 +124,53 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", grade.alias("grade"))
 
 
+def telling(rated: DataFrame, levels: int = GRADES, most: int = FEATURES) -> list[int]:
+    """The features of rated(grade, found) that differ most between lower and higher grades at some threshold: those of
+    z >= _LEAST_Z that five rows have at least, `most` of them at most, in order."""
+    sizes = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+
+    def count(grades, found):
+        cells = np.concatenate([np.frombuffer(f, np.int32).astype(np.int64) * levels + g for g, f in zip(grades, found)]) if found else np.zeros(0, np.int64)
+        cells, n = np.unique(cells, return_counts=True)
+        return [cells // levels, cells % levels, n]
+
+    counts = arrow_map(rated.select("grade", "found"), count, "feature int, grade int, n long").groupBy("feature").agg(*(F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).cast("double").alias(f"n{g}") for g in range(levels)))
+    scores = []
+    for j in range(levels - 1):
+        low, high = sum(sizes.get(g, 0) for g in range(j + 1)), sum(sizes.get(g, 0) for g in range(j + 1, levels))
+        if low and high:
+            c0, c1 = (sum((F.col(f"n{g}") for g in of), F.lit(0.0)) for of in (range(j + 1), range(j + 1, levels)))
+            p = (c0 + c1) / total
+            scores.append(F.abs(c1 / high - c0 / low) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / high + 1 / low)))
+    if not scores:
+        return []
+    z = F.greatest(F.lit(0.0), *scores)
+    seen = sum((F.col(f"n{g}") for g in range(levels)), F.lit(0.0))
+    return sorted(r["feature"] for r in counts.select("feature", z.alias("z"), seen.alias("seen")).where((F.col("z") >= _LEAST_Z) & (F.col("seen") >= 5)).orderBy(F.desc("z"), "feature").limit(most).collect())
+
+
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, levels: int = GRADES) -> OrdinalModel:
-    """From docs(doc_id, text) and ratings(doc_id, grade): at most `sample` rated rows. Without any, all grades tie."""
+    """From docs(doc_id, text) and ratings(doc_id, grade): at most `sample` rated rows, those whose ids have the least
+    hash. An id that is rated several times has its least grade; texts alike in all features count once, with their
+    least grade. Without any rated row all grades tie. Only the telling features of these rows come to the driver."""
+    spark = docs.sparkSession
     some = least_hashed(ratings.groupBy("doc_id").agg(F.min("grade").alias("grade")), F.xxhash64("doc_id"), sample)
     rated = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text")
     found = arrow_map(rated, lambda ids, grades, texts: [ids, grades, [np.array(features(t), np.int32).tobytes() for t in texts]], "doc_id long, grade int, found binary")
-    # One row for each rated id, and one for each set of features: copies would count as evidence of their own.
     found = found.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("found").alias("found")).groupBy("found").agg(F.min("doc_id").alias("doc_id"), F.min("grade").alias("grade"))
-    rows = sorted(found.select("doc_id", "grade", "found").collect(), key=lambda r: r["doc_id"])
-    return train([np.frombuffer(r["found"], np.int32) for r in rows], [r["grade"] for r in rows], levels)
+    found = keep(found.select("doc_id", "grade", "found"), "rated")
+    used = np.array(telling(found, levels), np.int32)
+    shared = spark.sparkContext.broadcast(used)  # FEATURES numbers
+
+    def among(ids, grades, rows):
+        return [ids, grades, [np.flatnonzero(np.isin(shared.value, np.frombuffer(r, np.int32), assume_unique=True)).astype(np.uint16).tobytes() for r in rows]]
+
+    rows = sorted(arrow_map(found, among, "doc_id long, grade int, found binary").collect(), key=lambda r: r["doc_id"])  # sample rows of at most FEATURES numbers
+    small = train([np.frombuffer(r["found"], np.uint16) for r in rows], [r["grade"] for r in rows], len(used), levels)
+    weights = np.zeros(1 << HASH_BITS)
+    weights[used] = small.weights
+    return OrdinalModel(weights, small.cuts)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TAIL) -> DataFrame:

@@ -148,7 +148,7 @@ def test_components_of_chains_and_hubs(spark):
 
 def brute_contamination(text, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    w, hit, who = cut(text), set(), set()
+    w, hit, who, t_ = cut(text), set(), set(), text
     for i, t in items:
         v = cut(t)
         n = min(13, len(v))
@@ -158,7 +158,10 @@ def brute_contamination(text, items):
                 hit |= set(range(k, k + n))
                 who |= {str(i)} if i is not None else set()
     ids = hashlib.sha256(",".join(sorted(who)).encode()).hexdigest()
-    return len(w), len(hit), len(who), ids, bool(hit) and 20 * len(hit) >= len(w)
+    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t_ or "")]
+    firsts, lasts = sorted(k for k in hit if k - 1 not in hit), sorted(k for k in hit if k + 1 not in hit)
+    spans = ",".join(f"{places[a][0]}:{places[z][1]}" for a, z in zip(firsts, lasts))
+    return len(w), len(hit), len(who), ids, bool(hit) and 20 * len(hit) >= len(w), spans
 
 
 ITEMS = [(1, " ".join(words(40, 2))), (10, "One, TWO"), (2, None), (3, ""), (4, "?!"), (5, " ".join(words(13, 3))), (6, " ".join(words(14, 3))), (7, "日本"), (None, " ".join(words(13, 4)))]
@@ -172,7 +175,8 @@ def test_decontamination_is_brute_force(spark, docs, block, monkeypatch):
     assert got == sorted((-1 if i is None else i, *brute_contamination(t, ITEMS)) for i, t, *_ in awkward())
     kept = decontaminate.clean(docs, items)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(not brute_contamination(t, ITEMS)[4] for _, t, *_ in awkward())
+    assert kept.count() == sum(not brute_contamination(t, ITEMS)[1] for _, t, *_ in awkward())
+    assert (len(decontaminate.item_blocks(items)) > 1) == (block == 20)
 
 
 def test_hits_map_to_the_original():
@@ -610,15 +614,37 @@ def test_one_of_each_passes_odd_columns(spark):
     assert got.columns == docs.columns and sorted(x["a.b"] for x in got.collect()) == ["p", "r", "s"]
 
 
+def small_network(seed=1):
+    r = np.random.default_rng(seed)
+    mass = r.integers(0, 5, (4, 6)).astype(float)
+    mass[2] = 0
+    net = lm.Network(mass, 40, seed=seed)
+    for p in net.parts:
+        p += r.standard_normal(p.shape).astype(np.float32) * 0.3
+    return net, np.flatnonzero(mass.ravel())
+
+
 def test_network_gradient():
-    net = lm.Network(classes=5, seed=1)
-    contexts, targets = net.contexts(np.array([1, 2, 3, 4, 5, 2000])), np.array([0, 1, 2, 3, 4, 4])
-    loss = lambda n: -n.log_odds(contexts, targets).mean()
-    before = loss(net)
+    """Against differences of the loss, and steps lower it."""
+    net, cells = small_network()
+    r = np.random.default_rng(2)
+    contexts, targets = net.contexts(r.integers(0, 39, 50)), r.choice(cells, 50).astype(np.int32)
+    loss = lambda: -net.log_odds(contexts, targets).mean(dtype=np.float64)
+    for part, grad in zip(net.parts, net.gradient(contexts, targets)):
+        flat = part.reshape(-1)
+        for k in [*r.integers(0, flat.size, 6), int(np.abs(grad).argmax())]:
+            was = flat[k]
+            flat[k] = was + 0.001
+            up = loss()
+            flat[k] = was - 0.001
+            down = loss()
+            flat[k] = was
+            assert abs((up - down) / 0.002 - grad.ravel()[k]) < 2e-3
+    before = loss()
     for _ in range(30):
         net.step(contexts, targets)
-    assert loss(net) < before / 2
-    every = [net.log_odds(contexts, np.full(6, c)) for c in range(5)]
+    assert loss() < before - 0.5
+    every = [net.log_odds(contexts, np.full(50, c, np.int32)) for c in cells]
     assert np.allclose(np.exp(every).sum(0), 1, atol=1e-5)
 
 
@@ -635,41 +661,67 @@ def test_scores_tell_order_from_disorder(spark):
     r.shuffle(odd)
     rows += [(900, " ".join(odd)), (901, None), (902, ""), (903, "unseen words here")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: x for x in lm.score(frame.repartition(2), rounds=3).collect()}
+    got = {x["doc_id"]: x for x in lm.score(frame.repartition(2), rounds=24, batch=64).collect()}
     assert len(got) == len(rows)
     assert got[900]["per_token"] < min(got[i]["per_token"] for i in range(150)) - 0.3
     assert got[901]["log_likelihood"] == 0 and got[901]["per_token"] is None and got[902]["n_tokens"] == 0
 
 
-def test_every_word_counts_in_scores(spark, monkeypatch):
-    """Words beyond the vocabulary: each has the share of its own count, and its own hashed embedding."""
-    monkeypatch.setattr(lm, "VOCABULARY", 5)
-    r = random.Random(4)
-    rows = [(i, " ".join(f"w{int(40 * r.random() ** 2)}" for _ in range(r.randrange(60)))) for i in range(40)] + [(None, "w39 w38 rare"), (50, None), (50, "ünïcode rare")]
+def brute_odds(net, voc, counts, words):
+    """The odds of every word of the corpus at each place, by the formula, in 64 bits."""
+    hashed = lambda w: len(voc.number) + (xxhash.xxh64_intdigest(w, 42) & (voc.hashed - 1))
+    row = lambda w: voc.number.get(w, hashed(w))
+    soft = lambda z, mass: np.where(mass > 0, np.exp(z - z.max()), 0) / np.where(mass > 0, np.exp(z - z.max()), 0).sum()
+    embed, w1, b1, w2, b2, w3, b3 = (p.astype(float) for p in net.parts)
+    cell_sum, out = {}, []
+    for w, n in counts.items():
+        cell_sum[int(voc.cell[row(w)])] = cell_sum.get(int(voc.cell[row(w)]), 0) + n
+    for i in range(len(words)):
+        x = np.concatenate([embed[row(words[k])] if 0 <= k < len(words) else embed[-1] for k in (i - 2, i - 1, i + 1, i + 2)])
+        h = np.maximum(x @ w1 + b1, 0)
+        of_class = soft(h @ w2 + b2, voc.mass.sum(1))
+        of_bucket = [soft(h @ w3[c] + b3[c], m) if m.any() else m for c, m in enumerate(voc.mass)]
+        out.append({w: of_class[voc.cell[row(w)] // lm.BUCKETS] * of_bucket[voc.cell[row(w)] // lm.BUCKETS][voc.cell[row(w)] % lm.BUCKETS] * n / cell_sum[int(voc.cell[row(w)])] for w, n in counts.items()})
+    return out
+
+
+@pytest.mark.parametrize("size, rounds", [(5, 0), (30, 2), (1000, 2)])
+def test_scores_are_brute_force(spark, size, rounds):
+    """Every word of the corpus has odds at every place, they sum to one, and the scores are the sums of their logs."""
+    r = random.Random(size)
+    rows = [(i, " ".join(f"w{int(90 * r.random() ** 2)}" for _ in range(r.randrange(50)))) for i in range(30)] + [(None, "w89 w88 rare"), (50, None), (51, "ünïcode rare w1 w2 RARE"), (52, "only here here")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    voc, counts = lm.vocabulary(frame, 5)
-    n = {bytes(x["word"]): x["n"] for x in counts.collect()}
-    assert len(voc.number) == 5 and len(n) > 30
-    others = sum(k for w, k in n.items() if w not in voc.number)
-    odds = [math.exp(float(voc.share[-1])) * k for w, k in n.items() if w not in voc.number]
-    assert others and abs(sum(odds) - 1) < 1e-5  # the shares in the last class are all of it
+    voc, table_of = lm.vocabulary(frame, size)
+    counts = {bytes(x["word"]): x["n"] for x in table_of.collect()}
     numbers = lm.numbered(frame, voc)
-    logs = {x["row"]: x["logs"] for x in lm.other_logs(numbers, counts).collect()}
-    kinds = {}
-    for x in numbers.collect():
-        got = np.frombuffer(x["numbers"], np.int32)
-        assert len(x["others"]) == int((got >= 5).sum()) and (got < voc.rows - 1).all()
-        kinds.update((int(h), int(k)) for h, k in zip(x["others"], got[got >= 5]))
-    assert len(kinds) == len(n) - 5 and len(set(kinds.values())) > 0.9 * len(kinds)
-    texts = sorted((sum(math.log(n[w]) for w in lm.words_of(t) if w not in voc.number) for _, t in rows), reverse=True)
-    assert np.allclose(texts, sorted((logs.get(x["row"], 0.0) for x in numbers.collect()), reverse=True))
+    net = lm.Network(voc.mass, voc.rows, lm.train(numbers, voc, rounds, batch=64))
+    found = numbers.collect()
+    parts = lm.log_likelihoods(net, voc.cell, voc.share, [np.frombuffer(x["numbers"], np.int32) for x in found])
+    more = {x["row"]: x for x in lm.other_logs(numbers, table_of).collect()}
+    got = sorted((str(x["doc_id"]), p + (more[x["row"]]["logs"] if x["row"] in more else 0), more[x["row"]]["n_novel"] if x["row"] in more else 0) for x, p in zip(found, parts))
+    want = []
+    for i, t in rows:
+        words_ = lm.words_of(t)
+        odds = brute_odds(net, voc, counts, words_)
+        assert all(abs(sum(o.values()) - 1) < 1e-9 for o in odds)
+        novel = sum(w not in voc.number and counts[w] == words_.count(w) for w in words_)
+        want.append((str(i), sum(math.log(o[w]) for o, w in zip(odds, words_)), novel))
+    assert [x[::2] for x in got] == [x[::2] for x in sorted(want)]
+    assert np.allclose([x[1] for x in got], [x[1] for x in sorted(want)], rtol=1e-4, atol=1e-3)
+
+
+def test_scores_of_copies_and_long_texts(spark):
+    long = " ".join(words(9000, 3, 3000))
+    rows = [(1, "one of a kind"), (2, "two of a sort"), (3, "two of a sort"), (4, long), (5, long + " more")]
+    got = {x["doc_id"]: x for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), batch=64).collect()}
+    assert got[2]["log_likelihood"] == got[3]["log_likelihood"] > got[1]["log_likelihood"] and got[4]["n_tokens"] == 9000
 
 
 def test_embeddings_grow_with_the_distinct_words():
     ranked = [(b"%d" % i, 5) for i in range(100)]
-    sizes = [lm.Vocabulary(ranked, 10**9, kinds).hashed for kinds in (100, 10**5, 10**6, 10**7)]
-    assert sizes == [1024, 4096, 32768, 524288]
-    net = lm.Network(classes=5, rows=3000)
+    sizes = [lm.Vocabulary(ranked, 10**9, kinds).hashed for kinds in (100, 10**5, 10**6, 10**8)]
+    assert sizes == [1024, 8192, 65536, lm.HASHED]
+    net = lm.Network(np.ones((4, 6)), 3000)
     assert len({tuple(net.embed[k]) for k in (1022, 1023, 1500, 2998)}) == 4
     assert net.contexts(np.array([1500, 2998]))[0].tolist() == [2999, 2999, 2998, 2999]
 
@@ -685,12 +737,53 @@ def test_quality_held_out():
         return " ".join(x + "%%%" for x in w) if grade == 0 else " ".join(w)
 
     grades = [r.choice([0, 1, 1, 2, 2, 2]) for _ in range(3000)]
-    model = quality.train([quality.features(make(g)) for g in grades], grades)
+    model = quality.train([quality.features(make(g)) for g in grades], grades, 1 << quality.HASH_BITS)
     assert list(model.cuts) == sorted(model.cuts)
     wrong = sum((model.tails(model.score(quality.features(make(g))))[-1] >= 0.5) != (g == 2) for g in grades[:600])
     assert wrong <= 12
 
 
+def test_quality_gradient():
+    """Against differences of the likelihood, written out from the thresholds."""
+    r = np.random.default_rng(3)
+    weights, cuts, grades = r.standard_normal(9), np.array([-0.7, 0.4, 1.1]), r.integers(0, 4, 25)
+    rows = [np.flatnonzero(r.random(9) < 0.4) for _ in grades]
+    cols, where = np.concatenate(rows), np.repeat(np.arange(25), [len(x) for x in rows])
+
+    def loss(w, c):
+        total = 0.0
+        for row, g in zip(rows, grades):
+            below = [0.0, *(1 / (1 + math.exp(-(x - sum(w[k] for k in row)))) for x in c), 1.0]
+            total -= math.log(below[g + 1] - below[g])
+        return total / 25
+
+    value, by_weight, by_cut = quality.likelihood(weights, cuts, cols, where, grades)
+    assert abs(value - loss(weights, cuts)) < 1e-9
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-5
+        assert abs((loss(weights + step, cuts) - loss(weights - step, cuts)) / 2e-5 - by_weight[k]) < 1e-6
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-5
+        assert abs((loss(weights, cuts + step) - loss(weights, cuts - step)) / 2e-5 - by_cut[k]) < 1e-6
+
+
+def test_telling_features_are_brute_force(spark):
+    r = random.Random(8)
+    rows = [(g, sorted(k for k in range(60) if r.random() < (0.1 + 0.5 * (g if k % 7 == 0 else 1) / 2 if k < 40 else 0.02))) for g in [0, 1, 1, 2, 2, 2] * 150]
+    frame = spark.createDataFrame([(g, bytearray(np.array(f, np.int32).tobytes())) for g, f in rows], "grade int, found binary").repartition(3)
+    scores = {}
+    for k in range(60):
+        for j in (0, 1):
+            low, high = [k in f for g, f in rows if g <= j], [k in f for g, f in rows if g > j]
+            p = (sum(low) + sum(high)) / len(rows)
+            z = abs(sum(high) / len(high) - sum(low) / len(low)) / math.sqrt(max(1e-12, p * (1 - p)) * (1 / len(high) + 1 / len(low)))
+            if sum(low) + sum(high) >= 5:
+                scores[k] = max(z, scores.get(k, 0))
+    want = sorted((k for k in scores if scores[k] >= 4), key=lambda k: (-scores[k], k))
+    assert quality.telling(frame) == sorted(want) and len(want) >= 5
+    assert quality.telling(frame, most=3) == sorted(want[:3])
+
+
 def test_quality_of_awkward_rows(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(18)] + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, quality.graded(labels))
