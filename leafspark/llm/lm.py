@@ -31,10 +31,12 @@ from leafspark.llm.common import arrow_map, keep, small_batches, text_bytes
 
 VOCABULARY, CLASSES, BUCKETS = 50_000, 16, 64
 #: Hashed embeddings: a power of two, one to KINDS_A_ROW distinct words beyond the vocabulary; least and greatest number.
-KINDS_A_ROW, NEAR, HASHED, _SEED = 16, 1 << 10, 1 << 18, 42
+KINDS_A_ROW, NEAR, HASHED, _SEED = 4, 1 << 10, 1 << 16, 42
 SIDE, WIDTH, HIDDEN = 2, 8, 24
 ROUNDS, FOLDS, BATCH, RATE = 2, 2, 1024, 0.05
-_FLUSH, _NEVER = 200_000, np.float32(-1e9)
+_FLUSH = 200_000
+#: Odds in logs: of what is never, and the most that any are; and the least odds that a log is taken of.
+_NEVER, _MOST, _LEAST = np.float32(-1e9), np.float32(60), np.float32(1e-30)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -172,34 +174,34 @@ class Network:
         return np.stack([padded[k : k + n] for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))], axis=1)
 
     def forward(self, contexts: np.ndarray, classes: np.ndarray) -> tuple:
-        """Inputs, hidden values, odds of all classes and of the buckets of each row's own class (in logs, up to a number
-        for each row), and where each class begins. classes are in order."""
+        """Inputs, hidden values, odds of all classes and of the buckets of each row's own class (exponentials, with the
+        inverse of their sums), and where each class begins. classes are in order."""
         x = self.embed[contexts].reshape(len(contexts), -1)
         h = x @ self.w1
         h += self.b1
         np.maximum(h, 0, out=h)
         z = h @ self.w2
         z += self.b2 + self.no_class
-        z -= z.max(axis=1, keepdims=True)
-        starts = np.searchsorted(classes, np.arange(len(self.w3) + 1))
-        y = np.empty((len(h), self.b3.shape[1]), np.float32)
+        starts = np.searchsorted(classes, np.arange(len(self.w3) + 1)).tolist()
+        y, bias = np.empty((len(h), self.b3.shape[1]), np.float32), self.b3 + self.no_bucket
         for c, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
             if a < b:
                 np.matmul(h[a:b], self.w3[c], out=y[a:b])
-                y[a:b] += self.b3[c] + self.no_bucket[c]
-        y -= y.max(axis=1, keepdims=True)
-        return x, h, z, y, starts
+                y[a:b] += bias[c]
+        sums = []
+        for odds in (z, y):
+            np.minimum(odds, _MOST, out=odds)
+            np.exp(odds, out=odds)
+            sums.append(1 / (odds @ np.ones(odds.shape[1], np.float32)))
+        return x, h, z, y, sums, starts
 
     def log_odds(self, contexts: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """The log odds of each row's cell."""
         order, rows = np.argsort(cells, kind="stable"), np.arange(len(cells))
         classes, buckets = np.divmod(cells[order], self.b3.shape[1])
-        _, _, z, y, _ = self.forward(contexts[order], classes)
-        got = z[rows, classes] + y[rows, buckets]
-        got -= np.log(np.exp(z, out=z).sum(axis=1))
-        got -= np.log(np.exp(y, out=y).sum(axis=1))
-        out = np.empty_like(got)
-        out[order] = got
+        _, _, z, y, (by_z, by_y), _ = self.forward(contexts[order], classes)
+        out = np.empty(len(cells), np.float32)
+        out[order] = np.log(np.maximum(z[rows, classes] * by_z, _LEAST)) + np.log(np.maximum(y[rows, buckets] * by_y, _LEAST))
         return out
 
     def gradient(self, contexts: np.ndarray, cells: np.ndarray) -> list[np.ndarray]:
@@ -207,31 +209,36 @@ class Network:
         order, n = np.argsort(cells, kind="stable"), len(cells)
         contexts, rows = contexts[order], np.arange(n)
         classes, buckets = np.divmod(cells[order], self.b3.shape[1])
-        x, h, d, e, starts = self.forward(contexts, classes)
-        for odds, right in ((d, classes), (e, buckets)):
-            np.exp(odds, out=odds)
-            odds /= odds.sum(axis=1, keepdims=True)
-            odds[rows, right] -= 1
-            odds /= n
+        x, h, d, e, sums, starts = self.forward(contexts, classes)
+        for odds, right, by in ((d, classes, sums[0]), (e, buckets, sums[1])):
+            by /= n
+            odds *= by[:, None]
+            odds[rows, right] -= np.float32(1 / n)
         dh = d @ self.w2.T
-        g3, gb3 = np.zeros_like(self.w3), np.zeros_like(self.b3)
+        g3, gb3, ones = np.zeros_like(self.w3), np.zeros_like(self.b3), np.ones(n, np.float32)
         for c, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
             if a < b:
                 dh[a:b] += e[a:b] @ self.w3[c].T
                 np.matmul(h[a:b].T, e[a:b], out=g3[c])
-                gb3[c] = e[a:b].sum(axis=0)
+                np.matmul(ones[a:b], e[a:b], out=gb3[c])
         dh *= h > 0
         dx = (dh @ self.w1.T).reshape(-1, WIDTH)
         flat = contexts.ravel()
-        de = np.stack([np.bincount(flat, dx[:, k], minlength=len(self.embed)) for k in range(WIDTH)], axis=1).astype(np.float32)
-        return [de, x.T @ dh, dh.sum(0), h.T @ d, d.sum(0), g3, gb3]
+        de = np.empty(self.embed.shape, np.float32)
+        for k in range(WIDTH):
+            de[:, k] = np.bincount(flat, dx[:, k], minlength=len(self.embed))
+        return [de, x.T @ dh, ones @ dh, h.T @ d, ones @ d, g3, gb3]
 
     def step(self, contexts: np.ndarray, cells: np.ndarray, rate: float = RATE) -> None:
         """One AdaGrad step on the mean negative log odds of the cells."""
         parts = (self.embed, *self.parts[1:])
         for p, g, s in zip(parts, self.gradient(contexts, cells), self.pushes):
-            s += g * g
-            p -= rate * g / np.sqrt(s)
+            root = g * g
+            s += root
+            np.sqrt(s, out=root)
+            g /= root
+            g *= np.float32(rate)
+            p -= g
 
 
 def numbered(docs: DataFrame, words: Vocabulary) -> DataFrame:
@@ -261,7 +268,7 @@ def other_logs(numbers: DataFrame, counts: DataFrame) -> DataFrame:
     several = counts.where("n > 1").groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n"))
     places = numbers.select("row", F.explode("others").alias("o")).select("row", "o.h", "o.k")
     novel = F.when(F.col("n").isNull() | (F.col("n") == F.col("k")), F.col("k")).otherwise(0)
-    each = places.join(several, "h", "left").select("row", (F.col("k") * F.log(F.coalesce("n", F.lit(1)))).alias("log_n"), novel.alias("novel"))
+    each = places.join(several.hint("shuffle_hash"), "h", "left").select("row", (F.col("k") * F.log(F.coalesce("n", F.lit(1)))).alias("log_n"), novel.alias("novel"))
     return each.groupBy("row").agg(F.sum("log_n").alias("logs"), F.sum("novel").alias("n_novel"))
 
 
