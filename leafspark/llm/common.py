@@ -20,16 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is made only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir). Where none is set, a local one is made for a local master;
+    on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafspark-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="leafspark-"))
     return sc.getCheckpointDir()
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the Arrow batch size, so that a batch of long texts stays within a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != ARROW_ROWS:
+    """Lowers the session's Arrow batch size, so that a batch of long texts stays within a worker's memory. A size that
+    is lower already stays."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -37,14 +42,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/leafspark/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: The tables that keep() has made and nothing has deleted.
+_made: list[str] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it: cuts the lineage, and survives the loss of an executor."""
+    """Writes df to the shared folder and rereads it: cuts the lineage, and survives the loss of an executor. A join of
+    two tables so kept, or of one with a shuffle, is one whose skewed keys Spark can split."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, name: str, make) -> DataFrame:
+    """keep() of what make() gives; then the tables kept on the way to it are deleted."""
+    before = len(_made)
+    out = keep(make(), name)
+    ways, _made[before:] = _made[before:-1], _made[-1:]
+    _delete(spark, ways)
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Has the driver let go of plans that nothing refers to any more, so that Spark deletes their shuffle files before
     the next steps make theirs."""
@@ -52,13 +79,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def written(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the tables in a folder that are written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(path):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(path)]
+    return [n for n in names if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a table made by keep(), once nothing reads it any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that keep() has made in this process: for when no result is read any more."""
+    _delete(spark, _made)
+    _made.clear()
 
 
 def arrow_map(df: DataFrame, rows, schema: str) -> DataFrame:
@@ -120,26 +159,29 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the least node of its connected component.
 
     Alternating large-star and small-star steps until only stars are left. Each step is a min by key (combined before
-    the shuffle) and a join back, so a hub costs as many rows as it has edges. Nothing is collected.
+    the shuffle) and a join back, so a hub costs as many rows as it has edges; the mins are kept first, so that Spark can
+    split the rows of a hub in the join. Nothing is collected.
     """
     now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
         if _stars(now):
             break
         two = both_ways(now)
-        low = two.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = keep(two.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = two.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = keep(large, "large")
+        lower = keep(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = (
-            large.join(low, "a")
+            large.join(lower, "a")
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")
             .distinct()
         )
         older, now = now, keep(small, "edges")
-        drop(older)
-        del two, low, large, small, older
+        for done in (older, low, large, lower):
+            drop(done)
+        del two, low, large, lower, small, older
         release(now.sparkSession)
     else:
         raise RuntimeError("connected components did not settle")

@@ -129,8 +129,8 @@ def _mask(bits) -> int:
     return _signed(sum(1 << (BITS - 1 - b) for b in bits))
 
 
-def links(distinct: DataFrame, crowd: int = CROWD, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints fp of distinct within radius bits; between members of a crowded
+def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints fp of distinct within RADIUS bits; between members of a crowded
     bucket only so many that what is linked stays connected."""
     n, both = bit_pairs(distinct)
     groups = partitions(n, both)
@@ -139,17 +139,19 @@ def links(distinct: DataFrame, crowd: int = CROWD, radius: int = RADIUS) -> Data
     index = distinct.select("fp", values.alias("v")).select("v.part", "v.val", "fp")
     sizes = keep(index.groupBy("part", "val").count().where("count > 1"), "buckets")
     seen = {r["part"]: int(r["c"]) for r in sizes.groupBy("part").agg(F.sum(F.col("count") * (F.col("count") - 1)).alias("c")).collect()}
-    chosen = thresholds(n, both, groups, [seen.get(k, 0) for k in range(len(groups))], radius)
+    chosen = thresholds(n, both, groups, [seen.get(k, 0) for k in range(len(groups))])
     probed = [(k, t) for k, t in enumerate(chosen) if t >= 0]
     flips = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseXOR(F.lit(_mask(c))).bitwiseAND(F.lit(masks[k])).alias("val")) for k, t in probed for d in range(t + 1) for c in combinations(groups[k], d)]
     probes = distinct.select("fp", F.explode(F.array(*flips)).alias("v")).select("v.part", "v.val", "fp")
     crowded = sizes.where(F.col("count") > crowd).select("part", "val")
     calm = index.join(crowded, ["part", "val"], "left_anti").select("part", "val", F.col("fp").alias("other"))
-    pairs = probes.join(calm, ["part", "val"]).where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    if not crowded.isEmpty():  # many probes may meet at one value: Spark can split them if the other side is a table
+        calm = keep(calm, "calm")
+    pairs = probes.join(calm, ["part", "val"]).where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     if crowded.isEmpty():
         return pairs
     members = probes.join(crowded, ["part", "val"], "left_semi").select("fp").distinct()
-    # Radius 2 is one step from either side; wider ones would need more steps.
+    # RADIUS is one step from either side.
     near = F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_mask([b]))) for b in range(BITS))))
     meet = members.select("fp", near.alias("at")).groupBy("at").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
     stars = meet.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
@@ -170,8 +172,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = roots.join(distinct, roots["node"] == distinct["fp"]).select("node", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     better = named.join(least, "root").select(F.col("node").alias("fp"), "least")
-    answer = distinct.join(better, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marks.join(answer, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    # Kept, so that Spark can split the join for a fingerprint that very many rows have.
+    answer = keep(distinct.join(better, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "answer")
+    return marks.join(answer.hint("merge"), "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def only(docs: DataFrame, firsts: DataFrame, ids: DataFrame) -> DataFrame:
