@@ -7,11 +7,12 @@ of the windows that it governs there (ctx), and where they start.
 
 Batches of documents enter in order of doc_id. The new entries are merge-joined with the sorted immutable runs of
 earlier batches on (mh, ctx): an entry found there, or in a smaller document of its own batch, repeats all its windows.
-Other entries form a new sorted run; runs are compacted when there are more than FANOUT of them.
+Other entries form a new sorted run; runs are compacted when there are more than FANOUT of them. An index in a folder
+stays there, and is opened again for the next day's documents.
 
 An anchor whose windows occur with different ctx may share some windows and not others. These are verified: the windows
-of such entries (of each ctx, all places in its least document) are hashed one by one from the texts, and each goes to the least doc_id.
-Hashes are 64 bits of mh and 64 bits of ctx or window, together.
+of such entries (of each ctx, all places in its least document) are hashed one by one from the texts, and each goes to
+the least doc_id. Hashes are 64 bits of mh and 64 bits of ctx or window, together.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm.common import arrow_map, drop, keep, small_batches, text_bytes
+from leafspark.llm.common import arrow_map, drop, keep, small_batches, text_bytes, written
 
 WINDOW, GRAM, BATCHES, FANOUT = 50, 8, 3, 2
 _GRAMS = WINDOW - GRAM + 1
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
+_ENTRY = "mh long, ctx long, doc_id long, t long, first int, last int"
 _EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -97,83 +99,114 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, ...]:
     return mh[fresh].view(np.int64), ctx[fresh].view(np.int64), first[fresh].astype(np.int32), last[ends].astype(np.int32)
 
 
+def _text_key(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(text_bytes(text)) - (1 << 63)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, sha (of the words joined by one space), n_words, anchors of every row."""
+    """doc_id, t (a hash of the text, which tells rows of one doc_id apart), sha (of the words joined by one space),
+    n_words, anchors of every row."""
     small_batches(docs.sparkSession)
     entry = pa.struct([("mh", pa.int64()), ("ctx", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("n_words", pa.int64()), ("anchors", pa.list_(entry))])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("sha", pa.binary()), ("n_words", pa.int64()), ("anchors", pa.list_(entry))])
 
     def run(batches):
         for batch in batches:
-            shas, counts, parts = [], [], []
+            keys, shas, counts, parts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
+                keys.append(_text_key(text))
                 shas.append(hashlib.sha256(b" ".join(words)).digest())
                 counts.append(len(words))
                 parts.append(anchors(words))
             columns = [pa.array(np.concatenate(c)) for c in zip(*parts)] if parts else [pa.array([], f.type) for f in entry]
             offsets = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(entry)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.binary()), pa.array(counts, pa.int64()), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(shas, pa.binary()), pa.array(counts, pa.int64()), lists], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sha binary, n_words long, anchors array<struct<mh: long, ctx: long, first: int, last: int>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, t long, sha binary, n_words long, anchors array<struct<mh: long, ctx: long, first: int, last: int>>")
 
 
 class FingerprintIndex:
-    """Runs of entries (mh, ctx, doc_id, first, last), sorted by (mh, ctx) and never changed: of each (mh, ctx), every
-    place in the least document that holds it."""
-
-    def __init__(self, fanout: int = FANOUT):
-        self.runs: list[DataFrame] = []
-        self.fanout = fanout
+    """Runs of entries (mh, ctx, doc_id, t, first, last), sorted by (mh, ctx) and never changed: of each (mh, ctx), every
+    place in the least document that holds it.
+
+    With a folder (one that all executors share), runs are written there as run-<from>-<to> by the numbers of their
+    batches, and an index on the same folder has them again. A run counts once it is written whole; one that a compacted
+    run contains does not. One writer at a time."""
+
+    def __init__(self, fanout: int = FANOUT, folder: str | None = None, spark: SparkSession | None = None):
+        self.fanout, self.folder = fanout, folder
+        self.runs: list[tuple[int, int, DataFrame]] = []
+        if folder is not None:
+            found = sorted((tuple(map(int, name[4:].split("-"))) for name in written(spark, folder) if name.startswith("run-")), key=lambda r: (r[0], -r[1]))
+            for first, last in found:
+                if not self.runs or first > self.runs[-1][1]:
+                    self.runs.append((first, last, spark.read.schema(_ENTRY).parquet(f"{folder}/run-{first}-{last}")))
 
     def history(self) -> DataFrame | None:
         out = None
-        for run in self.runs:
+        for _, _, run in self.runs:
             out = run if out is None else out.unionByName(run)
         return out
 
+    def greatest(self) -> int | None:
+        """The greatest doc_id in the index."""
+        past = self.history()
+        return None if past is None else past.agg(F.max("doc_id")).first()[0]
+
+    def _write(self, entries: DataFrame, first: int, last: int) -> tuple[int, int, DataFrame]:
+        if self.folder is None:
+            return first, last, keep(entries, "run")
+        path = f"{self.folder}/run-{first}-{last}"
+        entries.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return first, last, entries.sparkSession.read.schema(_ENTRY).parquet(path)
+
     def append(self, entries: DataFrame) -> DataFrame:
-        """Merge-joins a batch whose doc_ids are all greater than the history's, and returns the repeats: doc_id,
+        """Merge-joins a batch whose doc_ids are all greater than the history's, and returns the repeats: doc_id, t,
         first, last of entries that a smaller document has."""
-        own = entries.groupBy("mh", "ctx").agg(F.min("doc_id").alias("own"))
-        met = entries.join(own.hint("merge"), ["mh", "ctx"])
+        # What repeats is a table of its own, so that Spark can split the join for a passage that very many have.
+        known = entries.groupBy("mh", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         past = self.history()
         if past is None:
-            met = met.withColumn("past", F.lit(None).cast("long"))
+            known = known.where("low < high").select("mh", "ctx", F.col("low").alias("least"))
         else:
-            known = past.groupBy("mh", "ctx").agg(F.first("doc_id").alias("past"))
-            met = met.join(known.hint("merge"), ["mh", "ctx"], "left")
-        met = met.withColumn("repeats", F.col("past").isNotNull() | (F.col("own") < F.col("doc_id"))).drop("own", "past")
-        met = keep(met.sortWithinPartitions("mh", "ctx"), "batch")
+            before = past.groupBy("mh", "ctx").agg(F.first("doc_id").alias("past"))
+            known = known.join(before.hint("merge"), ["mh", "ctx"], "left").where("past is not null or low < high").select("mh", "ctx", F.coalesce("past", "low").alias("least"))
+        met = entries.join(keep(known, "repeated").hint("merge"), ["mh", "ctx"], "left")
+        met = keep(met.withColumn("repeats", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))).drop("least"), "batch")
         # What does not repeat is in the least document, maybe at several places: any of them may have to go.
-        run = met.where("not repeats").select("mh", "ctx", "doc_id", "first", "last")
-        self.runs.append(keep(run.sortWithinPartitions("mh", "ctx"), "run"))
+        n = self.runs[-1][1] + 1 if self.runs else 0
+        run = met.where("not repeats").select("mh", "ctx", "doc_id", "t", "first", "last")
+        self.runs.append(self._write(run.sortWithinPartitions("mh", "ctx"), n, n))
         if len(self.runs) > self.fanout:
             self.compact()
-        return met.where("repeats").select("doc_id", "first", "last")
+        return met.where("repeats").select("doc_id", "t", "first", "last")
 
     def compact(self) -> None:
         """Merges all runs into one."""
         if len(self.runs) > 1:
-            older, merged = self.runs, keep(self.history().repartition("mh", "ctx").sortWithinPartitions("mh", "ctx"), "run")
-            self.runs = [merged]
-            for run in older:
+            older, merged = self.runs, self.history().repartition("mh", "ctx").sortWithinPartitions("mh", "ctx")
+            self.runs = [self._write(merged, older[0][0], older[-1][1])]
+            for _, _, run in older:
                 drop(run)
 
-    def doubtful(self) -> DataFrame | None:
-        """Entries whose anchor governs different windows elsewhere."""
+    def doubtful(self, since: int | None = None) -> DataFrame | None:
+        """Entries whose anchor governs different windows elsewhere; of anchors that documents from `since` on have."""
         past = self.history()
         if past is None:
             return None
-        several = past.groupBy("mh").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("low < high").select("mh")
-        return past.join(several, "mh", "left_semi")
+        several = past.groupBy("mh").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high"), F.max("doc_id").alias("newest")).where("low < high")
+        if since is not None:
+            several = several.where(F.col("newest") >= since)
+        return past.join(keep(several.select("mh"), "several").hint("merge"), "mh", "left_semi")
 
 
 def _ranges(spans: DataFrame) -> DataFrame:
-    """doc_id, spans: ordered, not touching, in words (end exclusive); n_removed. From doc_id, first, last of windows."""
+    """doc_id, t, spans: ordered, not touching, in words (end exclusive); n_removed. From doc_id, t, first, last of
+    windows."""
 
-    def merge(ids, lists):
+    def merge(ids, texts, lists):
         out, counts = [], []
         for spans in lists:
             got: list[list[int]] = []
@@ -184,26 +217,26 @@ def _ranges(spans: DataFrame) -> DataFrame:
                     got.append([a, b])
             out.append([{"a": a, "b": b} for a, b in got])
             counts.append(sum(b - a for a, b in got))
-        return [ids, out, counts]
+        return [ids, texts, out, counts]
 
     # A text has at most as many spans as anchors and verified windows.
-    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("l"))
-    return arrow_map(lists, merge, "doc_id long, spans array<struct<a: int, b: int>>, n_removed long")
+    lists = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("first", "last")).alias("l"))
+    return arrow_map(lists, merge, "doc_id long, t long, spans array<struct<a: int, b: int>>, n_removed long")
 
 
 def _pack(ids, texts):
     z = zstandard.ZstdCompressor(3)
-    return [ids, [z.compress(text_bytes(t)) for t in texts]]
+    return [ids, [_text_key(t) for t in texts], [z.compress(text_bytes(t)) for t in texts]]
 
 
 def _unpack(z: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(z).split()
 
 
-def _windows(ids, packed, lists):
-    """One row for each window of the entries: doc_id, mh, wh, start."""
-    docs, anchor, window, start = [], [], [], []
-    for i, z, entries in zip(ids, packed, lists):
+def _windows(ids, texts, packed, lists):
+    """One row for each window of the entries: doc_id, t, mh, wh, start."""
+    docs, of, anchor, window, start = [], [], [], [], []
+    for i, t, z, entries in zip(ids, texts, packed, lists):
         words = _unpack(z)
         if len(words) < WINDOW:
             continue
@@ -214,12 +247,13 @@ def _windows(ids, packed, lists):
                 window.append(hashed.runs(s, WINDOW).view(np.int64))
                 start.append(s)
                 docs += [i] * len(s)
+                of += [t] * len(s)
                 anchor += [e["mh"]] * len(s)
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return [docs, anchor, cat(window), cat(start).astype(np.int32)]
+    return [docs, of, anchor, cat(window), cat(start).astype(np.int32)]
 
 
-def _finish(ids, packed, lists, counts, n_words):
+def _finish(ids, texts, packed, lists, counts, n_words):
     shas = []
     for z, spans in zip(packed, lists):
         words, kept, at = _unpack(z), [], 0
@@ -227,22 +261,30 @@ def _finish(ids, packed, lists, counts, n_words):
             kept += words[at : s["a"]]
             at = s["b"]
         shas.append(hashlib.sha256(b" ".join(kept + words[at:])).digest())
-    return [ids, n_words, counts, shas]
+    return [ids, texts, n_words, counts, shas]
 
 
-def repeated_passages(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def repeated_passages(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs(doc_id, text, ...).
 
     A word goes if a window over it also starts in a document of smaller doc_id, on the input as it was. Null and empty
     texts have no words and lose none, nor do texts of under 50 words. Rows without a doc_id are neither smaller nor
-    larger than others: they lose nothing and nothing goes for them. Rows that share a doc_id are taken as repeats of
-    one row. An empty table gives an empty one; other columns are not read.
+    larger than others: they lose nothing and nothing goes for them. Rows that share a doc_id are each a text of that
+    document: nothing goes from one for another's sake, and each gets its own row. An empty table gives an empty one;
+    other columns are not read; very long texts are read whole.
+
+    With the index of earlier documents, which takes these in, and the table of those documents, passages go for the sake
+    of both; doc_ids must be greater than theirs.
     """
+    index = index or FingerprintIndex()
+    past = index.greatest()
     sketch = keep(sketches(docs), "sketches")
-    entered = sketch.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("e")).select("doc_id", "e.mh", "e.ctx", "e.first", "e.last")
-    bounds = sketch.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []
-    cuts = [None, *sorted(set(bounds)), None]
-    index, found = FingerprintIndex(fanout), None
+    entered = sketch.where("doc_id is not null").select("doc_id", "t", F.explode("anchors").alias("e")).select("e.mh", "e.ctx", "doc_id", "t", "e.first", "e.last")
+    least, bounds = sketch.agg(F.min("doc_id"), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)]) if batches > 1 else F.array()).first()
+    if past is not None and least is not None and least <= past:
+        raise ValueError(f"the index holds document {past}, and these begin with {least}")
+    cuts = [None, *sorted(set(bounds or [])), None]
+    found = None
     for low, high in zip(cuts, cuts[1:]):
         batch = entered
         if low is not None:
@@ -252,23 +294,24 @@ def repeated_passages(docs: DataFrame, batches: int = BATCHES, fanout: int = FAN
         repeats = index.append(batch)
         found = repeats if found is None else found.union(repeats)
     index.compact()
+    text = ["doc_id", "t"]
     sure = keep(_ranges(found), "ranges")
-    doubtful = keep(index.doubtful().groupBy("doc_id").agg(F.collect_set(F.struct("mh", "first", "last")).alias("entries")), "doubtful")
-    lengths = sketch.where("doc_id is not null").select("doc_id", "n_words")
+    doubtful = keep(index.doubtful(least if past is not None else None).groupBy(*text).agg(F.collect_set(F.struct("mh", "first", "last")).alias("entries")), "doubtful")
+    lengths = sketch.where("doc_id is not null").select(*text, "n_words").distinct()
     # Documents that go as a whole need no text, unless a window to verify may first be in them.
-    whole = sure.join(lengths, "doc_id").where("n_removed >= n_words").select("doc_id").distinct().join(doubtful, "doc_id", "left_anti")
+    whole = sure.join(lengths, text).where("n_removed >= n_words").select(*text).join(doubtful, text, "left_anti")
     # Texts are moved once: of documents that lose some words, but not all, or have windows to verify.
-    wanted = sure.select("doc_id").union(doubtful.select("doc_id")).distinct().join(whole, "doc_id", "left_anti")
-    texts = arrow_map(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _pack, "doc_id long, z binary")
-    texts = keep(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    windows = keep(arrow_map(texts.join(doubtful, "doc_id").select("doc_id", "z", "entries"), _windows, "doc_id long, mh long, wh long, start int"), "windows")
-    least = windows.groupBy("mh", "wh").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("mh", "wh", "least")
-    more = windows.join(least, ["mh", "wh"]).where("doc_id > least").select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"))
-    some = texts.select("doc_id")
-    spans = found.join(some, "doc_id", "left_semi").union(more)
-    ranges = _ranges(spans).join(lengths.distinct(), "doc_id")
-    cut = arrow_map(texts.join(ranges, "doc_id").select("doc_id", "z", "spans", "n_removed", "n_words"), _finish, "doc_id long, n_words long, n_removed long, kept binary")
-    answer = cut.select("doc_id", "n_removed", "kept").union(whole.join(lengths.distinct(), "doc_id").select("doc_id", F.col("n_words").alias("n_removed"), F.lit(_EMPTY).alias("kept")))
-    return sketch.select("doc_id", "n_words", "sha").join(answer, "doc_id", "left").select(
+    wanted = sure.select(*text).union(doubtful.select(*text)).distinct().join(whole, text, "left_anti")
+    rows = docs.select("doc_id", "text") if earlier is None else docs.select("doc_id", "text").union(earlier.select("doc_id", "text"))
+    texts = arrow_map(rows.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _pack, "doc_id long, t long, z binary")
+    texts = keep(texts.join(wanted, text, "left_semi").dropDuplicates(text), "texts")
+    windows = keep(arrow_map(texts.join(doubtful, text).select(*text, "z", "entries"), _windows, "doc_id long, t long, mh long, wh long, start int"), "windows")
+    first = keep(windows.groupBy("mh", "wh").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("mh", "wh", "least"), "least")
+    more = windows.join(first.hint("merge"), ["mh", "wh"]).where("doc_id > least").select(*text, F.col("start").alias("first"), F.col("start").alias("last"))
+    spans = found.join(texts.select(*text), text, "left_semi").union(more)
+    ranges = _ranges(spans).join(lengths, text)
+    cut = arrow_map(texts.join(ranges, text).select(*text, "z", "spans", "n_removed", "n_words"), _finish, "doc_id long, t long, n_words long, n_removed long, kept binary")
+    answer = cut.select(*text, "n_removed", "kept").union(whole.join(lengths, text).select(*text, F.col("n_words").alias("n_removed"), F.lit(_EMPTY).alias("kept")))
+    return sketch.select(*text, "n_words", "sha").join(answer, text, "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.lower(F.hex(F.coalesce("kept", "sha"))).alias("kept_sha256")
     )
