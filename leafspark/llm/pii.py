@@ -1,9 +1,14 @@
 """Personal data: fixed detectors, and bootstrapped contextual extraction.
 
-Detected entities are seeds. The two words before an entity are a lexical pattern; patterns and instances form a graph,
-which Spark scores in rounds: a pattern by the scores of its instances, an instance without a seed by its best pattern.
-Patterns of high confidence that many different seeds support then discover identifiers that no detector knows: words
-with digits that follow such a pattern. Those get the kind "identifier"; base spans always stay.
+Seeds are what the detectors find, and words of the shape of keys: long, of letters and digits mixed. Each mention, a
+seed or a candidate (a word with digits that is no seed), induces lexical patterns of several kinds: the two tokens
+before it, the token before with the mention's shape, the tokens on both sides, the token after with the shape. Tokens are
+words and marks, so "token =" is two of them.
+
+Patterns and instances form a graph, which Spark scores in rounds: a pattern by the scores of its distinct instances,
+those that are no seed among them, an instance without a seed by its best pattern. Patterns of high confidence that many
+different seeds support then discover identifiers, whatever their shape: those get the kind "identifier". Base spans
+always stay; what a detector's pattern matches but its test refuses is never an identifier.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from leafspark.llm.common import arrow_map, keep
 
 KINDS = ("email", "ip", "card", "phone", "identifier")
 ROUNDS, MIN_CONFIDENCE, MIN_SEEDS = 3, 0.8, 5
+#: Characters that a key-shaped word has at least; of a candidate.
+KEY, LEAST = 20, 4
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 #: A match can only start where a run of digits does: what fails there fails further on in the run.
@@ -25,9 +32,11 @@ IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-WORD = re.compile(r"\S+")
-EDGES = "\"'`()[]{}<>,;:!?.#$%&*|="
-CONTEXT = 96
+#: A candidate: letters, digits and inner marks, with a digit somewhere.
+WORD = re.compile(r"(?<![^\W_])(?=[^\W\d_]*+(?:[-._+/@][^\W\d_]++)*+[-._+/@]?\d)[^\W_]++(?:[-._+/@][^\W_]++)*+")
+TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+QUOTES = frozenset("\"'`(){}[]<>")
+CONTEXT = 64
 
 
 def _emails(text: str):
@@ -79,58 +88,78 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def pattern(text: str, start: int) -> str:
-    """The two words before start, in lower case with digits as 0."""
-    before = DIGIT.sub("0", text[max(0, start - CONTEXT) : start].lower())
-    return " ".join(before.split()[-2:])
+def _refused(text: str) -> list[tuple[int, int]]:
+    """What the detectors' patterns match, tests or not: numbers that may be decoys."""
+    return sorted(m.span() for p in (IP, CARD, PHONE) for m in p.finditer(text) if p is not CARD or sum(map(str.isdigit, m[0])) >= 12)
 
 
-def _instance(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.lower().encode("utf-8", "surrogatepass"), 11) - (1 << 63)
+def shape(word: str) -> str:
+    """What a word is made of, and about how long it is."""
+    kinds = "".join(k for k, has in (("x", str.isalpha), ("0", str.isdigit)) if any(map(has, word)))
+    marks = "".join(c for c in word if not c.isalnum())[:6]
+    return f"{'h' if not set(word.lower()) - set('0123456789abcdef') else ''}{kinds}{marks}{min(6, len(word).bit_length())}"
+
+
+def key_shaped(word: str) -> bool:
+    """Long, without marks, with letters and digits that change places often, as in random strings."""
+    if len(word) < KEY or not word.isalnum() or not word.isascii():
+        return False
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:]))
+    return 5 * turns >= len(word)
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The patterns that a mention induces, in lower case with digits as 0. Quotes and brackets do not count as tokens."""
+    fold = lambda s: DIGIT.sub("0", s.lower())
+    before = [t for t in TOKEN.findall(fold(text[max(0, start - CONTEXT) : start])) if t not in QUOTES][-2:]
+    after = [t for t in TOKEN.findall(fold(text[end : end + CONTEXT])) if t not in QUOTES][:1]
+    form, out = shape(text[start:end]), []
+    if len(before) == 2:
+        out.append(f"{before[0]} {before[1]} *")
+    if before:
+        out.append(f"{before[-1]} <{form}>")
+    if before and after:
+        out.append(f"{before[-1]} * {after[0]}")
+    if after:
+        out.append(f"<{form}> {after[0]}")
+    return out
 
 
-def _overlaps(spans: list[tuple[str, int, int]], k: int, start: int, end: int) -> bool:
-    while k < len(spans) and spans[k][1] < end:
-        if spans[k][2] > start:
-            return True
-        k += 1
-    return False
+def _instance(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.lower().encode("utf-8", "surrogatepass"), 11) - (1 << 63)
 
 
 def mentions(text: str | None, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds, and words with four digits or more that no seed overlaps, with their patterns."""
-    if not text or not DIGIT.search(text):
-        taken = base
-        words: list[tuple[int, int]] = []
-    else:
-        taken, words, k = sorted(base, key=lambda s: s[1]), [], 0
-        for m in WORD.finditer(text):
-            word = m[0]
-            if len(word) < 5 or not DIGIT.search(word):
-                continue
-            start = m.start() + len(word) - len(word.lstrip(EDGES))
-            end = start + len(word.strip(EDGES))
-            if sum(map(str.isdecimal, text[start:end])) < 4:
-                continue
-            while k < len(taken) and taken[k][2] <= start:
-                k += 1
-            if not _overlaps(taken, k, start, end):
-                words.append((start, end))
-    out = [{"seed": True, "first": s, "end": e, "pattern": pattern(text, s), "instance": _instance(text[s:e])} for _, s, e in taken]
-    out += [{"seed": False, "first": s, "end": e, "pattern": pattern(text, s), "instance": _instance(text[s:e])} for s, e in words]
-    return [x for x in out if x["pattern"] or x["seed"]]
+    """Seeds, and candidates that overlap neither a base span nor a decoy, with their patterns."""
+    if not text or (not base and not DIGIT.search(text)):
+        return []
+    out = [{"seed": True, "base": True, "first": s, "end": e, "patterns": patterns(text, s, e), "instance": _instance(text[s:e])} for _, s, e in base]
+    taken, k, reach = sorted({(s, e) for _, s, e in base} | set(_refused(text))), 0, -1
+    for m in WORD.finditer(text):
+        word, (start, end) = m[0], m.span()
+        if len(word) < LEAST:
+            continue
+        while k < len(taken) and taken[k][0] < end:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= start:
+            out.append({"seed": key_shaped(word), "base": False, "first": start, "end": end, "patterns": patterns(text, start, end), "instance": _instance(word)})
+    return out
 
 
 def score(edges: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """pattern, confidence, seeds of the patterns to trust, from edges(pattern, instance, seed), one for each pair."""
-    strength = edges.select("instance", "seed").groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("strength"))
+    """pattern, confidence, seeds of the patterns to trust, from edges(pattern, instance, seed), one for each pair.
+
+    A pattern's confidence is the sum of its instances' strengths over one more than their number. A seed has strength 1,
+    another instance the confidence of the best pattern that min_seeds seeds support, 0 at first."""
+    strength = keep(edges.select("instance", "seed").groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("strength")), "instances")
     confidence = None
     for k in range(rounds):
-        weighed = edges.join(strength, "instance")
+        weighed = edges.join(strength.hint("merge"), "instance")
         confidence = keep(weighed.groupBy("pattern").agg((F.sum("strength") / (F.count("*") + 1)).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds")), f"patterns{k}")
         if k + 1 < rounds:
             believed = F.when(F.col("seeds") >= min_seeds, F.col("confidence")).otherwise(0.0)
-            learnt = edges.join(confidence, "pattern").groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("given"), F.max(believed).alias("best"))
+            learnt = edges.join(confidence.hint("merge"), "pattern").groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("given"), F.max(believed).alias("best"))
             strength = keep(learnt.select("instance", F.greatest("given", "best").alias("strength")), f"instances{k}")
     return confidence.where((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds))
 
@@ -156,22 +185,33 @@ def _of(kind: str):
     return lambda span: span["kind"] == F.lit(kind)
 
 
+def discover(scanned: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """row, new (spans of the kind identifier) of scanned(row, mentions) that trusted patterns find. Tables here grow with
+    the mentions, so all joins shuffle both sides, at any size."""
+    found = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+    found = keep(found.select("row", "seed", "base", "first", "end", "instance", F.explode("patterns").alias("pattern")), "mentions")
+    edges = keep(found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+    trusted = score(edges, rounds, min_confidence, min_seeds).select("pattern")
+    return found.where("not base").join(trusted.hint("merge"), "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct(F.lit("identifier").alias("kind"), "first", "end")).alias("new"))
+
+
 def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_identifier for every row of docs(doc_id, text, ...).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_identifier, n_spans for every row of
+    docs(doc_id, text, ...).
 
-    The counts and the digest are of base spans; spans has discovered identifiers too. A null text is an empty one and
-    has no spans. Repeated rows each get a row, with equal values, and count once as evidence; rows without a doc_id
-    keep that null. An empty table gives an empty one; other columns are not read.
+    The counts and the digest are of base spans; spans and n_spans have discovered identifiers too. A null text is an
+    empty one and has no spans; very long ones are read whole. Repeated rows each get a row, with equal values, and count
+    once as evidence; rows without a doc_id keep that null. An empty table gives an empty one; other columns are not
+    read.
     """
-    scanned = keep(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scan, f"doc_id long, row binary, base {_SPAN}, mentions array<struct<seed: boolean, first: int, end: int, pattern: string, instance: long>>"), "scanned")
-    all_mentions = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*").where("pattern <> ''")
-    edges = keep(all_mentions.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    trusted = score(edges, rounds, min_confidence, min_seeds)
-    new = all_mentions.where("not seed").join(trusted, "pattern").groupBy("row").agg(F.collect_set(F.struct(F.lit("identifier").alias("kind"), "first", "end")).alias("new"))
+    kind = "array<struct<seed: boolean, base: boolean, first: int, end: int, patterns: array<string>, instance: long>>"
+    scanned = keep(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scan, f"doc_id long, row binary, base {_SPAN}, mentions {kind}"), "scanned")
+    new = keep(discover(scanned.where(F.size("mentions") > 0), rounds, min_confidence, min_seeds), "discovered")
     rank = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     both = F.concat("base", F.coalesce("new", F.array().cast(_SPAN)))
     order = F.transform(F.array_sort(F.transform(both, lambda s: F.struct(s["first"].alias("first"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["first"].alias("first"), s["end"].alias("end")))
     counts = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return scanned.drop("mentions").join(new, "row", "left").select(
-        "doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(order).alias("spans"), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_identifier")
+    return scanned.drop("mentions").join(new.hint("merge"), "row", "left").select(
+        "doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(order).alias("spans"),
+        F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_identifier"), F.size(both).cast("long").alias("n_spans"),
     )
