@@ -5,8 +5,9 @@ and each distinct chunk is stored once; a recipe, the ordered list of digests, r
 chunk by chunk and as a whole.
 
 Copies of a payload are found by digest before anything is moved. A join on chunk digests then gives every chunk an
-owner, the least payload that holds it. The store has a row for each distinct payload: its recipe and the bytes of the
-chunks that it owns. Payloads are moved once, compressed, to be stored; on reading, only chunks owned elsewhere move.
+owner, the least payload that holds it. The store has a record for each distinct payload: MAGIC, a header, the recipe
+(of each chunk its digest, length, and whether the payload owns it and others need it), and the owned chunks, bz2.
+Payloads are moved once, compressed, to be stored; on reading, only chunks owned elsewhere move.
 """
 
 from __future__ import annotations
@@ -88,35 +89,56 @@ def _padded(raw: bytes) -> bytes:
     return raw + PAD * (-len(raw) % FRAME or FRAME * (not raw))
 
 
+MAGIC, _HEAD, _CHUNK = b"LCDC", struct.Struct("<QIB"), struct.Struct("<16sIB")
+OWNED, LENT = 1, 2
+
+
+def record(n_bytes: int, parts: list[bytes], owned: set[int], lent: set[int], packed: bytes | None) -> bytes:
+    """The stored form of a payload of these chunks. With packed (its bytes without padding, bz2) all chunks are its own."""
+    out = [MAGIC, _HEAD.pack(n_bytes, len(parts), packed is not None)]
+    out += [_CHUNK.pack(digest(p), len(p), OWNED * (k in owned) | LENT * (k in lent)) for k, p in enumerate(parts)]
+    return b"".join([*out, bz2.compress(b"".join(parts[k] for k in sorted(owned))) if packed is None else packed])
+
+
+class Record:
+    """A stored record: n_bytes, chunks (digest, length, flags) in order, and the bytes of those that it owns."""
+
+    def __init__(self, stored: bytes):
+        if stored[:4] != MAGIC:
+            raise ValueError("not a stored payload")
+        self.n_bytes, n, whole = _HEAD.unpack_from(stored, 4)
+        body = 4 + _HEAD.size + n * _CHUNK.size
+        self.chunks = list(_CHUNK.iter_unpack(stored[4 + _HEAD.size : body]))
+        raw = bz2.decompress(stored[body:])
+        self.owned, at, raw = {}, 0, _padded(raw) if whole else raw
+        for name, length, flags in self.chunks:
+            if flags & OWNED:
+                self.owned[name] = raw[at : at + length]
+                at += length
+
+
 def _store(names, packed, owned, shared):
-    sizes, recipes, lengths, bodies, alone = [], [], [], [], []
-    for z, own in zip(packed, owned):
-        raw = bz2.decompress(z)
+    stored, lends, borrows = [], [], []
+    for z, own, lent in zip(packed, owned, shared):
+        raw, own = bz2.decompress(z), set(own or [])
         parts = chunks(_padded(raw))
-        sizes.append(len(raw))
-        recipes.append([digest(p) for p in parts])
-        lengths.append([len(p) for p in parts])
-        alone.append(len(own or []) == len(parts))
         # A payload that owns all its chunks is stored as it came, without the padding.
-        bodies.append(z if alone[-1] else bz2.compress(b"".join(parts[k] for k in sorted(own or []))))
-    return [names, sizes, recipes, lengths, [sorted(o or []) for o in owned], [sorted(s or []) for s in shared], alone, bodies]
-
-
-def _owned_bytes(body: bytes, alone: bool) -> bytes:
-    raw = bz2.decompress(body)
-    return _padded(raw) if alone else raw
+        stored.append(record(len(raw), parts, own, set(lent or []), z if len(own) == len(parts) else None))
+        have = {digest(parts[k]) for k in own}
+        lends.append(bool(lent))
+        borrows.append(sorted({digest(p) for k, p in enumerate(parts) if k not in own} - have))
+    return [names, stored, lends, borrows]
 
 
-def _lend(recipes, lengths, owned, shared, alone, bodies):
-    """digest, bytes of the chunks that payloads own and others hold too."""
+def _lend(stored):
+    """digest, bytes of the chunks that payloads own and others need too."""
     names, blobs = [], []
-    for recipe, sizes, own, lent, whole, packed in zip(recipes, lengths, owned, shared, alone, bodies):
-        at, lent, body = 0, set(lent), _owned_bytes(packed, whole)
-        for k in own:
-            if k in lent:
-                names.append(recipe[k])
-                blobs.append(zlib.compress(body[at : at + sizes[k]], 6))
-            at += sizes[k]
+    for s in stored:
+        found = Record(s)
+        for name, _, flags in found.chunks:
+            if flags & LENT:
+                names.append(name)
+                blobs.append(zlib.compress(found.owned[name], 6))
     return [names, blobs]
 
 
@@ -132,24 +154,16 @@ def features(payload: bytes) -> str:
     return f"samples={n};mean={mean:.6f};std={spread:.6f};turns={turns};entropy={float(-(p * np.log2(p)).sum()):.6f}"
 
 
-def recipe_bytes(recipe: list[bytes], lengths: list[int]) -> bytes:
-    return b"LCDC" + struct.pack("<I", len(recipe)) + b"".join(d + struct.pack("<I", n) for d, n in zip(recipe, lengths))
-
-
-def _read(names, sizes, recipes, lengths, owned, alone, bodies, borrowed):
+def _read(names, stored, borrowed):
     out = [[] for _ in range(9)]
-    for name, n, recipe, sized, own, whole, packed, lent in zip(names, sizes, recipes, lengths, owned, alone, bodies, borrowed):
-        have = {x["name"]: zlib.decompress(x["blob"]) for x in lent or []}
-        at, body = 0, _owned_bytes(packed, whole)
-        for k in own:
-            have[recipe[k]] = body[at : at + sized[k]]
-            at += sized[k]
-        parts = [have[d] for d in recipe]
+    for name, s, lent in zip(names, stored, borrowed):
+        found = Record(s)
+        have = {x["name"]: zlib.decompress(x["blob"]) for x in lent or []} | found.owned
+        parts = [have.get(d, b"") for d, _, _ in found.chunks]
         payload = b"".join(parts)
-        if digest(payload) != name or any(digest(p) != d for p, d in zip(parts, recipe)):
+        if digest(payload) != name or any(digest(p) != d or len(p) != n for p, (d, n, _) in zip(parts, found.chunks)):
             raise ValueError(f"the stored chunks of payload {name.hex()} do not match their digests")
-        media = recipe_bytes(recipe, sized) + payload
-        row = (name, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), len(parts))
+        row = (name, found.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(s), hashlib.sha256(s).hexdigest(), features(payload), len(parts))
         for column, value in zip(out, row):
             column.append(value)
     return out
@@ -170,22 +184,19 @@ def build_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     store = arrow_map(
         bodies.join(mine.hint("merge"), "name", "left").select("name", "z", "owned", "shared"),
         _store,
-        "name binary, n_bytes long, recipe array<binary>, lengths array<int>, owned array<int>, shared array<int>, alone boolean, body binary",
+        "name binary, stored binary, lends boolean, borrows array<binary>",
     )
     return listed.select("doc_id", "name"), keep(store, "chunks")
 
 
 def read_store(store: DataFrame) -> DataFrame:
     """Every payload of the store, reconstructed from its chunks, verified, and described."""
-    foreign = F.size("owned") < F.size("recipe")
-    lent = arrow_map(store.where(F.size("shared") > 0).select("recipe", "lengths", "owned", "shared", "alone", "body"), _lend, "chunk binary, blob binary")
-    needs = store.where(foreign).select("name", F.posexplode("recipe").alias("k", "chunk"), "owned").where(~F.array_contains("owned", F.col("k"))).select("name", "chunk").distinct()
+    lent = arrow_map(store.where("lends").select("stored"), _lend, "chunk binary, blob binary")
+    needs = store.where(F.size("borrows") > 0).select("name", F.explode("borrows").alias("chunk"))
     got = needs.join(lent, "chunk").groupBy("name").agg(F.collect_list(F.struct(F.col("chunk").alias("name"), "blob")).alias("borrowed"))
     kind = "array<struct<name: binary, blob: binary>>"
-    cols = ["name", "n_bytes", "recipe", "lengths", "owned", "alone", "body"]
-    whole = store.where(~foreign).select(*cols, F.lit(None).cast(kind).alias("borrowed"))
-    # A payload may owe its repeats of a chunk to itself, so not all of these borrow.
-    parts = store.where(foreign).select(*cols).join(got, "name", "left").select(*cols, F.col("borrowed").cast(kind).alias("borrowed"))
+    whole = store.where(F.size("borrows") == 0).select("name", "stored", F.lit(None).cast(kind).alias("borrowed"))
+    parts = store.where(F.size("borrows") > 0).select("name", "stored").join(got, "name").select("name", "stored", F.col("borrowed").cast(kind).alias("borrowed"))
     return arrow_map(
         whole.union(parts),
         _read,
@@ -197,7 +208,8 @@ def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks for every
     row of docs(doc_id, text, ...), from the stored bytes as read back.
 
-    The stored form is the recipe (digests and lengths) followed by its chunks. A null text is an empty one, whose
+    media_bytes and media_sha256 are of the payload's record as it is stored: its recipe, and the chunks that it owns. A
+    null text is an empty one, whose
     payload is one frame of padding. Equal texts, repeated rows and rows without a doc_id have equal values; an empty
     table gives an empty one; other columns are not read.
     """
