@@ -99,7 +99,7 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
 def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], least: float = 0.0, steps: int = STEPS) -> Column:
     """The rate of a document, as a column over soft(n_tokens, p).
 
-    The targets are shares of the tokens. Without a floor their total is that of the corpus; with one it is the least
+    The targets are shares of the tokens; one for a domain that is not among names is an error. Without a floor their total is that of the corpus; with one it is the least
     that lets every domain keep what it has. Gradients are scaled by the Gram matrix of the domains over the rows that
     stand above the floor, which each step's aggregate brings along; a step that does not help is shortened."""
     k = len(names)
@@ -121,6 +121,9 @@ def fit_rates(soft: DataFrame, names: list[str], targets: dict[str, float], leas
     total = float(soft.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
         return rate
+    unknown = sorted(d for d, s in targets.items() if s > 0 and d not in names)
+    if unknown:
+        raise ValueError(f"targets for domains that no labelled row has: {unknown}")
     share = [max(0.0, targets.get(n, 0.0)) for n in names]
     if not sum(share):
         raise ValueError(f"no target for any of the domains {names}")
@@ -149,7 +152,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least:
 
     copies is the rate's whole part, plus one with the odds of the rest, by a hash of the row. Null and empty texts have
     no tokens, the classifier's priors as posterior, and a rate by it. Repeated rows have equal values. An empty table
-    gives an empty one; domains without a target have the target zero; other columns are not read.
+    gives an empty one; domains without a target have the target zero, and a target without labelled rows is an error;
+    other columns are not read.
     """
     model = fit_domains(labelled)
     soft = keep(posteriors(docs, model), "posteriors")
