@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables, with the awkward rows in them."""
 
+import bz2
 import hashlib
 import math
 import random
@@ -237,6 +238,73 @@ def test_personal_data_discovers_by_context(spark):
         assert set(base.split(",")) - {""} <= set(by[i]["spans"].split(","))
 
 
+def secrets(n, seed):
+    """Documents with keys after "token =" and member numbers after "member no", some of key shape, most not; others with
+    numbers that are none of it. (id, text, the identifiers in it)"""
+    r, out = random.Random(seed), []
+    prose = lambda k: " ".join(f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(k))
+    hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    for i in range(n):
+        kind = i % 6
+        if kind == 0:
+            key = "a1" + hexes(38)
+            out.append((i, f'{prose(9)} token = "{key}" {prose(5)}', [key]))
+        elif kind == 1:
+            key = r.choice(["k9-", "x7"]) + hexes(r.randrange(4, 9)) + "z1"
+            out.append((i, f'{prose(4)} token = "{key}" {prose(8)}', [key]))
+        elif kind == 2:
+            out.append((i, f"{prose(6)} write to u{i}@mail.org or {prose(2)} {prose(6)}", []))
+        elif kind == 3:
+            key = f"{r.randrange(100, 999)}-{r.choice('ABC')}{r.randrange(10, 99)}" if r.random() < 0.3 else "m7" + hexes(28) + "9f"
+            out.append((i, f"{prose(7)} member no. {key}, {prose(4)}", [key]))
+        elif kind == 4:
+            out.append((i, f"{prose(7)} in {r.randrange(1900, 2030)} and {r.randrange(1000, 99999)} {prose(3)} 4539 1488 0343 646{r.randrange(8, 10)} {prose(2)}", []))
+        else:
+            out.append((i, f"{prose(20)} v{r.randrange(9)}.{r.randrange(100)} {prose(3)}", []))
+    return out
+
+
+def test_unseen_identifiers_are_found(spark):
+    rows = secrets(900, 4)
+    got = {x["doc_id"]: x for x in pii.personal_data(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(3)).collect()}
+    hit = lost = wrong = unseen = 0
+    for i, text, want in rows:
+        spans = [s.split(":")[1:] for s in got[i]["spans"].split(",") if s.startswith("identifier")]
+        found = {text[int(a) : int(b)] for a, b in spans}
+        assert got[i]["n_spans"] == got[i]["n_identifier"] + got[i]["n_email"] + got[i]["n_ip"] + got[i]["n_card"] + got[i]["n_phone"]
+        hit += len(found & set(want))
+        unseen += sum(w in found and not pii.key_shaped(w) for w in want)
+        lost += len(set(want) - found)
+        wrong += len(found - set(want))
+    assert hit >= 0.9 * (hit + lost) and unseen > 150 and wrong == 0
+
+
+def brute_trusted(edges, rounds, min_confidence, min_seeds):
+    seed_of, of = {}, {}
+    for p, i, s in edges:
+        seed_of[i] = max(s, seed_of.get(i, False))
+        of.setdefault(p, []).append((i, s))
+    strength = {i: float(s) for i, s in seed_of.items()}
+    for k in range(rounds):
+        confidence = {p: sum(strength[i] for i, _ in x) / (len(x) + 1) for p, x in of.items()}
+        seeds = {p: sum(s for _, s in x) for p, x in of.items()}
+        if k + 1 < rounds:
+            strength = {i: max([float(seed_of[i]), *(confidence[p] for p, x in of.items() if seeds[p] >= min_seeds and i in [y for y, _ in x])]) for i in seed_of}
+    return {p: (confidence[p], seeds[p]) for p in of if confidence[p] >= min_confidence and seeds[p] >= min_seeds}
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_pattern_scores_are_brute_force(spark, rounds):
+    r = random.Random(rounds)
+    seeds = {i: r.random() < 0.5 for i in range(80)}
+    edges = sorted({(f"p{r.randrange(25)}", int(i) % 80) for i in [r.randrange(80) for _ in range(400)]} | {("all", i) for i in seeds if seeds[i]} | {("most", i) for i in list(seeds)[:50] if seeds[i] or i < 4})
+    edges = [(p, i, seeds[i]) for p, i in edges]
+    frame = spark.createDataFrame(edges, "pattern string, instance long, seed boolean").repartition(3)
+    got = {x["pattern"]: (x["confidence"], x["seeds"]) for x in pii.score(frame, rounds, 0.5, 3).collect()}
+    want = brute_trusted(edges, rounds, 0.5, 3)
+    assert got.keys() == want.keys() and len(got) > 2 and all(abs(got[p][0] - want[p][0]) < 1e-9 and got[p][1] == want[p][1] for p in got)
+
+
 def test_gear_hash_is_rolling():
     data = bytes(random.Random(1).randbytes(3000))
     h, want = 0, []
@@ -258,13 +326,56 @@ def test_media_round_trip(spark, docs):
         r = got[-1 if i is None else i]
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
-        stored = media.recipe_bytes([media.digest(c) for c in media.chunks(payload)], [len(c) for c in media.chunks(payload)]) + payload
-        assert r["media_sha256"] == hashlib.sha256(stored).hexdigest() and r["media_bytes"] == len(stored)
+        assert r["feature"].startswith(f"samples={len(payload)};")
     assert got[0][1:] == got[14][1:] == got[-1][1:] and got[3][1:] == got[4][1:]
     assert media.media(docs).count() == len(awkward())
-    _, store = media.build_store(docs)
-    held = store.select(F.explode("recipe")).distinct().count()
-    assert store.select(F.explode("owned")).count() == held  # each distinct chunk once
+
+
+def plain_chunks(payload):
+    """Cut byte by byte: after LEAST bytes where the top bits of the hash are zero, after MOST bytes anyway."""
+    out, h, start = [], 0, 0
+    for i, b in enumerate(payload):
+        h = (2 * h + int(media.GEAR[b])) & 0xFFFFFFFF
+        n = i + 1 - start
+        if (n >= media.LEAST and h >> (32 - media.CUT_BITS) == 0) or n == media.MOST or i + 1 == len(payload):
+            out.append(payload[start : i + 1])
+            start = i + 1
+    return out
+
+
+def test_stored_payloads_are_brute_force(spark):
+    """Records written out by hand: every distinct chunk is in that of its owner alone."""
+    r = random.Random(5)
+    block = ["".join(chr(r.randrange(33, 300)) for _ in range(9000)) for _ in range(4)]
+    texts = [block[0], block[0] + block[1], block[1] + "x" + block[0], block[2] * 3, "", None, "short", block[3], block[3], block[2] + block[3], "y" * 30000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    name = lambda b: hashlib.blake2b(b, digest_size=16).digest()
+    payloads = {}
+    for t in texts:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or 576 * (not raw))
+        payloads[name(payload)] = (raw, plain_chunks(payload))
+    owner, holders = {}, {}
+    for p, (_, parts) in sorted(payloads.items()):
+        for k, c in enumerate(parts):
+            owner.setdefault(c, (p, k))
+            holders[c] = holders.get(c, 0) + 1
+    want = {}
+    for p, (raw, parts) in payloads.items():
+        own = [k for k, c in enumerate(parts) if owner[c] == (p, k)]
+        whole = len(own) == len(parts)
+        head = b"LCDC" + len(raw).to_bytes(8, "little") + len(parts).to_bytes(4, "little") + bytes([whole])
+        rows = b"".join(name(c) + len(c).to_bytes(4, "little") + bytes([(k in own) + 2 * (k in own and holders[c] > 1)]) for k, c in enumerate(parts))
+        want[p] = head + rows + bz2.compress(raw if whole else b"".join(parts[k] for k in own))
+    listed, store = media.build_store(frame)
+    assert {bytes(x["name"]): bytes(x["stored"]) for x in store.collect()} == want
+    names = {x["doc_id"]: bytes(x["name"]) for x in listed.collect()}
+    for x in media.media(frame).collect():
+        stored = want[names[x["doc_id"]]]
+        assert (x["media_bytes"], x["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+    bad = store.withColumn("stored", F.when(F.col("name") == bytearray(names[6]), F.lit(bytearray(want[names[7]]))).otherwise(F.col("stored")))
+    with pytest.raises(Exception, match="do not match"):
+        media.read_store(bad).collect()
 
 
 def brute_passages(rows):
@@ -332,6 +443,41 @@ def test_windows_first_seen_in_wholly_removed_documents(spark):
     assert {x[0]: tuple(x[1:]) for x in got.collect()} == want
 
 
+def test_rows_that_share_an_id(spark):
+    """Rows in are rows out, each with its own words; a text of the same document takes nothing away."""
+    p = " ".join(words(60, 5, 10**6))
+    rows = [(1, p), (2, "x " + p + " y"), (2, "other"), (2, p + " tail"), (2, p + " tail"), (3, p), (None, p), (4, None), (4, "")]
+    got = [tuple(x)[:3] for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    want = [(1, 60, 0), (2, 62, 60), (2, 1, 0), (2, 61, 60), (2, 61, 60), (3, 60, 60), (None, 60, 0), (4, 0, 0), (4, 0, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    alone = spark.createDataFrame([(7, p + " " + p), (7, p)], "doc_id long, text string")
+    assert {x["n_removed"] for x in substring_dedup.repeated_passages(alone).collect()} == {0}
+
+
+def test_an_index_serves_day_after_day(spark, tmp_path):
+    """Three days' documents against an index in a folder, opened anew each day; a run half written does not count."""
+    r = random.Random(12)
+    base = [words(150, 900 + k, 10**6) for k in range(6)]
+    rows = []
+    for i in range(90):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(3)):
+            t[r.randrange(len(t))] = f"e{r.randrange(10**6)}"
+        at = r.randrange(60)
+        rows.append((i, " ".join(words(r.randrange(30), 2000 + i, 10**6) + t[at : at + r.randrange(40, 120)] + words(r.randrange(30), 5000 + i, 10**6))))
+    want, folder = brute_passages(rows), str(tmp_path / "index")
+    for day in range(3):
+        today, before = [x for x in rows if x[0] // 30 == day], [x for x in rows if x[0] // 30 < day]
+        index = substring_dedup.FingerprintIndex(folder=folder, spark=spark)
+        earlier = spark.createDataFrame(before, "doc_id long, text string") if before else None
+        got = substring_dedup.repeated_passages(spark.createDataFrame(today, "doc_id long, text string").repartition(2), 2, index, earlier)
+        assert {x[0]: tuple(x[1:]) for x in got.collect()} == {i: want[i] for i, _ in today}
+        (tmp_path / "index" / "run-90-90").mkdir(exist_ok=True)
+    assert sum(want[i][1] > 0 for i in want) > 40 and len(substring_dedup.FingerprintIndex(folder=folder, spark=spark).runs) == 1
+    with pytest.raises(ValueError):
+        substring_dedup.repeated_passages(spark.createDataFrame(rows[:2], "doc_id long, text string"), 1, substring_dedup.FingerprintIndex(folder=folder, spark=spark))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy the best of the things now</div>
 <article><h1>Head &amp; line</h1><p><b>First  para&shy;graph<br>goes on.<p>On.</p><p>x | y | z</p><aside>See the related story</aside>
@@ -564,6 +710,43 @@ def test_mixing(spark, docs, empty):
     assert {r["rate"] for r in mixing.mix(frame, labelled.limit(0), {"all": 1}).collect()} == {1.0}
 
 
+@pytest.mark.parametrize("least, targets", [(0.0, {"a": 0.6, "b": 0.1, "c": 0.3}), (0.0, {"a": 0.05, "b": 0.9, "c": 0.05}), (0.7, {"a": 0.2, "b": 0.5, "c": 0.3})])
+def test_rates_are_brute_force(spark, least, targets):
+    """The same steps in numpy, row by row; and the totals that they are for."""
+    r = np.random.default_rng(5)
+    p, t = r.dirichlet([0.3, 0.2, 0.4], 300), r.integers(0, 90, 300)
+    soft = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "n_tokens long, p array<double>").repartition(3)
+    got = np.array([[x["r"], x["n_tokens"], *x["p"]] for x in soft.withColumn("r", mixing.fit_rates(soft, ["a", "b", "c"], targets, least)).collect()])
+    rates = dict(zip(map(tuple, got[:, 2:]), got[:, 0]))
+    rate, total, share = np.ones(300), t.sum(), np.array([targets[k] for k in "abc"])
+    have, free = (t[:, None] * p).sum(0) / total, np.ones(300, bool)
+    wanted = share * max(1.0, max(least * have / share) if least else 1.0)
+    error, length = have - wanted, 1.0
+    gram = (p * t[:, None]).T @ p / total
+    for _ in range(mixing.STEPS):
+        size = np.linalg.norm(error)
+        if size < mixing.TOLERANCE or length < 1e-3:
+            break
+        tried = np.maximum(least, rate - length * (p @ np.linalg.solve(gram + 1e-6 * np.eye(3), error)))
+        new = ((tried * t)[:, None] * p).sum(0) / total - wanted
+        if np.linalg.norm(new) < size:
+            rate, error, length, free = tried, new, 1.0, tried > least
+            gram = (p * (t * free)[:, None]).T @ p / total
+        else:
+            length /= 4
+    assert np.allclose([rates[tuple(q)] for q in p], rate, rtol=1e-6, atol=1e-6) and rate.min() >= least
+    # A floor may leave no rates that meet the targets of soft memberships in full.
+    assert np.allclose(((rate * t)[:, None] * p).sum(0) / total, wanted, atol=0.02 if least else 2e-3)
+
+
+def test_targets_without_labelled_rows_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    labelled = docs.select("text", F.lit("x").alias("domain"))
+    with pytest.raises(ValueError, match="'y'"):
+        mixing.mix(docs, labelled, {"x": 0.5, "y": 0.5})
+    assert mixing.mix(docs, labelled, {"x": 0.5, "y": 0.0}).count() == 2
+
+
 def test_posteriors_are_naive_bayes(spark):
     rows = [(i, " ".join(words(20, i, 30)), "abc"[i % 3]) for i in range(30)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, domain string")
@@ -720,7 +903,7 @@ def test_scores_of_copies_and_long_texts(spark):
 def test_embeddings_grow_with_the_distinct_words():
     ranked = [(b"%d" % i, 5) for i in range(100)]
     sizes = [lm.Vocabulary(ranked, 10**9, kinds).hashed for kinds in (100, 10**5, 10**6, 10**8)]
-    assert sizes == [1024, 8192, 65536, lm.HASHED]
+    assert sizes == [1024, 32768, lm.HASHED, lm.HASHED]
     net = lm.Network(np.ones((4, 6)), 3000)
     assert len({tuple(net.embed[k]) for k in (1022, 1023, 1500, 2998)}) == 4
     assert net.contexts(np.array([1500, 2998]))[0].tolist() == [2999, 2999, 2998, 2999]
@@ -797,7 +980,7 @@ def test_quality_of_awkward_rows(spark, docs, empty):
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
-    model = quality.train([], [])
+    model = quality.train([], [], 1 << quality.HASH_BITS)
     for got in (
         simhash.near_duplicates(empty),
         simhash.one_of_each(empty),
