@@ -131,7 +131,7 @@ class Targets:
                 return _point(start + code - first)
         return target
 
-    def items(self) -> dict[int, str]:
+    def all(self) -> dict[int, str]:
         """All codes with their targets."""
         codes = dict.fromkeys(c for first, last, _, _ in self._ranges for c in range(first, last + 1))
         return {c: self.get(c) for c in (codes | dict.fromkeys(self._codes))}

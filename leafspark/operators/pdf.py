@@ -203,7 +203,7 @@ def fonts(docs: DataFrame) -> DataFrame:
             for key in listed.listed:
                 f = listed.get(key)
                 if f:
-                    yield k, key, f.width, f.cmap is not None, len(f.cmap.single.items()) + len(f.cmap.double.items()) if f.cmap else 0, len(f.differences)
+                    yield k, key, f.width, f.cmap is not None, len(f.cmap.single.all()) + len(f.cmap.double.all()) if f.cmap else 0, len(f.differences)
 
     return _of(docs, run, "page_index int, name string, code_width int, to_unicode boolean, n_mapped int, n_differences int")
 
@@ -217,7 +217,7 @@ def cmaps(docs: DataFrame) -> DataFrame:
             for key in listed.listed:
                 f = listed.get(key)
                 for width, codes in ((1, f.cmap.single), (2, f.cmap.double)) if f and f.cmap else ():
-                    for code, target in codes.items():
+                    for code, target in codes.all().items():
                         yield k, key, width, code, content.whole(target)
 
     return _of(docs, run, "page_index int, name string, width int, code int, target string")

@@ -236,7 +236,7 @@ def test_fonts():
 
 def test_cmaps():
     m = fonts.parse_cmap(b"begincodespacerange <0000> <ffff> endcodespacerange beginbfchar <01> <0041> <0002> <D83DDE00> <03> <004> endbfchar beginbfrange <10> <12> <0061> <0020> <0021> [<0078> <0079007A> <00>] <30> <31> <D83DDE00> endbfrange")
-    assert m.width == 2 and m.single.items() == {1: "A", 3: "", 16: "a", 17: "b", 18: "c"} and m.double.items() == {2: "\U0001f600", 32: "x", 33: "yz"}
+    assert m.width == 2 and m.single.all() == {1: "A", 3: "", 16: "a", 17: "b", 18: "c"} and m.double.all() == {2: "\U0001f600", 32: "x", 33: "yz"}
     assert m.get(2, 1) == "\U0001f600" and m.get(1, 2) == "A" and m.get(9, 1) is None
     for beyond in (b"<01> <02> <00660066>", b"<0000> <7fffff> <0041>", b"<0000> <FFFFFF> <0041>"):
         with pytest.raises(ValueError):
@@ -246,7 +246,7 @@ def test_cmaps():
 def test_wide_ranges_hide_and_are_hidden():
     m = fonts.parse_cmap(b"beginbfchar <0005> <0078> endbfchar beginbfrange <000000> <0FFFFF> <0041> <0007> <0008> <0030> <0100> <0300> <0061> endbfrange")
     plain = {5: "x"} | {c: chr(0x41 + c) for c in range(1 << 20)} | {7: "0", 8: "1"} | {c: chr(0x61 + c - 0x100) for c in range(0x100, 0x301)}
-    assert m.double.items() == plain and m.get(1 << 20, 2) is None and m.single.items() == {}
+    assert m.double.all() == plain and m.get(1 << 20, 2) is None and m.single.all() == {}
 
 
 def test_two_byte_text_with_an_odd_byte():
