@@ -69,20 +69,25 @@ def destination_page(index: Column, pages: Column) -> Column:
     return F.when((pages > 0) & (index >= 0), F.least(index, pages - 1))
 
 
-def word_rect(fragment: Column, left: Column, right: Column, press_y: Column) -> Column:
-    """A selected word's rectangle, with a line's height rather than its fragment's. Null for a fragment narrower than
-    one, for which no width is right."""
-    box = normalized(fragment)
-    one, wide, tall = f32(1), F.greatest(width(box), f32(1)), F.greatest(height(box), f32(1))
-    least = F.greatest(F.least(f32(18), wide), one)
-    start = F.least(f32(left), f32(right) - one)
-    start = F.least(F.greatest(start, box["left"]), F.greatest(box["right"] - least, box["left"]))
-    end = F.least(F.greatest(F.greatest(f32(right), start + least), start + one), box["right"])
-    natural = F.greatest(f32(8), F.least(f32(20), F.greatest(end - start, one) * f32(0.45), tall * f32(0.42)))
-    natural = F.least(natural, tall)
-    finite = ~F.isnan(f32(press_y)) & (F.abs(f32(press_y)) < f32(float("inf")))
-    middle = F.when(finite, F.least(F.greatest(f32(press_y), box["top"]), box["bottom"])).otherwise((box["top"] + box["bottom"]) / f32(2))
-    top = F.least(F.greatest((middle - natural / f32(2)).cast("float"), box["top"]), box["bottom"] - natural)
-    tight = (tall > 18) & (tall > natural * f32(1.15))
-    got = F.when(tight, rect(start, top, end, top + natural)).otherwise(rect(start, box["top"], end, box["bottom"]))
-    return F.when(start + one <= box["right"], got)
+def word_steps(fragment: str, left: str, right: str, press_y: str) -> list[dict[str, Column]]:
+    """Columns to add in turn for word, a selected word's rectangle, with a line's height rather than its fragment's.
+    Null for a fragment narrower than one, for which no width is right. The columns before it begin with _w."""
+    c, one = F.col, f32(1)
+    side = lambda name: F.col(f"_wbox.{name}")
+    finite = ~F.isnan(c("_wpress")) & (F.abs(c("_wpress")) < f32(float("inf")))
+    return [
+        {"_wbox": normalized(c(fragment)), "_wleft": f32(c(left)), "_wright": f32(c(right)), "_wpress": f32(c(press_y))},
+        {"_wwide": F.greatest(width(c("_wbox")), one), "_wtall": F.greatest(height(c("_wbox")), one)},
+        {"_wleast": F.greatest(F.least(f32(18), c("_wwide")), one)},
+        {"_wstart": F.least(F.greatest(F.least(c("_wleft"), c("_wright") - one), side("left")), F.greatest(side("right") - c("_wleast"), side("left")))},
+        {"_wend": F.least(F.greatest(c("_wright"), c("_wstart") + c("_wleast"), c("_wstart") + one), side("right"))},
+        {"_wnatural": F.least(F.greatest(f32(8), F.least(f32(20), F.greatest(c("_wend") - c("_wstart"), one) * f32(0.45), c("_wtall") * f32(0.42))), c("_wtall"))},
+        {"_wmiddle": F.when(finite, F.least(F.greatest(c("_wpress"), side("top")), side("bottom"))).otherwise((side("top") + side("bottom")) / f32(2))},
+        {"_wtop": F.least(F.greatest((c("_wmiddle") - c("_wnatural") / f32(2)).cast("float"), side("top")), side("bottom") - c("_wnatural")), "_wtight": (c("_wtall") > 18) & (c("_wtall") > c("_wnatural") * f32(1.15))},
+        {
+            "word": F.when(
+                c("_wstart") + one <= side("right"),
+                rect(c("_wstart"), F.when(c("_wtight"), c("_wtop")).otherwise(side("top")), c("_wend"), F.when(c("_wtight"), c("_wtop") + c("_wnatural")).otherwise(side("bottom"))),
+            )
+        },
+    ]

@@ -13,6 +13,8 @@ MAX_STREAM = 64 << 20
 MAX_ENTRIES = MAX_OBJECTS = 100_000
 _MARK = re.compile(rb"startxref[\x00\t\n\x0c\r ]+([0-9]+)")
 _LINE = re.compile(rb"[^\r\n]*")
+_LINE_END = re.compile(rb"\r\n|\r|\n")
+_ENTRIES = re.compile(rb"(?:0[0-9]{9} [0-9]{5} [nf](?: \r| \n|\r\n))*+\Z")
 
 
 @dataclass(frozen=True)
@@ -81,6 +83,19 @@ class _Reader:
                 yield m.start(), m[0]
             at = m.end() + 1
 
+    def _usual(self, at: int, first: int, count: int, entries: dict, rank: float) -> int | None:
+        """Reads entries of 20 bytes each, as they usually are, and returns where they end; None if any is otherwise."""
+        m = _LINE_END.match(self.data, at)
+        if not m or not 0 < count <= len(self.data) // 20:
+            return None
+        block = self.data[m.end() : m.end() + 20 * count]
+        if len(block) < 20 * count or not _ENTRIES.match(block):
+            return None
+        words = block.split()
+        for k, a, gen, flag in zip(range(first, first + count), words[::3], words[1::3], words[2::3]):
+            entries[k, int(gen)] = Entry("in_use" if flag == b"n" else "free", int(a), 0, rank)
+        return m.end() + len(block)
+
     def _table(self, offset: int) -> Section:
         rank, lines, entries = self.rank, self._lines(offset), {}
         try:
@@ -95,6 +110,10 @@ class _Reader:
                 if len(words) != 2:
                     raise PdfError("no subsection header")
                 first, count = whole_number(words[0], 32), whole_number(words[1], 32)
+                at = self._usual(at + len(line), first, count, entries, rank)
+                if at is not None:
+                    lines = self._lines(at)
+                    continue
                 for k in range(count):
                     a, gen, flag = next(lines)[1].split()[:3]
                     if flag not in (b"n", b"f"):

@@ -37,6 +37,9 @@ _TOKEN = re.compile(
     rb"(?:[\x00\t\n\x0c\r ]++|%[^\r\n]*+)*+(?:([+-]?[0-9]++)(?!REG)|([+-]?(?:[0-9]++\.[0-9]*+|\.[0-9]++))(?!REG)|(REG++)|/(REG*+)"
     rb"|\(([^()\\\r]*+)\)|(<<|>>|[\[\]{}])|<([0-9A-Fa-f\x00\t\n\x0c\r ]*+)>)?".replace(b"REG", _REGULAR)
 )
+#: What follows the number of a reference; and a comment before or after the generation, which needs a closer look.
+_REFERENCE = re.compile(rb"[\x00\t\n\x0c\r ]++\+?([0-9]{1,18})[\x00\t\n\x0c\r ]++R(?!REG)".replace(b"REG", _REGULAR))
+_COMMENTED = re.compile(rb"[\x00\t\n\x0c\r ]*+(?:\+?[0-9]++[\x00\t\n\x0c\r ]*+)?+%")
 _WHOLE = re.compile(rb"[+-]?[0-9]+\Z")
 _HEX_ESCAPE = re.compile(rb"#([0-9A-Fa-f]{2})")
 _STRING_PART = re.compile(rb"[^()\\\r]+")
@@ -83,7 +86,7 @@ class Lexer:
             return self._other(m.end())
         raw, self.at = m[found], m.end()
         if found == 1:
-            return Token("int", whole_number(raw), m.start(1))
+            return Token("int", int(raw) if len(raw) < 19 else whole_number(raw), m.start(1))
         if found == 2:
             return Token("real", _real(raw), m.start(2))
         if found == 3:
@@ -157,7 +160,10 @@ def parse_object(lexer: Lexer, token: Token | None = None, depth: int = 0):
     kind, value = token.kind, token.value
     if kind == "int":
         back = lexer.at
-        if value >= 0:
+        if value >= 0 and (m := _REFERENCE.match(lexer.data, back)):
+            lexer.at, gen = m.end(), int(m[1])
+            return Ref(value if value <= MAX_INT else 0, gen if gen <= MAX_INT else 0)
+        if value >= 0 and _COMMENTED.match(lexer.data, back):
             try:
                 gen = lexer.next()
                 if gen and gen.kind == "int" and gen.value >= 0:

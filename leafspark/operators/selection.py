@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafspark.functions.geometry import word_steps
 from leafspark.kernels.words import selected, word_at
 from leafspark.operators.kernel import per_row
 
@@ -26,6 +27,16 @@ def words_at(probes: DataFrame) -> DataFrame:
     return per_row(probes.select("id", "text", "offset"), run, f"id {kind}, start int, end int, word string")
 
 
+def word_rects(words: DataFrame) -> DataFrame:
+    """words(fragment, left, right, press_y, ...) with word: each selected word's rectangle, as geometry.word_steps() says. Each
+    step is a column of its own, computed once."""
+    made: list[str] = []
+    for step in word_steps("fragment", "left", "right", "press_y"):
+        words = words.withColumns(step)
+        made += [c for c in step if c != "word"]
+    return words.drop(*made)
+
+
 def telemetry_summary(events: DataFrame) -> DataFrame:
     """An extension: outcomes, cache hits and times by page."""
     return events.groupBy("page").agg(

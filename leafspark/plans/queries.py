@@ -574,8 +574,8 @@ _WORD = f"(SELECT *, least(greatest((least(greatest(py, tp), bt) - nat / 2::FLOA
 def word_rect(spark, sf_dir):
     """G4."""
     r = F.col("rect")
-    got = geo.word_rect(r, r["left"] + geo.f32(5), r["left"] + geo.f32(40), r["top"] + geo.f32(20))
-    return _rects(spark, sf_dir).withColumn("w", got).where("w is not null").select(*_sides("w", "l_orderkey", "l_linenumber"))
+    words = _rects(spark, sf_dir).select("l_orderkey", "l_linenumber", r.alias("fragment"), (r["left"] + geo.f32(5)).alias("left"), (r["left"] + geo.f32(40)).alias("right"), (r["top"] + geo.f32(20)).alias("press_y"))
+    return selection.word_rects(words).where("word is not null").select(*_sides("word", "l_orderkey", "l_linenumber"))
 
 
 _BODY = r"regexp_full_match(ch, '[\p{L}\p{Nd}\p{Nl}\p{M}]')"

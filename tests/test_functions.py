@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from leafspark.functions import geometry as geo
 from leafspark.functions import render, text
 from leafspark.kernels import fonts, objects
+from leafspark.operators import selection
 
 f32 = np.float32
 
 
-def column(spark, rows, schema, c):
-    return [r[0] for r in spark.createDataFrame(rows, schema).coalesce(1).select(c.alias("c")).collect()]
+def column(spark, rows, schema, c, made=None):
+    frame = spark.createDataFrame(rows, schema).coalesce(1)
+    return [r[0] for r in (made(frame) if made else frame.select(c.alias("c"))).collect()]
 
 
 def test_target_widths(spark):
@@ -79,7 +81,7 @@ def test_word_rects(spark):
     rows = [tuple(float(f32(r.uniform(0, 300))) for _ in range(7)) for _ in range(2000)]
     rows += [(0.0, 0.0, 0.5, 40.0, 0.0, 0.2, 9.0), (0.0, 80.0, 200.0, 160.0, 10.0, 60.0, float("nan")), (0.0, 80.0, 200.0, 160.0, 10.0, 60.0, float("inf")), (0.0, 100.0, 200.0, 116.0, 10.0, 60.0, 105.0)]
     c = [F.col(x) for x in "abcdefg"]
-    got = column(spark, rows, ", ".join(f"{x} float" for x in "abcdefg"), geo.word_rect(geo.rect(*c[:4]), *c[4:]))
+    got = column(spark, rows, ", ".join(f"{x} float" for x in "abcdefg"), None, lambda d: selection.word_rects(d.select(geo.rect(*c[:4]).alias("fragment"), c[4].alias("left"), c[5].alias("right"), c[6].alias("press_y"))).select("word"))
     for row, g in zip(rows, got):
         want = plain_word_rect([f32(v) for v in row[:4]], f32(row[4]), f32(row[5]), f32(row[6]))
         assert (g is None) == (want is None) and (g is None or tuple(map(f32, g)) == tuple(map(f32, want))), row

@@ -257,6 +257,50 @@ def test_two_byte_text_with_an_odd_byte():
     assert texts(build.unicode_pdf("Ελ \U0001f600\nж")) == ["Ελ \U0001f600\nж"]
 
 
+# -- files of odd shapes
+
+
+def packed_file(more=b"", width=b"1 4 2", kinds=(), stream_word=b"stream", size=None, length=None):
+    """A catalog and an empty page tree behind a cross-reference stream written by hand; kinds are extra entries."""
+    out = bytearray(b"%PDF-1.5\n")
+    offsets = {}
+    for num, body in {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Kids [] >>"}.items():
+        offsets[num] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (num, body)
+    widths = list(map(int, width.split()))
+    entry = lambda *v: b"".join(x.to_bytes(w, "big") for x, w in zip(v, widths))
+    rows = entry(0, 0, 0) + entry(1, offsets[1], 0) + entry(1, offsets[2], 0) + entry(1, len(out), 0) + b"".join(entry(*k) for k in kinds)
+    head = b"<< /Type /XRef /Size %d /W [%s] /Root 1 0 R /Length %d %s >>" % (size or 4 + len(kinds), width, length or len(rows), more)
+    return bytes(out) + b"3 0 obj\n" + head + b"\n" + stream_word + b"\n" + rows + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % len(out)
+
+
+def test_odd_cross_reference_streams():
+    opens = lambda data: document.open_document(data).pages() == []
+    assert opens(packed_file()) and opens(packed_file(stream_word=b"% a comment\nstream"))
+    wide = document.open_document(packed_file(width=b"2 4 2", kinds=[(258, 7, 7), (2, 9, 1)]))
+    assert (4, 0) not in wide.entries and wide.packed[5, 0].a == 9  # a kind that is not known does not count
+    for bad in (packed_file(length=70_000_000), packed_file(size=100_001), packed_file(width=b"1 9 2"), packed_file(stream_word=b"straem"), packed_file(more=b"/Filter /FlateDecode")):
+        with pytest.raises(PdfError):
+            document.open_document(bad)
+
+
+def test_exhausted_numbers_leave_a_document_as_it_is():
+    full = fixtures.text_pdf("a").replace(b"/Size 102", b"/Size 2147483647")
+    note = {"seq": 1, "kind": "note", "page_index": 0, "x": 1.0, "y": 1.0, "contents": "n"}
+    assert document.open_document(full).next_number(1) is None and annotate.append(full, [note]) == full
+    assert annotate.append(fixtures.text_pdf("a"), [note]) != fixtures.text_pdf("a")
+
+
+def test_object_streams_out_of_bounds(monkeypatch):
+    packed = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Kids [] >>"}
+    data = build.compressed({3: b"null"}, packed, flate=False)
+    assert len(document.open_document(data).object_stream(4)) == 2
+    for change in ((b"/N 2", b"/N 9"), (b"/Type /ObjStm", b"/Type /ObjXxx")):
+        assert document.open_document(data.replace(*change)).object_stream(4) is None
+    monkeypatch.setattr(document, "MAX_OBJECTS", 1)
+    assert document.open_document(data).object_stream(4) is None
+
+
 # -- outlines
 
 
@@ -350,6 +394,23 @@ def test_blocks_by_number():
 # -- words
 
 
+def test_japanese_words_end_where_scripts_meet():
+    cut = lambda t: [t[a:b] for a, b in words.word_ranges(t)]
+    assert cut("私はカタカナーです。東京2020年の本") == ["私", "は", "カタカナー", "です", "東京", "2020", "年", "の", "本"]
+    assert cut("日本-語 é\u0301a 한국어 か\u3099き PDF版") == ["日本-語", "é\u0301a", "한국어", "か\u3099き", "PDF", "版"]
+    assert words.selected("東京タワー", words.word_at("東京タワー", 4)) == "タワー"
+
+
+def test_words_near_an_offset_are_those_of_the_whole_text():
+    r = random.Random(7)
+    for _ in range(3000):
+        text = "".join(r.choice("ab1é -_'’.\n\u0301日\U0001f600" if r.random() < 0.5 else "ab -'") for _ in range(r.randrange(1, 50)))
+        offset = r.randrange(-2, 60)
+        ranges, o = words.word_ranges(text), max(0, min(offset, len(words.units(text))))
+        best = min(ranges, key=lambda x: max(x[0] - o, o - x[1], 0), default=None)
+        assert words.word_at(text, offset) == (best if best and max(best[0] - o, o - best[1], 0) <= words.SNAP else None)
+
+
 def test_words():
     at = lambda t, o: words.selected(t, words.word_at(t, o))
     assert [at("Clear  saved", o) for o in (2, 5, 6, 7, -4, 99)] == ["Clear", "Clear", "Clear", "saved", "Clear", "saved"]
