@@ -33,8 +33,8 @@ VOCABULARY, CLASSES, BUCKETS = 50_000, 16, 64
 #: Hashed embeddings: a power of two, one to KINDS_A_ROW distinct words beyond the vocabulary; least and greatest number.
 KINDS_A_ROW, NEAR, HASHED, _SEED = 4, 1 << 10, 1 << 16, 42
 SIDE, WIDTH, HIDDEN = 2, 8, 24
-ROUNDS, FOLDS, BATCH, RATE = 2, 2, 1024, 0.05
-_FLUSH = 200_000
+ROUNDS, FOLDS, BATCH, RATE = 2, 2, 2048, 0.08
+_FLUSH = 500_000
 #: Odds in logs: of what is never, and the most that any are; and the least odds that a log is taken of.
 _NEVER, _MOST, _LEAST = np.float32(-1e9), np.float32(60), np.float32(1e-30)
 
@@ -62,12 +62,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class _Ranks(dict):
+    """Words' ranks; -1 of any other word."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Vocabulary:
     """Every word's place in the model: its embedding (by rank, or hashed), its cell (class and bucket), and the log of
     its share in the cell; of a word beyond the ranked ones, that of one count, to which the log of its count adds."""
 
     def __init__(self, ranked: list[tuple[bytes, int]], total: int, kinds: int, classes: int = CLASSES, buckets: int = BUCKETS):
-        self.number = {bytes(w): i for i, (w, _) in enumerate(ranked)}
+        self.number = _Ranks((bytes(w), i) for i, (w, _) in enumerate(ranked))
         self.counts = np.array([n for _, n in ranked], np.int64)
         inside = int(self.counts.sum())
         self.hashed = min(HASHED, max(NEAR, 1 << max(0, math.ceil((kinds - len(ranked)) / KINDS_A_ROW) - 1).bit_length()))
@@ -105,15 +112,19 @@ class Vocabulary:
         """Embeddings: of each word by rank, hashed ones, and one of what lies beyond either end."""
         return len(self.cell) + 1
 
-    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each word's embedding; and of the words beyond the ranked ones the distinct hashes and how often they occur."""
-        get = self.number.get
-        out = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
+    def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """The embedding of each word of all texts, in one row; and of the words beyond the ranked ones, by text and hash:
+        the text, the hash, and how often it occurs there."""
+        words = [w for t in texts for w in t]
+        out = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
         other = np.flatnonzero(out < 0)
         hashes = np.fromiter([xxhash.xxh64_intdigest(words[k], _SEED) for k in other.tolist()], np.uint64, len(other))
         out[other] = len(self.number) + (hashes & np.uint64(self.hashed - 1)).astype(np.int32)
-        kinds, times = np.unique(hashes.view(np.int64), return_counts=True)
-        return out, kinds, times.astype(np.int32)
+        text, hashes = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[other], hashes.view(np.int64)
+        order = np.lexsort((hashes, text))
+        text, hashes = text[order], hashes[order]
+        new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])])) if len(other) else other
+        return out, (text[new], hashes[new], np.diff(np.append(new, len(other))).astype(np.int32))
 
 
 def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
@@ -252,11 +263,13 @@ def numbered(docs: DataFrame, words: Vocabulary) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            found = [shared.value.numbers(words_of(t)) for t in batch.column(1).to_pylist()]
-            offsets = np.cumsum([0, *(len(h) for _, h, _ in found)]).astype(np.int32)
-            flat = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in ((1, np.int64), (2, np.int32))]
-            others = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=entry))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n.tobytes() for n, _, _ in found], pa.binary()), others], ["doc_id", "numbers", "others"])
+            texts = [words_of(t) for t in batch.column(1).to_pylist()]
+            numbers, (text, hashes, times) = shared.value.numbers(texts)
+            offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(hashes), pa.array(times)], fields=entry))
+            ends = 4 * np.cumsum([0, *map(len, texts)])
+            packed = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(numbers.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, others], ["doc_id", "numbers", "others"])
 
     out = docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, numbers binary, others array<struct<h: long, k: int>>")
     return keep(out.select(F.monotonically_increasing_id().alias("row"), "*"), "numbers")

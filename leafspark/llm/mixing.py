@@ -165,7 +165,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least:
 
 
 def remixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0) -> DataFrame:
-    """docs with each row as often as its rate says, with docs' columns."""
+    """docs with each row as often as its rate says, with docs' columns. Rows alike in doc_id and text have one rate and
+    are each drawn alike; rows with nulls, empty and very long texts are as mix() says; an empty table stays empty."""
     changed = mix(docs, labelled, targets, least).where("copies <> 1").select("doc_id", "row", "copies").distinct()
     tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("r"))
     # The changed rows grow with the input, so both sides are shuffled at any size.

@@ -177,7 +177,8 @@ def grade(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TAIL) -> D
     """doc_id, expected_grade, p_top, accepted for every row of docs(doc_id, text, ...).
 
     A document is accepted if its odds of the top grade are at least min_tail. Null and empty texts are graded as texts
-    without words; repeated rows each get a row; other columns are not read; an empty table gives an empty one.
+    without words, and very long ones as a whole; repeated rows each get a row; rows without a doc_id keep that null;
+    other columns are not read; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.cuts))  # of fixed size
     kind = dict(docs.dtypes)["doc_id"]
@@ -191,7 +192,8 @@ def grade(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TAIL) -> D
 
 
 def accepted(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TAIL) -> DataFrame:
-    """The rows of docs that grade() accepts, with docs' columns."""
+    """The rows of docs that grade() accepts, with docs' columns. Nulls, empty and very long texts and repeated rows are
+    judged as grade() does; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.cuts))
 
     def keeps(texts):

@@ -161,7 +161,8 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs(doc_id, text, ...).
 
-    A null text is an empty one; empty texts have fingerprint zero and link like any other. Repeated rows each get a
+    A null text is an empty one; empty texts have fingerprint zero and link like any other; very long ones are read whole.
+    Repeated rows each get a
     row. A null doc_id never names a component; a component of such rows alone has a null component_id. An empty table
     gives an empty one. Other columns are not read.
     """
