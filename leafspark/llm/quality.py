@@ -26,21 +26,46 @@ LETTERS = re.compile(r"[^\W\d_]+")
 _LEAST_Z, _EPOCHS, _BATCH, _RATE, _DECAY = 4.0, 40, 128, 0.3, 1e-4
 
 
+_MASK = (1 << HASH_BITS) - 1
+#: Of every character of one unit: whether it is a letter, and whether a capital.
+_KINDS = np.fromiter((chr(c).isalpha() + 2 * chr(c).isupper() for c in range(1 << 16)), np.uint8, 1 << 16)
+
+
+class _Hashes(dict):
+    """Hashes of names, remembered until there are half a million."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) >= 1 << 19:
+            self.clear()
+        got = self[name] = xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), 3) & _MASK
+        return got
+
+
+_hash = _Hashes()
+
+
+def _letters(text: str) -> tuple[int, int]:
+    """How many letters and capitals a text has."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = np.bincount(_KINDS[points[points < 1 << 16]], minlength=4)
+    beyond = [chr(p) for p in points[points >= 1 << 16].tolist()]
+    return int(kinds[1] + kinds[3]) + sum(map(str.isalpha, beyond)), int(kinds[2] + kinds[3]) + sum(map(str.isupper, beyond))
+
+
 def _bin(x: float, steps: tuple[float, ...]) -> int:
     return sum(x >= s for s in steps)
 
 
-def features(text: str | None) -> list[int]:
-    """Hashes of what a text has (words even, others odd): words (lower case, without marks), marks at the ends of words, and grades of its
+def features(text: str | None) -> np.ndarray:
+    """Sorted hashes of what a text has (words even, others odd): words (lower case, without marks), marks at the ends of words, and grades of its
     repetition, capitals, marks and length. Presence counts, not number: long texts weigh as short ones."""
     raw = (text or "").split()
     distinct = set(raw)
-    words = {f"w:{w}" for w in LETTERS.findall(" ".join(distinct).lower())}
+    words = set(LETTERS.findall(" ".join(distinct).lower()))
     marks = [w.strip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for w in distinct if not w[-1].isalnum()]
     names = {f"m:{w[-3:]}" for w in marks}
     n = max(1, len(raw))
-    letters = sum(map(str.isalpha, text or ""))
-    capitals = sum(map(str.isupper, text or ""))
+    letters, capitals = _letters(text or "")
     chars = max(1, sum(map(len, raw)))
     names |= {
         f"repeat:{_bin(len(distinct) / n, (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8))}:{_bin(n, (20, 100, 500, 3000))}",
@@ -49,9 +74,9 @@ def features(text: str | None) -> list[int]:
         f"words:{_bin(n, (2, 5, 10, 20, 50))}",
         f"length:{_bin(chars / n, (2.5, 3.5, 4.5, 6, 8, 11))}",
     }
-    mask = (1 << HASH_BITS) - 1
-    key = lambda x: xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass"), 3) & mask
-    return sorted({key(x) & ~1 for x in words} | {key(x) | 1 for x in names})
+    get = _hash.__getitem__
+    of_words, of_names = (np.fromiter(map(get, x), np.int32, len(x)) for x in (words, names))
+    return np.unique(np.concatenate([of_words & ~1, of_names | 1]))
 
 
 class OrdinalModel:
@@ -60,7 +85,7 @@ class OrdinalModel:
     def __init__(self, weights: np.ndarray, cuts: np.ndarray):
         self.weights, self.cuts = weights, cuts
 
-    def score(self, found: list[int]) -> float:
+    def score(self, found: np.ndarray) -> float:
         return float(self.weights[found].sum())
 
     def tails(self, score: float) -> np.ndarray:
@@ -157,7 +182,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, levels: int =
     spark = docs.sparkSession
     some = least_hashed(ratings.groupBy("doc_id").agg(F.min("grade").alias("grade")), F.xxhash64("doc_id"), sample)
     rated = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text")
-    found = arrow_map(rated, lambda ids, grades, texts: [ids, grades, [np.array(features(t), np.int32).tobytes() for t in texts]], "doc_id long, grade int, found binary")
+    found = arrow_map(rated, lambda ids, grades, texts: [ids, grades, [features(t).tobytes() for t in texts]], "doc_id long, grade int, found binary")
     found = found.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("found").alias("found")).groupBy("found").agg(F.min("doc_id").alias("doc_id"), F.min("grade").alias("grade"))
     found = keep(found.select("doc_id", "grade", "found"), "rated")
     used = np.array(telling(found, levels), np.int32)
