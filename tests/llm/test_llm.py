@@ -9,14 +9,15 @@ import struct
 import time
 import zlib
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from leafspark.llm import decontaminate, html_text, lm, media, mixing, pii, quality, sharding, simhash, substring_dedup
-from leafspark.llm.common import components, least_hashed, table
+from leafspark.llm import common, decontaminate, html_text, lm, media, mixing, pii, quality, sharding, simhash, substring_dedup
+from leafspark.llm.common import clear, components, keep, least_hashed, settle, shared_dir, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, component_id string"
 
@@ -977,6 +978,34 @@ def test_quality_of_awkward_rows(spark, docs, empty):
     assert quality.grade(docs, nothing).count() == len(awkward())
 
 
+def test_scratch_tables_go(spark, monkeypatch):
+    monkeypatch.setattr(common, "_made", [])
+    paths = lambda df: {f.rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:") for f in df.inputFiles()}
+    way = []
+
+    def make():
+        way.append(keep(spark.range(5), "way"))
+        return way[0].where("id > 1")
+
+    old = keep(spark.range(3), "old")
+    out = settle(spark, "out", make)
+    assert out.count() == 3 and old.count() == 3 and all(Path(p).exists() for p in paths(out) | paths(old))
+    clear(spark)
+    assert not any(Path(p).exists() for p in paths(out) | paths(old) | paths(way[0]))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
