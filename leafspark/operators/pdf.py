@@ -106,7 +106,10 @@ def next_object(entries: DataFrame, group: str, num: str, count: int = 1) -> Dat
 def page_tree(nodes: DataFrame) -> DataFrame:
     """Pages of page trees given as rows: nodes(doc_id, id, parent, ord, name, own, leaf), where roots have no parent.
     doc_id, page_index, name, resources of the leaves in pre-order; resources are those (own) of the nearest node that
-    has some. A node below itself is not walked again. Documents are numbered side by side."""
+    has some. A node below itself is not walked again. Documents are numbered side by side. The session's limits on
+    recursive queries (a million rows, a hundred levels) are lifted: each row here is walked once."""
+    for limit, value in (("Row", -1), ("Level", 1 << 20)):
+        nodes.sparkSession.conf.set(f"spark.sql.cteRecursion{limit}Limit", str(value))
     walked = nodes.sparkSession.sql(
         """
         WITH RECURSIVE walk(doc_id, id, name, leaf, resources, path, seen) AS (

@@ -94,6 +94,13 @@ def test_page_trees_with_cycles(spark):
     assert sorted(map(tuple, pdf.page_tree(nodes).collect())) == [(1, 0, "y", "Y"), (1, 1, "x", "R"), (2, 0, "z", None)]
 
 
+def test_page_trees_have_no_limits(spark):
+    deep = [(1, str(k), str(k - 1) if k else None, "0", str(k), "R" if k == 3 else None, k == 7) for k in range(8)]
+    nodes = spark.createDataFrame(deep, "doc_id long, id string, parent string, ord string, name string, own string, leaf boolean").coalesce(1)
+    assert [tuple(r) for r in pdf.page_tree(nodes).collect()] == [(1, 0, "7", "R")]
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "-1"
+
+
 def test_tables_of_one_document(corpus):
     one = corpus.where("doc_id = 0")
     assert [(r["operator"], r["operands"]) for r in pdf.text_ops(one).collect()][:3] == [("BT", []), ("Tf", ["/F1", "12"]), ("Td", ["72", "720"])]
