@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from leafspark.kernels import filters
 from leafspark.kernels.objects import MAX_INT, SPACE, Lexer, Name, PdfError, Ref, integer, name, parse_object, whole_number
@@ -17,8 +18,7 @@ _LINE_END = re.compile(rb"\r\n|\r|\n")
 _ENTRIES = re.compile(rb"(?:0[0-9]{9} [0-9]{5} [nf](?: \r| \n|\r\n))*+\Z")
 
 
-@dataclass(frozen=True)
-class Entry:
+class Entry(NamedTuple):
     """Where an object is: kind "in_use" (at an offset), "free" (the next free number) or "compressed" (a stream and the
     index in it). rank 0 is the newest section that was read; a hybrid file's stream stands between two ranks."""
 
@@ -210,6 +210,7 @@ class Document:
         self.data, self.entries, self.packed, self.trailer, self.start = data, section.entries, section.packed, section.trailer, start
         self._objects: dict[Ref, object] = {}
         self._streams: dict[int, list[tuple[int, object]]] = {}
+        self.fonts: dict[Ref, object] = {}  # by reference, once loaded
 
     # -- lookup
 

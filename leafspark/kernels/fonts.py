@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from leafspark.kernels.objects import NULL, Name, Ref, name
 
@@ -212,11 +214,30 @@ class Font:
     def decode(self, data: bytes) -> str:
         """Codes of one or two bytes; an odd last byte is a code of its own."""
         if self.width == 1:
-            return "".join([self.one(c, 1) for c in data])
-        out = [self.one(data[k] << 8 | data[k + 1], 2) for k in range(0, len(data) - 1, 2)]
-        if len(data) % 2:
-            out.append(self.one(data[-1], 1))
-        return "".join(out)
+            return data.decode("latin-1").translate(self._single)
+        n = len(data) // 2
+        text = "".join(map(self._pairs.__getitem__, struct.unpack_from(f">{n}H", data)))
+        return text + self.one(data[-1], 1) if len(data) % 2 else text
+
+    @cached_property
+    def _single(self) -> _Codes:
+        return _Codes(self, 1)
+
+    @cached_property
+    def _pairs(self) -> _Codes:
+        return _Codes(self, 2)
+
+
+class _Codes(dict):
+    """The texts of a font's codes of one or of two bytes, as far as they have been asked for."""
+
+    def __init__(self, font: Font, width: int):
+        super().__init__()
+        self.font, self.width = font, width
+
+    def __missing__(self, code: int) -> str:
+        got = self[code] = self.font.one(code, self.width)
+        return got
 
 
 def differences(items) -> dict[int, str]:
@@ -268,6 +289,12 @@ class Fonts:
 
     def get(self, key: str) -> Font | None:
         if key not in self.loaded:
-            value = self.document.deref(self.listed.get(key, NULL))
-            self.loaded[key] = load_font(self.document, value) if isinstance(value, dict) else None
+            listed = self.listed.get(key, NULL)
+            if isinstance(listed, Ref) and listed in self.document.fonts:
+                self.loaded[key] = self.document.fonts[listed]
+            else:
+                value = self.document.deref(listed)
+                self.loaded[key] = load_font(self.document, value) if isinstance(value, dict) else None
+                if isinstance(listed, Ref):  # pages share fonts
+                    self.document.fonts[listed] = self.loaded[key]
         return self.loaded[key]
