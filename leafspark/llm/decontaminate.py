@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 
 import ahocorasick
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +47,19 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 
 
+class _Numbers(dict):
+    """Numbers of the items' words from 1 on; 0 of any other word."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 class Automaton:
-    """The windows of a block of items. find(words) gives the places of hits as (first word, end word, items)."""
+    """The windows of a block of items. find(words) gives the places of hits as (first word, end word, items). A word that
+    no item has brings the automaton back to its root, so only runs of known words as long as the least window are scanned."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         owners: dict[tuple[int, ...], list] = {}
         for item, text in items:
             words = normal_words(text)
@@ -66,13 +75,18 @@ class Automaton:
             self.tree.add_word(seq, (len(seq), tuple(who)))
         if owners:
             self.tree.make_automaton()
-        self.empty = not owners
+        self.least = min(map(len, owners), default=0)
 
     def find(self, words: list[bytes]) -> list[tuple[int, int, tuple]]:
-        if self.empty or not words:
+        if not self.least or len(words) < self.least:
             return []
-        get = self.number.get
-        return [(end - n + 1, end + 1, who) for end, (n, who) in self.tree.iter(tuple([get(w, 0) for w in words]))]
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        unknown = np.flatnonzero(numbers == 0)
+        starts, ends = np.append(0, unknown + 1), np.append(unknown, len(words))
+        long, out = np.flatnonzero(ends - starts >= self.least), []
+        for first, end in zip(starts[long].tolist(), ends[long].tolist()):
+            out += [(first + at - n + 1, first + at + 1, who) for at, (n, who) in self.tree.iter(tuple(numbers[first:end].tolist()))]
+        return out
 
 
 def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
