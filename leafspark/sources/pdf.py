@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def write_pdfs(docs: DataFrame, folder: str) -> DataFrame:
             ids, paths, lengths = [], [], []
             for doc_id, content in zip(*(c.to_pylist() for c in batch.columns)):
                 path = f"{root}/{doc_id}.pdf"
-                part = f"{path}.{os.getpid()}.part"
+                part = f"{path}.{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part) as out:
                     out.write(content or b"")
                 store.move(part, path)
