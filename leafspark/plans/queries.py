@@ -117,6 +117,8 @@ def open_status(spark, sf_dir):
 
 def _orders_by_customer(spark, sf_dir) -> DataFrame:
     keys = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    # The keys are small, so that Spark would put them in few tasks; the files made of them are not.
+    keys = keys.repartition(2 * spark.sparkContext.defaultParallelism)
     return pdfs(keys, lambda keys: build.text_pdf([build.lines_content(str(k)) for k in keys], fanout=3))
 
 
