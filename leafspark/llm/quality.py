@@ -17,6 +17,8 @@ from leafspark.llm.common import arrow_filter, arrow_map, keep, least_hashed
 
 HASH_BITS = 18
 GRADES = 3
+#: Letters of a word that its forms share.
+STEM = 5
 #: Rated rows that the model is fitted on at most: those whose ids have the least hash.
 SAMPLE = 12_000
 MIN_TAIL = 0.5
@@ -57,11 +59,13 @@ def _bin(x: float, steps: tuple[float, ...]) -> int:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted hashes of what a text has (words even, others odd): words (lower case, without marks), marks at the ends of words, and grades of its
+    """Sorted hashes of what a text has (words even, others odd): words (lower case, without marks), beginnings of longer
+    words (so that other forms of a word count with it), marks at the ends of words, and grades of its
     repetition, capitals, marks and length. Presence counts, not number: long texts weigh as short ones."""
     raw = (text or "").split()
     distinct = set(raw)
     words = set(LETTERS.findall(" ".join(distinct).lower()))
+    words |= {f"{w[:STEM]}*" for w in words if len(w) > STEM}
     marks = [w.strip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for w in distinct if not w[-1].isalnum()]
     names = {f"m:{w[-3:]}" for w in marks}
     n = max(1, len(raw))
