@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from leafspark.operators import pdf, selection
 from leafspark.operators.kernel import per_row
 from leafspark.plans import fixtures
 from leafspark.plans.fixtures import pdfs, table
-from leafspark.sources.pdf import slice_bytes
+from leafspark.sources.pdf import record_telemetry, slice_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -524,6 +525,17 @@ def telemetry_summary(spark, sf_dir):
     return selection.telemetry_summary(events)
 
 
+@query("SELECT event_id, (user_id % 20)::INTEGER AS page, event_id % 1000 AS total_ms FROM events")
+def telemetry_recorded(spark, sf_dir):
+    """Events as the sink has written them, read back; without a table it takes them and writes nothing."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared}/telemetry-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).cast("int").alias("page"), (F.col("event_id") % 1000).alias("total_ms"))
+    record_telemetry(events, None)
+    record_telemetry(events, folder)
+    return spark.read.schema(events.schema).parquet(folder)
+
+
 # -- geometry
 
 
