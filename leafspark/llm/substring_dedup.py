@@ -235,22 +235,21 @@ def _unpack(z: bytes) -> list[bytes]:
 
 def _windows(ids, texts, packed, lists):
     """One row for each window of the entries: doc_id, t, mh, wh, start."""
-    docs, of, anchor, window, start = [], [], [], [], []
+    out = [[np.zeros(0, np.int64)] for _ in range(5)]
     for i, t, z, entries in zip(ids, texts, packed, lists):
         words = _unpack(z)
-        if len(words) < WINDOW:
+        entries = [e for e in entries if e["last"] + WINDOW <= len(words)]
+        if not entries:
             continue
-        hashed = Hashed(words)
-        for e in entries:
-            if e["last"] + WINDOW <= len(words):
-                s = np.arange(e["first"], e["last"] + 1)
-                window.append(hashed.runs(s, WINDOW).view(np.int64))
-                start.append(s)
-                docs += [i] * len(s)
-                of += [t] * len(s)
-                anchor += [e["mh"]] * len(s)
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return [docs, of, anchor, cat(window), cat(start).astype(np.int32)]
+        first, last, mh = (np.array([e[k] for e in entries], np.int64) for k in ("first", "last", "mh"))
+        n = last - first + 1
+        # The windows of all entries, one after another.
+        start = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        hashes = Hashed(words).runs(start, WINDOW).view(np.int64)
+        for column, values in zip(out, (np.full(len(start), i), np.full(len(start), t), np.repeat(mh, n), hashes, start)):
+            column.append(values)
+    docs, of, anchor, window, start = map(np.concatenate, out)
+    return [docs, of, anchor, window, start.astype(np.int32)]
 
 
 def _finish(ids, texts, packed, lists, counts, n_words):
