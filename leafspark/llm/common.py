@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
-        if given is None and not (sc.master or "").startswith("local["):
+        if given is None and (sc.master or "").partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="leafspark-"))
     return sc.getCheckpointDir()
