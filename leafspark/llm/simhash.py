@@ -8,6 +8,8 @@ find candidates, which are verified on all bits.
 A crowded bucket would give pairs by the square of its members. There, each member sends itself to its 65 neighbours
 within one bit instead: two fingerprints within two bits of each other meet at a neighbour of both, where the least
 member links to all others. That is exact, and linear in the members.
+
+That is within(), too, for any radius, of whose thresholds both fingerprints step half.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspark.llm.common import arrow_map, components, hex16, keep, small_batches, text_bytes
@@ -48,6 +50,15 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes, as a signed long: the bits that over half of them have; zero of none."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        bits = np.unpackbits(hashes[at : at + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts += bits.sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp of every row; a null or empty text has fingerprint zero."""
     return arrow_map(docs.select("doc_id", "text"), lambda ids, texts: [ids, [fingerprint(t) for t in texts]], "doc_id long, fp long")
@@ -77,10 +88,10 @@ def bit_pairs(distinct: DataFrame) -> tuple[int, np.ndarray]:
     return n, both
 
 
-def partitions(n: int, both: np.ndarray) -> list[list[int]]:
-    """Groups of bits (0: the highest): as many as keep a bucket of random fingerprints near one member, each group
+def partitions(n: int, both: np.ndarray, m: int | None = None) -> list[list[int]]:
+    """m groups of bits (0: the highest), or as many as keep a bucket of random fingerprints near one member, each group
     grown from the bit most correlated with the rest by the bit most correlated with the group."""
-    m = next((m for m in (4, 3) if n < 2 ** (BITS // m)), 2)
+    m = m or next((m for m in (4, 3) if n < 2 ** (BITS // m)), 2)
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.clip(p * (1 - p), 1e-9, None))
     tie = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread))
@@ -96,16 +107,26 @@ def partitions(n: int, both: np.ndarray) -> list[list[int]]:
     return groups
 
 
-def thresholds(n: int, both: np.ndarray, groups: list[list[int]], collisions: list[int], radius: int = RADIUS) -> list[int]:
+def thresholds(n: int, both: np.ndarray, groups: list[list[int]], collisions: list[int], radius: int = RADIUS, halves: bool = False) -> list[int]:
     """The thresholds of least estimated cost whose sum is radius - partitions + 1.
 
     The cost of a threshold is its probes, and the candidates that they meet: the counted pairs of equal values, times
-    for each further differing bits the odds that two fingerprints differ there."""
+    for each further differing bits the odds that two fingerprints differ there. With halves, probes are those of half
+    the threshold, rounded up."""
     p = np.diag(both) / max(n, 1)
     agree = np.clip(p * p + (1 - p) ** 2, 0.5, 1 - 1e-9)
     odds = (1 - agree) / agree
 
+    def met(k: int, most: int) -> float:
+        sums = np.ones(1)
+        for o in odds[groups[k]]:
+            sums = np.convolve(sums, [1.0, o])
+        return float(sums[: most + 1].sum())
+
     def cost(k: int, t: int) -> float:
+        if halves:
+            steps = (t + 1) // 2
+            return 0.0 if t < 0 else n * sum(math.comb(len(groups[k]), d) for d in range(steps + 1)) + collisions[k] * met(k, 2 * steps)
         ratios = [1.0] + [sum(math.prod(c) for c in combinations(odds[groups[k]], d)) for d in range(1, t + 1)]
         return sum(n * math.comb(len(groups[k]), d) + collisions[k] * ratios[d] for d in range(t + 1))
 
@@ -158,6 +179,33 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.union(stars)
 
 
+def within(marks: DataFrame, radius: int, m: int, crowd: int = CROWD) -> DataFrame:
+    """The pairs (a, b), a < b, of the nodes of marks(node, fp), each there once, whose fingerprints are within radius
+    bits; of a bucket of more than crowd members only those with its least node.
+
+    Of m partitions, each fingerprint goes to the values within half the threshold: two that are within the threshold
+    meet at one of them, for far fewer rows than if one of them took all the steps."""
+    n, both = bit_pairs(marks.select("fp"))
+    groups = partitions(n, both, m)
+    masks = [_mask(g) for g in groups]
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(x)).alias("val")) for k, x in enumerate(masks))))
+    sizes = marks.select(values.alias("v")).groupBy("v.part", "v.val").count()
+    seen = {r["part"]: int(r["c"]) for r in sizes.groupBy("part").agg(F.sum(F.col("count") * (F.col("count") - 1)).alias("c")).collect()}
+    chosen = thresholds(n, both, groups, [seen.get(k, 0) for k in range(m)], radius, halves=True)
+    turns = [(k, _mask(c)) for k, t in enumerate(chosen) if t >= 0 for d in range((t + 1) // 2 + 1) for c in combinations(groups[k], d)]
+    places = F.array(*(F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseXOR(F.lit(x)).bitwiseAND(F.lit(masks[k]))).alias("h"), F.lit(x).cast("long").alias("turned")) for k, x in turns))
+    bucket = Window.partitionBy("h")
+    met = marks.select("node", "fp", F.explode(places).alias("p")).select("p.h", "p.turned", "node", "fp")
+    met = met.select("*", F.count("*").over(bucket).alias("n"), F.min("node").over(bucket).alias("lead"), F.min_by("fp", "node").over(bucket).alias("first")).where("n > 1")
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
+    one, other = (met.where(F.col("n") <= crowd).select("h", F.col("node").alias(a), F.col("fp").alias(f"fp_{a}"), F.col("turned").alias(f"turned_{a}")) for a in "ab")
+    # Two that differ by some bits meet where the one has turned x and the other y, and where it is the other way round.
+    once = (F.col("turned_a") < F.col("turned_b")) | ((F.col("turned_a") == 0) & (F.col("turned_b") == 0))
+    pairs = one.hint("merge").join(other, "h").where((F.col("a") < F.col("b")) & once & near("fp_a", "fp_b")).select("a", "b")
+    stars = met.where((F.col("n") > crowd) & (F.col("lead") < F.col("node")) & near("fp", "first")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return pairs.union(stars).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs(doc_id, text, ...).
 

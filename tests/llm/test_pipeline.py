@@ -5,9 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leafspark.llm import near_copies
+from leafspark.llm import near_copies, simhash
 from leafspark.llm.common import keep, table
 from test_llm import brute_contamination
 
@@ -182,3 +183,49 @@ def test_stage_leaves_no_near_copies(spark, steps):
     changed[40] = changed[100] = "changed"
     near = spark.createDataFrame([(copy["doc_id"], copy["text"]), (10**9, " ".join(changed))], "doc_id long, text string")
     assert [x["doc_id"] for x in corpus_pipeline.one_of_each(spark, near, SF).collect()] == [copy["doc_id"]]
+
+
+@pytest.mark.parametrize("radius, m", [(8, 3), (5, 4), (3, 2)])
+def test_fingerprints_within_a_radius_are_brute_force(spark, radius, m):
+    """Random fingerprints, equal ones, and families about the radius."""
+    r, fps = random.Random(radius), []
+    for _ in range(25):
+        base = r.getrandbits(64)
+        fps += [base ^ sum(1 << b for b in r.sample(range(64), r.randrange(radius + 3))) for _ in range(12)]
+    fps += fps[:3] + [0, 1, (1 << 64) - 1] + [r.getrandbits(64) for _ in range(300)]
+    marks = spark.createDataFrame([(5 * i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node long, fp long").repartition(3)
+    want = {(5 * i, 5 * k) for k in range(len(fps)) for i in range(k) if (fps[i] ^ fps[k]).bit_count() <= radius}
+    got = [tuple(x) for x in simhash.within(marks, radius, m, crowd=1000).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    some = {tuple(x) for x in simhash.within(marks, radius, m, crowd=4).collect()}
+    assert some < want
+
+
+def test_near_copies_come_by_simhash_too(spark):
+    """Without any band, what is alike and within RADIUS bits is still linked, and nothing else."""
+    r, rows = random.Random(21), []
+    word = lambda: f"w{r.randrange(5000)}"
+    for _ in range(15):
+        base = [word() for _ in range(r.choice([40, 150, 300]))]
+        for _ in range(5):
+            w = list(base)
+            for _ in range(r.randrange(1 + len(w) // 40)):
+                w[r.randrange(len(w))] = word()
+            rows.append(" ".join(w))
+    rows += [None, "", "one two", "one two three"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    sketch = near_copies.arrow_map(docs, near_copies._sketch, "doc_id long, key binary, bands array<long>, fp long, size int")
+    _, roots = near_copies.groups(docs, sketch.withColumn("bands", F.array().cast("array<long>")))
+    sets = brute_sets(rows)
+    fps = [simhash.majority(near_copies.shingles(t)) & ((1 << 64) - 1) for t in rows]
+    want = {i: i for i in range(len(rows))}
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for k, b in enumerate(sets):
+                if a and a != b and 5 * len(a & b) >= 4 * len(a | b) and (fps[i] ^ fps[k]).bit_count() <= near_copies.RADIUS:
+                    want[i] = want[k] = min(want[i], want[k])
+    least = {}
+    for i, a in enumerate(sets):
+        least.setdefault(frozenset(a), i)
+    assert {x["node"]: x["root"] for x in roots.collect() if x["node"] != x["root"]} == {i: x for i, x in want.items() if i != x and i in least.values()}
+    assert 15 < len([i for i, x in want.items() if i != x]) < 60
