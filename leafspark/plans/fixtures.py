@@ -39,11 +39,16 @@ def packed_pdf(text: str | None) -> bytes:
 
 
 def outline_pdf(chapters: list[tuple[str, list[str]]], destinations: str = "direct") -> bytes:
-    """A page for each section; chapters and sections as outline items. Destinations are arrays, or names in a tree."""
+    """A page for each section; chapters and sections as outline items. Destinations are arrays, or names in a tree: the
+    titles, or ("numbered") titles with #, page and so many digits that no two are alike."""
     titles = [t for _, sections in chapters for t in sections]
     pages = [build.lines_content(t) for t in titles]
-    dest = lambda k: f"[{100 + 2 * k} 0 R /Fit]" if destinations == "direct" else f"({_plain(titles[k])})"
-    extra, number, k = {}, 1000, 0
+    names = [f"{t}#{k:09d}" for k, t in enumerate(titles)] if destinations == "numbered" else titles
+    dest = lambda k: f"[{100 + 2 * k} 0 R /Fit]" if destinations == "direct" else f"({_plain(names[k])})"
+    # Pages and their contents have the numbers from 100 on, as many as there are.
+    top = 100 + 2 * len(titles)
+    tree, leaf = top + 1, top + 2
+    extra, number, k = {}, top + 3, 0
     heads = []
     for _, sections in chapters:
         heads.append(number)
@@ -52,16 +57,16 @@ def outline_pdf(chapters: list[tuple[str, list[str]]], destinations: str = "dire
         head = heads[c]
         below = f" /First {head + 1} 0 R /Last {head + len(sections)} 0 R" if sections else ""
         onward = f" /Next {heads[c + 1]} 0 R" if c + 1 < len(heads) else ""
-        extra[head] = f"<< /Title ({_plain(title)}) /Parent 900 0 R /Dest {dest(k)}{below}{onward} >>".encode("latin-1", "replace")
+        extra[head] = f"<< /Title ({_plain(title)}) /Parent {top} 0 R /Dest {dest(k)}{below}{onward} >>".encode("latin-1", "replace")
         for s, section in enumerate(sections):
             onward = f" /Next {head + 2 + s} 0 R" if s + 1 < len(sections) else ""
             extra[head + 1 + s] = f"<< /Title ({_plain(section)}) /Parent {head} 0 R /A << /S /GoTo /D {dest(k)} >>{onward} >>".encode("latin-1", "replace")
             k += 1
-    extra[900] = f"<< /Type /Outlines /First {heads[0]} 0 R /Last {heads[-1]} 0 R >>".encode()
-    names = " ".join(f"({_plain(t)}) [{100 + 2 * i} 0 R /Fit]" for i, t in enumerate(titles))
-    extra[901] = f"<< /Kids [902 0 R] >>".encode()
-    extra[902] = f"<< /Names [{names}] >>".encode("latin-1", "replace")
-    return build.text_pdf(pages, extra=extra, catalog=" /Outlines 900 0 R /Names << /Dests 901 0 R >>")
+    extra[top] = f"<< /Type /Outlines /First {heads[0]} 0 R /Last {heads[-1]} 0 R >>".encode()
+    listed = " ".join(f"({_plain(t)}) [{100 + 2 * i} 0 R /Fit]" for i, t in enumerate(names))
+    extra[tree] = f"<< /Kids [{leaf} 0 R] >>".encode()
+    extra[leaf] = f"<< /Names [{listed}] >>".encode("latin-1", "replace")
+    return build.text_pdf(pages, extra=extra, catalog=f" /Outlines {top} 0 R /Names << /Dests {tree} 0 R >>")
 
 
 def blocks_pdf(values: list[str]) -> bytes:

@@ -168,3 +168,22 @@ def test_annotate_keeps_documents_without_notes(spark, corpus):
 def test_library_does_not_need_the_training_data_part():
     code = "import sys; sys.modules['leafspark.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport importlib, pkgutil, leafspark\nfor m in pkgutil.walk_packages(leafspark.__path__, 'leafspark.'):\n    if '.llm' not in m.name: importlib.import_module(m.name)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
+
+
+def _same_as_sql(spark, folder, name, **tables):
+    """A query over rows of one's own is its SQL."""
+    con = duckdb.connect()
+    for t, frame in tables.items():
+        con.execute(f"COPY ({frame}) TO '{folder}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS FROM '{folder}/{t}.parquet'")
+    got = QUERIES[name](spark, str(folder))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and want
+
+
+#: More suppliers of a nation than there were numbers for, half of them with names that others have.
+MANY_SUPPLIERS = "SELECT i AS s_suppkey, 'Supplier#' || CASE WHEN i % 2 = 0 THEN i % 50 ELSE i END AS s_name, (i % 3 // 2)::INTEGER AS s_nationkey FROM range(1800) r(i)"
+
+
+def test_named_destinations_of_many_suppliers(spark, tmp_path):
+    _same_as_sql(spark, tmp_path, "named_destinations", supplier=MANY_SUPPLIERS)
