@@ -187,3 +187,7 @@ MANY_SUPPLIERS = "SELECT i AS s_suppkey, 'Supplier#' || CASE WHEN i % 2 = 0 THEN
 
 def test_named_destinations_of_many_suppliers(spark, tmp_path):
     _same_as_sql(spark, tmp_path, "named_destinations", supplier=MANY_SUPPLIERS)
+
+
+def test_toc_of_many_suppliers(spark, tmp_path):
+    _same_as_sql(spark, tmp_path, "toc_named_dest", supplier=MANY_SUPPLIERS)
