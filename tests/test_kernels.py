@@ -7,7 +7,7 @@ import zlib
 import pytest
 
 from leafspark.kernels import annotate, blocks, build, content, document, filters, fonts, outline, words
-from leafspark.kernels.objects import NULL, Lexer, Name, PdfError, Ref, escape_literal, escape_name, format_number, parse_bytes, serialize, text_string
+from leafspark.kernels.objects import NULL, Lexer, Name, PdfError, Ref, escape_literal, escape_name, format_number, parse_bytes, parse_object, serialize, text_string
 from leafspark.plans import fixtures
 
 
@@ -416,3 +416,31 @@ def test_words():
     assert [at("Clear  saved", o) for o in (2, 5, 6, 7, -4, 99)] == ["Clear", "Clear", "Clear", "saved", "Clear", "saved"]
     assert at("I don’t know", 4) == "don’t" and at("a-b_c--d", 2) == "a-b_c" and at("•••", 1) == "" and at("", 0) == "" and at(None, 0) == ""
     assert at("far        away", 8) == "away" and at("x          ", 9) == "" and at("\U0001f600 é1", 3) == "é1"
+
+
+def test_usual_syntax_is_not_read_token_by_token(monkeypatch):
+    """A dictionary, and most of a content stream, take no call for each token."""
+    made, calls, step = fixtures.text_pdf("one\ntwo\nthree"), [0], Lexer.next
+    def counted(lexer):
+        calls[0] += 1
+        return step(lexer)
+    monkeypatch.setattr(Lexer, "next", counted)
+    assert texts(made) == ["one\ntwo\nthree"] and calls[0] <= 5
+
+
+def test_usual_and_other_syntax_read_alike(monkeypatch):
+    parts = [b"<<", b">>", b"[", b"]", b"/A", b"/B#41", b"1", b"-2", b"+3", b"4 0 R", b"4 +0 R", b"1.5", b"true", b"null", b"R", b"(x)", b"(a(b))", b"<4>", b"<41>", b"%c\n", b"99999999999 0 R", b"1" + b"0" * 400 + b".0", b"nullx", b"5 0 RG", b"7 0 R/C"]
+    r = random.Random(3)
+    bodies = [r.choice([b"<</K ", b"[", b"<</A 1 /B ", b"[["]) + r.choice([b" ", b""]).join(r.choice(parts) for _ in range(r.randrange(1, 6))) + r.choice([b">>", b"]", b"]]"]) for _ in range(4000)]
+
+    def read(body):
+        lexer = Lexer(body)
+        try:
+            return parse_object(lexer), lexer.at
+        except PdfError:
+            return None
+
+    bodies += [b + r.choice([b"endobj", b" stream"]) for b in bodies]
+    got = [read(b) for b in bodies]
+    monkeypatch.setattr("leafspark.kernels.objects._usual", lambda data, at: None)
+    assert got == [read(b) for b in bodies] and sum(g is not None for g in got) > 300
