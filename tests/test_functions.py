@@ -2,13 +2,14 @@
 
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from leafspark.functions import geometry as geo
 from leafspark.functions import render, text
-from leafspark.kernels import fonts, objects
+from leafspark.kernels import filters, fonts, objects
 from leafspark.operators import selection
 
 f32 = np.float32
@@ -119,3 +120,14 @@ def test_codes(spark):
     strings = [b"\xfe\xff\x00A\x04\x16", b"\xff\xfeA\x00", b"caf\xe9", b""]
     assert column(spark, [(bytearray(s),) for s in strings], "s binary", text.text_string(F.col("s"))) == [objects.text_string(s) for s in strings]
     assert column(spark, [(bytearray(b"x" * 1019 + b"%PDF-"),), (bytearray(b"x" * 1020 + b"%PDF-"),)], "c binary", text.looks_like_pdf(F.col("c"))) == [True, False]
+
+
+def test_ascii_hex_of_other_characters(spark):
+    rows = ["", "4", "41 4", "\u00e941", "4\u00e91", "zz", "4>1", ">", "41>zz", "aF0", "\u20ac4", "\U0001F6004a", "\uff14\uff11", "4\n1"]
+    got = spark.createDataFrame([(r,) for r in rows], "d string").select("d", text.ascii_hex(F.col("d")).alias("b")).collect()
+    assert [bytes(r["b"]) for r in got] == [filters.ascii_hex(r["d"].encode("latin-1", "replace").replace(b"?", b" ")) for r in got]
+    # A negated class of ranges takes more than half a microsecond a character.
+    long = spark.range(1).select(F.repeat(F.lit("4a"), 1 << 24).alias("d"))
+    started = time.time()
+    assert long.select(F.octet_length(text.ascii_hex(F.col("d"))).alias("n")).first()["n"] == 1 << 24
+    assert time.time() - started < 10
